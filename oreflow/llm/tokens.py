@@ -21,6 +21,8 @@ _WIDE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\
 _LOOSE = re.compile(rb" (?:[ \t\n\r\x0b\x0c]|\Z|" + _WIDE + rb")")
 _FIRM = re.compile(rb" (?![ \t\n\r\x0b\x0c]|\Z|" + _WIDE + rb")")
 
+_BORDER = "\0"
+
 
 class Parts:
     """Two generations of remembered parts."""
@@ -28,18 +30,20 @@ class Parts:
     def __init__(self, size: int = CACHE_PARTS) -> None:
         self.size, self.young, self.old = size, {}, {}
 
-    def fetch(self, parts: list, make) -> dict:
-        """The remembered parts, among them all of parts; make(list) gives the values of new ones."""
-        young = self.young
-        if new := {x for x in parts if x not in young}:
-            old = self.old
-            made = [x for x in new if x not in old]
-            young.update((x, old[x]) for x in new if x in old)
-            if made:
+    def values(self, parts: list, make) -> list:
+        """The value of each part; make(list) gives the values of new ones."""
+        found = list(map(self.young.get, parts))
+        if None in found:
+            young, old = self.young, self.old
+            new = {x for x, v in zip(parts, found) if v is None}
+            if old:
+                young.update((x, old[x]) for x in new if x in old)
+            if made := [x for x in new if x not in young]:
                 young.update(zip(made, make(made)))
+            found = [young[x] if v is None else v for x, v in zip(parts, found)]
             if len(young) > self.size:
                 self.old, self.young = young, {}
-        return young
+        return found
 
 
 class Encoder:
@@ -54,6 +58,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.parts = Tokenizer.from_file(path), spaced, Parts()
+        # a token of its own between words that are encoded as one text
+        self.between = "\n" if spaced else f" {_BORDER} "
+        self.border = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.marks = dict(zip(b".,", self._ids([".", ","])))
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -61,11 +68,28 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [pack(f"<{len(x)}I", *x.ids) for x in found]
 
+    def _listed(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space, of which many are encoded as one text."""
+        out = []
+        for a in range(0, len(words), 500):
+            ids = self.tokenizer.encode_batch_fast([self.between.join(words[a : a + 500])], add_special_tokens=False)[0].ids
+            at = 0
+            for stop in [n for n, x in enumerate(ids) if x == self.border] + [len(ids)]:
+                out.append(pack(f"<{stop - at}I", *ids[at:stop]))
+                at = stop + 1
+        return out
+
     def _made(self, parts: list[bytes], lead: str) -> list[bytes]:
         """The ids of parts; a full stop or comma behind an ASCII letter or digit is always cut off."""
         stems = [x[:-1] if x[-1] in b".," and x[-2:-1].isalnum() else x for x in parts]
-        made = dict.fromkeys(stems)
-        made = dict(zip(made, self._ids([lead + x.decode() for x in made])))
+        words = {x: lead + x.decode() for x in dict.fromkeys(stems)}
+        if bool(lead) is self.spaced:
+            whole = {x: w for x, w in words.items() if [w[len(lead) :]] == w.split() and not (_BORDER in w)}
+            made = dict(zip(whole, self._listed(list(whole.values()))))
+            rest = {x: w for x, w in words.items() if x not in whole}
+        else:
+            made, rest = {}, words
+        made.update(zip(rest, self._ids(list(rest.values()))))
         return [made[s] if s is x else made[s] + self.marks[x[-1]] for s, x in zip(stems, parts)]
 
     def _plain(self, parts: list[bytes]) -> list[bytes]:
@@ -83,11 +107,11 @@ class Encoder:
             return self._ids([text.decode()])[0]
         if not self.spaced:
             found = seen.split()
-            return b"".join(map(self.parts.fetch(found, self._plain).__getitem__, found))
+            return b"".join(self.parts.values(found, self._plain))
         found = _FIRM.split(text) if _LOOSE.search(text) else text.split(b" ")
         head, rest = found[0], found[1:]
         first = self._plain([head])[0] if head else b""
-        return first + b"".join(map(self.parts.fetch(rest, self._blank).__getitem__, rest))
+        return first + b"".join(self.parts.values(rest, self._blank))
 
 
 @lru_cache(2)
