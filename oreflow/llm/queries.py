@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, packing, simhash
+from . import binary, media, packing, simhash, spiece
+from .common import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut(media.media_column(table(spark, sf_dir, "documents")), "media")
+    return media.media_features(stored)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,7 +36,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_png_media": op2_png_media,
     "op3_packing": op3_packing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
     "op9_token_files": op9_token_files,
 }
