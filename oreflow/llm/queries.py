@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, media, packing, simhash, spiece
+from . import binary, media, packing, simhash, spiece, urlfilter
 from .common import cut
 
 
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.digests(table(spark, sf_dir, "documents"))
 
@@ -38,9 +42,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_png_media": op2_png_media,
     "op3_packing": op3_packing,
+    "op5_bloom_cascade": op5_bloom_cascade,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
     "op9_token_files": op9_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_bloom_cascade": urlfilter.ORACLE_SQL,
+}
