@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, media, packing, simhash, spiece, urlfilter
+from . import binary, langid, media, packing, simhash, spiece, urlfilter
 from .common import cut
 
 
@@ -35,6 +35,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bloom_cascade": op5_bloom_cascade,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
 }
 
