@@ -22,7 +22,8 @@ def truncate_literals(counts: Column, size: int = 200) -> Column:
     # built without a map of duplicate keys, so that it holds under any setting of mapKeyDedupPolicy
     entries = F.transform(F.map_entries(counts), lambda e: F.struct(F.substring(e["key"], 1, size).alias("key"), e["value"].alias("value")))
     last = F.filter(entries, lambda e, n: ~F.exists(F.slice(entries, n + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    too_long = F.exists(F.map_keys(counts), lambda k: F.length(k) > size)
+    return F.when(too_long, F.map_from_entries(last)).otherwise(counts)
 
 
 def join_literals(keys: Column) -> Column:

@@ -226,7 +226,8 @@ _PAIRED = f"""{_TURNS_SQL}, pairs AS (SELECT a.conv_id, a.turn FROM turns a JOIN
 paired AS (SELECT p.conv_id, p.turn, w.w, sum(CASE WHEN w.turn = p.turn THEN n ELSE 0 END) AS x, sum(CASE WHEN w.turn = p.turn + 1 THEN n ELSE 0 END) AS y
   FROM pairs p JOIN words w ON w.conv_id = p.conv_id AND w.turn IN (p.turn, p.turn + 1) GROUP BY 1, 2, 3),
 stats AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (WHERE x = y) AS common, sqrt(sum((x - y) * (x - y))) AS d,
-  count(*) FILTER (WHERE x = 0) AS only_y, count(*) FILTER (WHERE y = 0) AS only_x, string_agg(w, ',' ORDER BY w) FILTER (WHERE x <> y) AS diff FROM paired GROUP BY 1, 2)"""
+  count(*) FILTER (WHERE x = 0) AS only_y, count(*) FILTER (WHERE y = 0) AS only_x, string_agg(w, ',' ORDER BY w) FILTER (WHERE x <> y) AS diff,
+  string_agg(replace(w, ',', '%2C'), ',' ORDER BY w) FILTER (WHERE x <> y) AS literals FROM paired GROUP BY 1, 2)"""
 _PENALTY = "(CASE WHEN n < 15 THEN 20.0 / n ELSE 1 END)"
 
 
@@ -242,8 +243,7 @@ def q_function_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(V.function_distance(a, b), 6).alias("function_dist"), F.array_join(V.differing_keys(a, b), ",").alias("diff_functions"))
 
 
-@query(f"""WITH {_PAIRED} SELECT conv_id, turn, round(d * {_PENALTY}, 6) AS literal_dist, only_x AS n_not_in_origin, only_y AS n_not_in_control, coalesce(replace(diff, ',,', '%2C,'), '') AS diff_literals
-FROM (SELECT s.* REPLACE ((SELECT string_agg(replace(w, ',', '%2C'), ',' ORDER BY w) FROM paired b WHERE b.conv_id = s.conv_id AND b.turn = s.turn AND x <> y) AS diff) FROM stats s)""")
+@query(f"""WITH {_PAIRED} SELECT conv_id, turn, round(d * {_PENALTY}, 6) AS literal_dist, only_x AS n_not_in_origin, only_y AS n_not_in_control, coalesce(literals, '') AS diff_literals FROM stats""")
 def q_literal_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     control, origin = text.truncate_literals(F.col("counts")), text.truncate_literals(F.col("next"))
     rows = _turn_pairs(spark, sf_dir).withColumn("l", V.literal_distance(control, origin))

@@ -54,7 +54,7 @@ def count_batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
 class HostPenalty(StatefulProcessor):
     """A running penalty for each host that ends after a time without visits; large ones are reported when they end."""
 
-    def __init__(self, ttl_ms: int, limit: int) -> None:
+    def __init__(self, ttl_ms: int | None, limit: int) -> None:
         self.ttl_ms, self.limit = ttl_ms, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -66,9 +66,10 @@ class HostPenalty(StatefulProcessor):
         for part in rows:
             found += int(part["penalty"].sum())
         self.total.update((found,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
+        if self.ttl_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
         yield pd.DataFrame({"host": [key[0]], "n": [found], "evicted": [False]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -80,12 +81,15 @@ class HostPenalty(StatefulProcessor):
         pass
 
 
-def host_penalties(stream: DataFrame, host: str = "host", ttl_ms: int = 3_600_000, limit: int = 100) -> DataFrame:
-    """host, n and evicted: running totals of the column penalty, and large totals of hosts that went quiet."""
-    return (
-        stream.groupBy(host)
-        .transformWithStateInPandas(HostPenalty(ttl_ms, limit), outputStructType="host string, n long, evicted boolean", outputMode="Update", timeMode="ProcessingTime")
-    )
+def host_penalties(stream: DataFrame, host: str = "host", ttl_ms: int | None = None, limit: int = 100) -> DataFrame:
+    """host, n and evicted: running totals of the column penalty, and large totals of hosts that went quiet.
+
+    With ttl_ms a host is forgotten so long after its last visit; its timers keep the stream running, so
+    that is for endless runs.  Without, totals stay, and a run over what there is ends.
+    """
+    processor = HostPenalty(ttl_ms, limit)
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return stream.groupBy(host).transformWithStateInPandas(processor, outputStructType="host string, n long, evicted boolean", outputMode="Update", timeMode=mode)
 
 
 def split_failures(batch: DataFrame, failed: Column, good: Callable[[DataFrame], None], bad: Callable[[DataFrame], None]) -> None:
