@@ -154,7 +154,8 @@ def write_tokens(
     """Encode every text, in ascending order of doc_id (null first; equal ids by their text's hash), to shards at path.
 
     Null and empty texts have the end id alone.  Repeated rows are written as often as they occur.
-    Texts are dealt by range before they are encoded, so ids are made once and never shuffled.
+    Texts are dealt by range before they are encoded, so ids are made once and never shuffled.  Packed
+    ids hardly compress, so the table is not compressed.
     """
     ship(docs.sparkSession)
     file = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
@@ -164,7 +165,7 @@ def write_tokens(
         rows.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .mapInArrow(_written(file, spaced, bits_for(vocabulary), shard_ids), "part int, number int, before long, n_ids long, shard binary")
-        .write.parquet(path)
+        .write.option("compression", "none").parquet(path)
     )
 
 
