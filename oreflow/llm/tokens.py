@@ -13,7 +13,7 @@ from struct import pack
 
 
 #: Parts of a generation; the older of two generations is forgotten when the younger is full.
-CACHE_PARTS = 700_000
+CACHE_PARTS = 1_000_000
 
 #: White space outside ASCII, in UTF-8.
 _WIDE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
@@ -22,6 +22,12 @@ _LOOSE = re.compile(rb" (?:[ \t\n\r\x0b\x0c]|\Z|" + _WIDE + rb")")
 _FIRM = re.compile(rb" (?![ \t\n\r\x0b\x0c]|\Z|" + _WIDE + rb")")
 
 _BORDER = "\0"
+#: A comma or full stop before a blank that may belong to more signs before it; letters up to U+00FF and digits end a word.
+_BOUND = re.compile(rb"(?<![0-9A-Za-z])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,] ")
+#: Bytes that no UTF-8 text has stand for a comma and a full stop behind a word.
+_COMMA, _STOP = b"\xfe", b"\xff"
+#: Two ASCII characters that are no white space.
+_SOLID = re.compile(rb"[!-~]{2}")
 
 
 class Parts:
@@ -58,6 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.parts = Tokenizer.from_file(path), spaced, Parts()
+        self.heads = Parts(CACHE_PARTS // 10)
+        self.line = self._ids(["\n"])[0] if spaced else b""
         # a token of its own between words that are encoded as one text
         self.between = "\n" if spaced else f" {_BORDER} "
         self.border = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
@@ -79,8 +87,19 @@ class Encoder:
                 at = stop + 1
         return out
 
+    def _cut(self, text: bytes, at: bytes | None = b" ") -> list[bytes]:
+        """A text at its blanks (without loose ones), or at all ASCII white space, with commas and full stops behind words as parts of their own."""
+        if not _BOUND.search(text):
+            text = text.replace(b", ", b" " + _COMMA + b" ").replace(b". ", b" " + _STOP + b" ")
+        return text.split(at)
+
     def _made(self, parts: list[bytes], lead: str) -> list[bytes]:
         """The ids of parts; a full stop or comma behind an ASCII letter or digit is always cut off."""
+        for x, sign in ((_COMMA, b","), (_STOP, b".")):
+            if x in parts:
+                rest = [y for y in parts if y != x]
+                made = dict(zip(rest, self._made(rest, lead))) | {x: self.marks[sign[0]]}
+                return [made[y] for y in parts]
         stems = [x[:-1] if x[-1] in b".," and x[-2:-1].isalnum() else x for x in parts]
         words = {x: lead + x.decode() for x in dict.fromkeys(stems)}
         if bool(lead) is self.spaced:
@@ -96,7 +115,20 @@ class Encoder:
         return self._made(parts, "")
 
     def _blank(self, parts: list[bytes]) -> list[bytes]:
-        return self._made(parts, " ")
+        """The ids of parts behind a blank; the two sides of a line's end inside a part are looked up."""
+        made, lines = {}, []
+        for x in parts:
+            left, end, right = x.partition(b"\n")
+            if end and left and right and _SOLID.fullmatch(left[-1:] + right[:1]) and b"\n" not in right:
+                lines.append((x, left, right))
+            else:
+                made[x] = None
+        made = dict(zip(made, self._made(list(made), " ")))
+        if lines:
+            lefts = self.parts.values([x[1] for x in lines], self._blank)
+            rights = self.heads.values([x[2] for x in lines], self._plain)
+            made.update((x[0], a + self.line + b) for x, a, b in zip(lines, lefts, rights))
+        return [made[x] for x in parts]
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of one text; null and empty texts have none."""
@@ -106,11 +138,11 @@ class Encoder:
         if any(x in seen for x in self.special):
             return self._ids([text.decode()])[0]
         if not self.spaced:
-            found = seen.split()
+            found = self._cut(seen, None)
             return b"".join(self.parts.values(found, self._plain))
-        found = _FIRM.split(text) if _LOOSE.search(text) else text.split(b" ")
+        found = _FIRM.split(text) if _LOOSE.search(text) else self._cut(text)
         head, rest = found[0], found[1:]
-        first = self._plain([head])[0] if head else b""
+        first = self.heads.values([head], self._plain)[0] if head else b""
         return first + b"".join(self.parts.values(rest, self._blank))
 
 
