@@ -82,7 +82,7 @@ def analyse(code: str) -> tuple[Counter, Counter, Counter]:
             if text == "(" and (name := re.fullmatch(r"[A-Za-z_$\u0080-￿][\w$\u0080-￿]*", last)) and last not in _KINDS and last not in _OTHER_WORDS and before != "function":
                 kinds["FunctionCall"] += 1
                 calls["F" + last if last.startswith("$") else last] += 1
-            elif text == "(" and last in (")", "}", "]"):
+            elif text == "(" and (last in (")", "]") or last == "}" and depth and depth[-1] == "("):
                 kinds["FunctionCall"] += 1
                 calls["N/A"] += 1
             elif text == "(" and last not in _KINDS:

@@ -28,7 +28,7 @@ def binary_files(spark: SparkSession, root: str, pattern: str = "*.js") -> DataF
 
 def artefact_files(artefacts: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """artefacts with the code of the file at their path below root."""
-    wanted = F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(F.lit("/"), F.col("path")))
+    wanted = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("path", "^/+", ""))
     own = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("_at"), "code")
     return artefacts.withColumn("_at", wanted).join(own, "_at").drop("_at")
 
