@@ -24,11 +24,12 @@ from .common import crc_mod, ship, slices
 WINDOW = 256
 #: Filter widths; each is summed from tables of pairs and single bytes.
 WIDTHS = (2, 3, 4)
-FILTERS = 8
+FILTERS = 10
 EMBEDDING = 8
-#: At most so many documents of each language are fitted on, and so many windows of each document.
+#: At most so many documents of each language are fitted on, and so many windows and short passages of each document.
 FIT_DOCUMENTS = 600
-FIT_WINDOWS = 4
+FIT_WINDOWS = 3
+FIT_SHORT = 3
 #: At most so many languages are learned, the most frequent first.
 MAX_LANGUAGES = 200
 
@@ -46,6 +47,21 @@ def windows(text: bytes) -> np.ndarray:
     return out.reshape(rows, WINDOW)
 
 
+def short_windows(rows: np.ndarray) -> np.ndarray:
+    """A few passages of 12 to 100 bytes from a text's windows, filled with zeros, so that short texts are learned too."""
+    out = np.zeros((FIT_SHORT, WINDOW), np.uint8)
+    line = rows.ravel()
+    rng = np.random.default_rng(len(line) + int(line[:WINDOW].sum()))
+    for row in out:
+        n = int(rng.integers(12, 101))
+        start = int(rng.integers(0, max(1, np.count_nonzero(line) - n)))
+        # from the next word on
+        start += int(np.argmax(line[start : start + 40] == 32)) + 1 if start else 0
+        part = line[start : start + n]
+        row[: len(part)] = part
+    return out
+
+
 @dataclass
 class Network:
     """The parameters: embedding, a kernel and bias for each width, and the softmax layer."""
@@ -191,7 +207,7 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = windows(text)
             # evenly over the whole text
             at = np.unique(np.linspace(0, len(rows) - 1, min(FIT_WINDOWS, len(rows))).astype(int))
-            picked.append(rows[at].tobytes())
+            picked.append(rows[at].tobytes() + short_windows(rows).tobytes())
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(picked, pa.binary())], names=["lang", "windows"])
 
 
@@ -199,7 +215,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A scorer learned from documents that are not held out; None if no text has a language.
 
     The sample is bounded: about per_language documents of each language, chosen by a hash of the id,
-    and FIT_WINDOWS windows of each, spread over the text.  It is what the driver gathers.
+    FIT_WINDOWS windows of each, spread over the text, and FIT_SHORT short passages.  It is what the driver gathers.
     """
     ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -255,8 +271,11 @@ def predict(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all their columns, whose language is known with at least that score."""
+def keep(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """The rows of docs, all their columns, whose language is known with at least that score.
+
+    Texts without letters go, and texts in which no language prevails.
+    """
     ship(docs.sparkSession)
     data, at = pickle.dumps(scorer), docs.columns.index(text_col)
 
