@@ -114,3 +114,18 @@ def script_sources(html: Column) -> Column:
 def inline_scripts(html: Column) -> Column:
     """The texts of a page's scripts that have no src."""
     return F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<script(?![^>]*\ssrc=)[^>]*>(.*?)</script>"), F.lit(1)), lambda x: F.trim(x) != "")
+
+
+def short_date(time: Column) -> Column:
+    """A time's date as month/day/year."""
+    return F.date_format(time, "MM/dd/yyyy")
+
+
+def log_time(time: Column) -> Column:
+    """A time as day-month-year hours:minutes:seconds and zone."""
+    return F.date_format(time, "dd-MMM-yyyy HH:mm:ssxx")
+
+
+def chosen(options: Column, seed: int) -> Column:
+    """One of an array's values for each row, at random but the same for the same seed and partitions."""
+    return F.element_at(options, F.floor(F.rand(seed) * F.size(options)).cast("int") + 1)

@@ -69,10 +69,24 @@ def congested(batches: DataFrame, batch: str, host: str, order: Sequence[str], p
     return batches.where(F.col(host).isNotNull()).withColumn("rank_in_batch", F.row_number().over(w)).where(F.col("rank_in_batch") <= per_host)
 
 
-def running_pages(visits: DataFrame, host: str, order: Sequence[str], penalty: Column | int = 1) -> DataFrame:
-    """visits with n_recent: the penalties of the host's earlier visits."""
-    w = Window.partitionBy(host).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return visits.withColumn("n_recent", F.coalesce(F.sum(F.lit(penalty) if isinstance(penalty, int) else penalty).over(w), F.lit(0)))
+def running_pages(visits: DataFrame, host: str, order: Sequence[str], penalty: Column | int = 1, chunk: Column | None = None) -> DataFrame:
+    """visits with n_recent: the penalties of the host's earlier visits.
+
+    chunk, a coarse value that never falls along the order (such as the day of a time), lets a busy
+    host be sorted chunk by chunk in many tasks; the chunks' totals are summed up beforehand.
+    """
+    cost = F.lit(penalty) if isinstance(penalty, int) else penalty
+    rows = visits.withColumns({"_chunk": F.lit(0) if chunk is None else chunk, "_cost": cost})
+    inside = Window.partitionBy(host, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum("_cost").over(inside), F.lit(0)))
+    if chunk is None:
+        return rows.withColumnRenamed("_own", "n_recent").drop("_chunk", "_cost")
+    totals = visits.withColumns({"_chunk": chunk, "_cost": cost}).groupBy(host, "_chunk").agg(F.sum("_cost").alias("_total"))
+    earlier = Window.partitionBy(host).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col(host).alias("_host"), F.col("_chunk").alias("_at"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col(host).eqNullSafe(F.col("_host")) & F.col("_chunk").eqNullSafe(F.col("_at"))
+    out = rows.join(before, same).withColumn("n_recent", F.col("_own") + F.col("_before"))
+    return out.drop("_chunk", "_cost", "_own", "_host", "_at", "_before")
 
 
 def page_penalty(status: Column, content_type: Column) -> Column:

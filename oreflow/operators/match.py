@@ -71,21 +71,22 @@ def plausible_controls(artefacts: DataFrame, summary: DataFrame, max_distance: f
     return found.groupBy("artefact_id", "origin").agg(F.min("strategy").alias("strategy"))
 
 
-def scored_candidates(artefacts: DataFrame, controls: DataFrame, plausible: DataFrame) -> DataFrame:
-    """plausible with the distances of each pair; controls that are excluded drop out."""
+def scored_candidates(artefacts: DataFrame, controls: DataFrame, plausible: DataFrame, max_distance: float = _INF) -> DataFrame:
+    """plausible with the distances of each pair; controls that are excluded drop out, and pairs beyond max_distance.
+
+    The total is at least half the statement distance, so pairs that it puts out of reach skip the maps.
+    """
     usable = controls.where(~F.coalesce("do_not_load", F.lit(False)))
     a = artefacts.select("artefact_id", F.col("sha256").alias("own_sha"), V.ast_vector(F.col("statements_by_count")).alias("own_ast"), F.col("calls_by_count").alias("own_calls"))
     b = usable.select("origin", F.col("sha256").alias("control_sha"), V.ast_vector(F.col("statements_by_count")).alias("control_ast"), F.col("calls_by_count").alias("control_calls"))
     pairs = plausible.join(b, "origin").join(a, "artefact_id")
-    own, control = F.col("own_calls"), F.col("control_calls")
     pairs = pairs.withColumns({
         "ast_dist": V.vector_distance(F.col("own_ast"), F.col("control_ast")),
-        "function_dist": V.function_distance(own, control),
-        "diff_functions": F.array_join(V.differing_keys(own, control), " "),
         "same_sha": F.coalesce(F.col("own_sha") == F.col("control_sha"), F.lit(False)),
-    })
+    }).where(F.col("ast_dist") * 0.5 <= max_distance)
+    pairs = pairs.withColumn("function_dist", V.function_distance(F.col("own_calls"), F.col("control_calls")))
     pairs = pairs.withColumn("total", V.total_distance(F.col("ast_dist"), F.col("function_dist")))
-    return pairs.select("artefact_id", "strategy", "origin", "total", "ast_dist", "function_dist", "diff_functions", "same_sha")
+    return pairs.select("artefact_id", "strategy", "origin", "total", "ast_dist", "function_dist", "same_sha")
 
 
 def fold_best(candidates: Column, max_distance: float) -> Column:
@@ -95,10 +96,10 @@ def fold_best(candidates: Column, max_distance: float) -> Column:
     otherwise; then it may become the second.  The search ends at a distance near zero, the only
     place where hashes are compared.  Without a candidate the best is an empty hit at infinity.
     """
-    kind = "struct<control_url:string,total:double,composite:double,ast_dist:double,function_dist:double,diff_functions:string,sha256_matched:boolean>"
+    kind = "struct<control_url:string,total:double,composite:double,ast_dist:double,function_dist:double,sha256_matched:boolean>"
     empty = F.struct(
         F.lit("").alias("control_url"), F.lit(_INF).alias("total"), F.lit(_INF).alias("composite"), F.lit(_INF).alias("ast_dist"),
-        F.lit(_INF).alias("function_dist"), F.lit("").alias("diff_functions"), F.lit(False).alias("sha256_matched"),
+        F.lit(_INF).alias("function_dist"), F.lit(False).alias("sha256_matched"),
     ).cast(kind)
     start = F.struct(empty.alias("best"), F.lit(None).cast(kind).alias("second"), F.lit(False).alias("done"))
 
@@ -108,7 +109,7 @@ def fold_best(candidates: Column, max_distance: float) -> Column:
         final = c["total"] < NEAR_ZERO
         hit = lambda matched: F.struct(
             c["origin"].alias("control_url"), c["total"].alias("total"), composite.alias("composite"), c["ast_dist"].alias("ast_dist"),
-            c["function_dist"].alias("function_dist"), c["diff_functions"].alias("diff_functions"), matched.alias("sha256_matched"),
+            c["function_dist"].alias("function_dist"), matched.alias("sha256_matched"),
         ).cast(kind)
         state_of = lambda b, s, d: F.struct(b.alias("best"), s.alias("second"), d.alias("done"))
         # NaN is the largest of all to Spark, so it never counts as nearer
@@ -133,28 +134,33 @@ def best_controls(artefacts: DataFrame, controls: DataFrame, max_distance: float
     """
     a, b = with_sums(artefacts), with_sums(controls)
     plausible = plausible_controls(a, b, max_distance, strategies)
-    scored = scored_candidates(artefacts, controls, plausible).where(F.col("total") <= max_distance)
-    ordered = F.array_sort(F.collect_list(F.struct("strategy", "origin", "total", "ast_dist", "function_dist", "diff_functions", "same_sha")))
+    scored = scored_candidates(artefacts, controls, plausible, max_distance).where(F.col("total") <= max_distance)
+    ordered = F.array_sort(F.collect_list(F.struct("strategy", "origin", "total", "ast_dist", "function_dist", "same_sha")))
     tried = scored.groupBy("artefact_id").agg(ordered.alias("candidates"))
     rows = artefacts.select("artefact_id").join(tried, "artefact_id", "left")
     candidates = F.coalesce("candidates", F.array().cast(tried.schema["candidates"].dataType))
     return rows.select("artefact_id", fold_best(candidates, max_distance).alias("f")).select("artefact_id", "f.best", "f.second")
 
 
-def with_literals(hits: DataFrame, artefacts: DataFrame, controls: DataFrame) -> DataFrame:
-    """Hits (artefact_id, control_url, ...) with the literal fields; all -1 and empty without a control."""
-    own = artefacts.select("artefact_id", truncate_literals(F.col("literals_by_count")).alias("_own"))
-    other = controls.select(F.col("origin").alias("control_url"), truncate_literals(F.col("literals_by_count")).alias("_control"))
+def with_differences(hits: DataFrame, artefacts: DataFrame, controls: DataFrame) -> DataFrame:
+    """Hits (artefact_id, control_url, ...) with the differing functions and the literal fields.
+
+    Without a control the numbers are -1 and the texts empty.  Only hits that were chosen get here, so
+    the maps are compared for few pairs.
+    """
+    own = artefacts.select("artefact_id", F.col("calls_by_count").alias("_calls"), truncate_literals(F.col("literals_by_count")).alias("_own"))
+    other = controls.select(F.col("origin").alias("control_url"), F.col("calls_by_count").alias("_control_calls"), truncate_literals(F.col("literals_by_count")).alias("_control"))
     both = hits.join(own, "artefact_id").join(other, "control_url", "left").withColumn("_l", V.literal_distance(F.col("_control"), F.col("_own")))
     known = F.col("_control").isNotNull()
     value = lambda c, none: F.when(known, c).otherwise(none)
     return both.withColumns({
+        "diff_functions": value(F.array_join(V.differing_keys(F.col("_calls"), F.col("_control_calls")), " "), ""),
         "literal_dist": value(F.col("_l.dist"), -1.0),
         "literals_not_in_origin": value(F.col("_l.n_not_in_origin"), -1),
         "literals_not_in_control": value(F.col("_l.n_not_in_control"), -1),
         "n_diff_literals": value(F.size("_l.diff"), -1),
         "diff_literals": value(join_literals(F.col("_l.diff")), ""),
-    }).drop("_own", "_control", "_l")
+    }).drop("_own", "_control", "_calls", "_control_calls", "_l")
 
 
 def hit_id(origin_url: Column, control_url: Column) -> Column:
@@ -168,7 +174,7 @@ def evaluate(artefacts: DataFrame, controls: DataFrame, max_distance: float = 30
     parts = []
     for rank, name in enumerate(("best", "second")):
         parts.append(found.where(F.col(name).isNotNull()).select("artefact_id", F.lit(rank).alias("rank"), f"{name}.*").drop("total", "composite"))
-    hits = with_literals(parts[0].unionByName(parts[1]), artefacts, controls)
+    hits = with_differences(parts[0].unionByName(parts[1]), artefacts, controls)
     hits = hits.join(artefacts.select("artefact_id", F.col("url").alias("origin_url"), F.col("origin").alias("cited_on"), F.col("js_id").alias("origin_js_id")), "artefact_id")
     judged = V.composite_distance(F.col("ast_dist"), F.col("function_dist"), F.greatest("literal_dist", F.lit(0.0)))
     hits = hits.withColumns({"xref": hit_id(F.col("origin_url"), F.col("control_url")), "composite": judged})
@@ -199,6 +205,12 @@ def publish(hits: DataFrame, controls: DataFrame, max_distance: float = 300.0) -
     return good, rows.where(~F.col("ok"))
 
 
+def poor_hits(hits: DataFrame, latest: DataFrame, threshold: float = 50.0) -> DataFrame:
+    """Hits that are far by statements, with url fields and the hash of their script (latest: url, sha256)."""
+    scripts = latest.select(F.col("url").alias("origin_url"), "sha256")
+    return with_url_fields(hits.where(F.col("ast_dist") > threshold)).join(scripts, "origin_url", "left")
+
+
 def hit_rate_ok(n_hits: int, n_records: int, bad_batches: int, batch: int = 2000, least: int = 200, patience: int = 5) -> tuple[bool, int]:
     """Whether evaluation may go on after a batch, and how many full batches in a row had too few hits."""
     bad = bad_batches + 1 if n_records >= batch and n_hits < least else 0

@@ -13,37 +13,20 @@ from ..functions.text import suspicious_terms, total_length
 from .rarity import rarest_function
 
 
-def _set(column: str | Column) -> Column:
-    return F.array_sort(F.collect_set(column))
-
-
-def mean_of_set(values: Column) -> Column:
-    """The mean of an array's values."""
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
-
-
 def distances(hits: DataFrame, threshold: float = 10.0) -> DataFrame:
-    """Per control, script and host: distances (mean of the distinct ones), pages and differing functions."""
+    """Per control, script and host: distances (the mean is that of the distinct ones), pages and differing functions.
+
+    Distances and pages are counted by distinct aggregation; only the names of functions, a vocabulary,
+    are gathered as a set.
+    """
     near = hits.where((F.col("ast_dist") < threshold) & (F.col("function_dist") < threshold))
-    keys = ["control_url", "origin_url", "cited_on_host"]
-    # the functions are a second aggregate over the exploded rows' distinct names, joined by set union in one pass
-    return (
-        near.groupBy(keys)
-        .agg(
-            _set("ast_dist").alias("distances"),
-            F.min("function_dist").alias("min_function_dist"),
-            F.countDistinct("cited_on_path").alias("n_pages"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("diff_functions")))).alias("diff_functions"),
-        )
-        .select(
-            *keys,
-            F.array_min("distances").alias("min_distance"),
-            mean_of_set(F.col("distances")).alias("avg_distance"),
-            F.array_max("distances").alias("max_distance"),
-            "min_function_dist",
-            "n_pages",
-            "diff_functions",
-        )
+    return near.groupBy("control_url", "origin_url", "cited_on_host").agg(
+        F.min("ast_dist").alias("min_distance"),
+        F.expr("avg(DISTINCT ast_dist)").alias("avg_distance"),
+        F.max("ast_dist").alias("max_distance"),
+        F.min("function_dist").alias("min_function_dist"),
+        F.countDistinct("cited_on_path").alias("n_pages"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("diff_functions")))).alias("diff_functions"),
     )
 
 
@@ -114,26 +97,23 @@ def with_distance_product(hits: DataFrame) -> DataFrame:
 
 
 def hosts(hits: DataFrame, probabilities: DataFrame, threshold: float = 50.0, fold_terms: bool = False) -> DataFrame:
-    """Per control and host: pages, differing literals and functions, suspicious terms and the rarest function."""
+    """Per control and host: pages, differing literals and functions, suspicious terms and the rarest function.
+
+    Each distinct text of literals is judged once and summed, so no group's texts are held together.
+    """
     near = with_distance_product(hits).where(F.col("dist_prod") < threshold)
     keys = ["control_url", "cited_on_host"]
     found = near.groupBy(keys).agg(
         F.countDistinct("cited_on").alias("n_pages"),
         F.max("n_diff_literals").alias("max_diff_literals"),
-        _set("diff_literals").alias("diff_literals"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("diff_functions")))).alias("diff_functions"),
     )
-    found = found.select(
-        *keys,
-        "n_pages",
-        "max_diff_literals",
-        F.size("diff_functions").alias("n_diff_functions"),
-        suspicious_terms(F.col("diff_literals"), fold_terms).alias("n_suspicious"),
-        total_length(F.col("diff_literals")).alias("len_diff_literals"),
-        "diff_functions",
-    )
+    one = F.array("diff_literals")
+    judged = near.select(*keys, "diff_literals").distinct().select(*keys, suspicious_terms(one, fold_terms).alias("s"), total_length(one).alias("l"))
+    literals = judged.groupBy(keys).agg(F.sum("s").alias("n_suspicious"), F.sum("l").alias("len_diff_literals"))
+    found = found.select(*keys, "n_pages", "max_diff_literals", F.size("diff_functions").alias("n_diff_functions"), "diff_functions")
     rare = rarest_function(found.select(*keys, "diff_functions"), probabilities, keys)
-    return found.join(rare, keys, "left").orderBy("cited_on_host", F.desc("max_diff_literals"), "control_url")
+    return found.join(literals, keys).join(rare, keys, "left").orderBy("cited_on_host", F.desc("max_diff_literals"), "control_url")
 
 
 def host(hits: DataFrame, host_pattern: str, threshold: float = 50.0) -> DataFrame:

@@ -495,7 +495,7 @@ def q_congested_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_recent FROM events""")
 def q_running_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     penalty = F.when(F.col("event_type") == "error", 2).otherwise(1)
-    return crawl.running_pages(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], penalty).select("event_id", F.col("n_recent").cast("long").alias("n_recent"))
+    return crawl.running_pages(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], penalty, F.to_date("ts")).select("event_id", F.col("n_recent").cast("long").alias("n_recent"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,12 @@ def run(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(processingTime="5 seconds") if tail else writer.trigger(availableNow=True)).start()
 
 
+def stop_on_signals(query: StreamingQuery, signals: tuple[int, ...] = (signal.SIGINT, signal.SIGTERM, signal.SIGHUP)) -> None:
+    """Let the signals end a stream after its batch; the next run goes on from the checkpoint."""
+    for number in signals:
+        signal.signal(number, lambda *_: query.stop())
+
+
 def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str = "30 days") -> DataFrame:
     """The first record of each key; a key is forgotten when the watermark has passed it by the delay."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)

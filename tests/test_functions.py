@@ -231,3 +231,9 @@ def test_unpack():
     for bad in ("var x", packed.replace(",4,4,", ",99,4,"), packed.replace(",4,4,", ",4,9,")):
         with pytest.raises(ValueError):
             javascript.unpack(bad)
+
+
+def test_dates_and_choice(spark):
+    at = F.lit("2021-03-04 05:06:07").cast("timestamp")
+    assert value(spark, text.short_date(at)) == "03/04/2021" and value(spark, text.log_time(at)) == "04-Mar-2021 05:06:07+0000"
+    assert {r.v for r in spark.range(50).select(text.chosen(F.array(F.lit("a"), F.lit("b")), 3).alias("v")).collect()} == {"a", "b"}

@@ -53,9 +53,9 @@ def test_fold_is_the_sequential_search(spark):
             total = ast * 0.75 * fn + (ast + fn) * 0.5 if not (ast == 0 and fn == math.inf) else math.nan
             c = {"url": f"c{k}", "ast": ast, "fn": fn, "total": total, "sha": rng.random() < 0.5}
             groups[g].append(c)
-            rows.append((g, 0, c["url"], total, ast, fn, "f", c["sha"]))
-    table = spark.createDataFrame(rows, "g int, strategy int, origin string, total double, ast_dist double, function_dist double, diff_functions string, same_sha boolean")
-    cols = ["strategy", "origin", "total", "ast_dist", "function_dist", "diff_functions", "same_sha"]
+            rows.append((g, 0, c["url"], total, ast, fn, c["sha"]))
+    table = spark.createDataFrame(rows, "g int, strategy int, origin string, total double, ast_dist double, function_dist double, same_sha boolean")
+    cols = ["strategy", "origin", "total", "ast_dist", "function_dist", "same_sha"]
     out = table.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("c")).select("g", match.fold_best(F.col("c"), 200.0).alias("f"))
     for r in out.collect():
         best, second = _fold(groups[r.g], 200.0)
@@ -100,6 +100,12 @@ def test_nearest_refuses_a_long_list(spark):
         match.nearest(rows, rows, "id", "id", "v", max_controls=4)
 
 
+def test_poor_hits(spark):
+    hits = spark.createDataFrame([("http://a/x", "http://b/", 60.0), ("http://a/y", "http://b/", 40.0)], "origin_url string, cited_on string, ast_dist double")
+    got = match.poor_hits(hits, spark.createDataFrame([("http://a/x", "h")], "url string, sha256 string")).collect()
+    assert [(r.origin_url, r.cited_on_host, r.sha256) for r in got] == [("http://a/x", "b", "h")]
+
+
 def test_hit_rate():
     bad = 0
     for _ in range(4):
@@ -241,7 +247,7 @@ def test_control_files(spark, tmp_path):
     found = files.artefact_files(spark.createDataFrame([("j", "trunk/d.js")], "js_id string, path string"), files.binary_files(spark, str(tmp_path)), str(tmp_path))
     assert bytes(found.first().code) == b"code"
     rows = spark.createDataFrame([("a", ["x", "y"])], "k string, l array<string>")
-    files.write_tsv(rows, str(tmp_path / "tsv"))
+    files.write_tsv(rows.coalesce(1), str(tmp_path / "tsv"))
     assert next((tmp_path / "tsv").glob("*.csv")).read_text() == "k\tl\na\tx,y\n"
     assert files.StoreOptions("/w/").table("t") == "/w/t"
     parts = spark.createDataFrame([("a", 1), ("b", 2)], "p string, v int")
