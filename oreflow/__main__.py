@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.javascript import analysed
 from .functions.url import hostname
 from .operators import artefact, crawl, maintenance, match, outlier, rarity, report, search
-from .session import session
+from .session import session, ship
 from .sources import files, topics
 
 REPORTS = ["unresolved_clusters", "sites_by_control", "distances", "subfamily_hits", "list_controls", "control_hits", "family_hits", "hosts", "host"]
@@ -171,6 +171,7 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     a = parser().parse_args(arguments)
     spark = spark or session()
+    ship(spark)
     store = files.StoreOptions(a.warehouse)
     rows = a.run(spark, a, lambda name: spark.read.parquet(store.table(name)))
     if not a.out:

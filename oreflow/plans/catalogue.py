@@ -6,6 +6,7 @@ The tables hold no hits, pages of a crawl or scripts; analogue.py says what play
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions import text, url
 from ..functions import vector as V
 from ..functions.javascript import analysed
 from ..operators import artefact, crawl, maintenance, match, outlier, rarity, report, search
+from ..session import ship
 from ..sources import files, topics
 from ..streaming import pipelines
 from . import analogue
@@ -30,7 +32,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its name, with its SQL if there is one."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
