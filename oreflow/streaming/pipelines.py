@@ -58,34 +58,36 @@ def count_batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     return out.drop("_part", "_at", "_first")
 
 
-class HostPenalty(StatefulProcessor):
-    """A running penalty for each host that ends after a time without visits; large ones are reported when they end."""
+def _host_penalty(ttl_ms: int | None, limit: int) -> StatefulProcessor:
+    """The processor of host_penalties.  Its class is local, so that it travels with the query itself."""
 
-    def __init__(self, ttl_ms: int | None, limit: int) -> None:
-        self.ttl_ms, self.limit = ttl_ms, limit
+    class HostPenalty(StatefulProcessor):
+        """A running penalty for each host that ends after a time without visits; large ones are reported when they end."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.total = handle.getValueState("total", "n long")
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.total = handle.getValueState("total", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = self.total.get()[0] if self.total.exists() else 0
-        for part in rows:
-            found += int(part["penalty"].sum())
-        self.total.update((found,))
-        if self.ttl_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
-        yield pd.DataFrame({"host": [key[0]], "n": [found], "evicted": [False]})
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            found = self.total.get()[0] if self.total.exists() else 0
+            for part in rows:
+                found += int(part["penalty"].sum())
+            self.total.update((found,))
+            if ttl_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + ttl_ms)
+            yield pd.DataFrame({"host": [key[0]], "n": [found], "evicted": [False]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = self.total.get()[0] if self.total.exists() else 0
-        self.total.clear()
-        yield pd.DataFrame({"host": [key[0]], "n": [found], "evicted": [True]} if found > self.limit else {"host": [], "n": [], "evicted": []})
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            found = self.total.get()[0] if self.total.exists() else 0
+            self.total.clear()
+            yield pd.DataFrame({"host": [key[0]], "n": [found], "evicted": [True]} if found > limit else {"host": [], "n": [], "evicted": []})
 
-    def close(self) -> None:
-        pass
+        def close(self) -> None:
+            pass
+
+    return HostPenalty()
 
 
 def host_penalties(stream: DataFrame, host: str = "host", ttl_ms: int | None = None, limit: int = 100) -> DataFrame:
@@ -94,7 +96,7 @@ def host_penalties(stream: DataFrame, host: str = "host", ttl_ms: int | None = N
     With ttl_ms a host is forgotten so long after its last visit; its timers keep the stream running, so
     that is for endless runs.  Without, totals stay, and a run over what there is ends.
     """
-    processor = HostPenalty(ttl_ms, limit)
+    processor = _host_penalty(ttl_ms, limit)
     mode = "None" if ttl_ms is None else "ProcessingTime"
     return stream.groupBy(host).transformWithStateInPandas(processor, outputStructType="host string, n long, evicted boolean", outputMode="Update", timeMode=mode)
 
