@@ -109,9 +109,9 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, start in the shard and ids of each document."""
-        start = 0
+        ids, start = self.read(0, self.n_ids), 0
         for doc_id, n in zip(self.doc_ids, self.lengths.tolist()):
-            yield doc_id, start, self.read(start, n)
+            yield doc_id, start, ids[start : start + n]
             start += n
 
 
@@ -169,19 +169,17 @@ def write_tokens(
     )
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, 1):
-        start, shard = piece.column(0)[0].as_py(), Shard(piece.column(1)[0].as_py())
-        rows = [(d, start + at, len(ids), ids.tobytes()) for d, at, ids in shard.documents()]
-        names, types = ["doc_id", "start", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for a in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), types)], names=names)
+def _read(names: list[str], types: list[pa.DataType], last):
+    """Rows of doc_id, start, n_tokens and last(ids) for the documents of shards."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, 1):
+            start, shard = piece.column(0)[0].as_py(), Shard(piece.column(1)[0].as_py())
+            rows = [(d, start + at, len(ids), last(ids)) for d, at, ids in shard.documents()]
+            for a in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), types)], names=names)
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _read(batches):
-        crc = pa.array([zlib.crc32(x) for x in batch.column(3).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return run
 
 
 def read_tokens(spark, path: str, digests: bool = False) -> DataFrame:
@@ -195,9 +193,9 @@ def read_tokens(spark, path: str, digests: bool = False) -> DataFrame:
     earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = tasks.select("part", earlier.alias("first"))
     placed = shards.join(F.broadcast(firsts), "part").select((F.col("first") + F.col("before")).alias("start"), "shard")
-    if digests:
-        return placed.mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    name, kind, last = ("ids_crc32", pa.int64(), zlib.crc32) if digests else ("ids", pa.binary(), np.ndarray.tobytes)
+    read = _read(["doc_id", "start", "n_tokens", name], [pa.int64(), pa.int64(), pa.int64(), kind], last)
+    return placed.mapInArrow(read, f"doc_id long, start long, n_tokens long, {name} {'long' if digests else 'binary'}")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:
