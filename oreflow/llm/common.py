@@ -3,38 +3,22 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  the operators take it from here
+
 #: Rows that a Python operator holds as Python objects at one time.
 SLICE_ROWS = 256
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once for each application; executors may have no copy."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="oreflow-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, f"{root.name}.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, str(path.relative_to(root.parent)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
+#: Tables that cut() and others made and that still stand.
+_standing: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/oreflow/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/oreflow/{name}-{uuid.uuid4().hex}"
+    _standing.add(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -63,10 +49,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete the table behind a result of cut() that nothing reads any more."""
-    spark, path = df.sparkSession, df._oreflow_path
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    _delete(df.sparkSession, df._oreflow_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _standing.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process: for when every result has been written."""
+    for path in list(_standing):
+        _delete(spark, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

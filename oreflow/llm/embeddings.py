@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from .common import components, cut, ship, slices
 
 COSINE = 0.95
-#: Points of a cell that are aimed at, and at most of a block.
+#: Points of a cell that are aimed at, and at most of a block: at least, and at most for very many points.
 BLOCK = 8192
+MAX_BLOCK = 32768
 MAX_PIVOTS = 64
 #: At most about so many points are looked at to choose pivots.
 PIVOT_SAMPLE = 2000
@@ -199,7 +200,7 @@ def _joined(kind: str, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int | None = None, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
@@ -218,6 +219,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     # pivots: a bounded sample by hash, for each dimension
     sizes = {r["d"]: r["n"] for r in points.groupBy((F.octet_length("vec") / size).cast("int").alias("d")).agg(F.count("*").alias("n")).collect()}
+    # larger blocks copy fewer rows; with many points there are still blocks enough for all tasks
+    block = block or min(MAX_BLOCK, max(BLOCK, sum(sizes.values()) // 32))
     cells, first = {}, 0
     for d, n in sorted(sizes.items()):
         share = int(min(1, PIVOT_SAMPLE / n) * (1 << 30))
