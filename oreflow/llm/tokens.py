@@ -22,8 +22,10 @@ _LOOSE = re.compile(rb" (?:[ \t\n\r\x0b\x0c]|\Z|" + _WIDE + rb")")
 _FIRM = re.compile(rb" (?![ \t\n\r\x0b\x0c]|\Z|" + _WIDE + rb")")
 
 _BORDER = "\0"
+#: What words that are encoded as one text must not hold: other white space, and the border.
+_ODD = re.compile(rb"[\t\n\r\x0b\x0c\0]|" + _WIDE)
 #: A comma or full stop before a blank that may belong to more signs before it; letters up to U+00FF and digits end a word.
-_BOUND = re.compile(rb"(?<![0-9A-Za-z])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,] ")
+_BOUND = re.compile(rb"[.,](?<![0-9A-Za-z][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]) ")
 #: Bytes that no UTF-8 text has stand for a comma and a full stop behind a word.
 _COMMA, _STOP = b"\xfe", b"\xff"
 #: Two ASCII characters that are no white space.
@@ -41,12 +43,14 @@ class Parts:
         found = list(map(self.young.get, parts))
         if None in found:
             young, old = self.young, self.old
-            new = {x for x, v in zip(parts, found) if v is None}
+            gaps = [n for n, v in enumerate(found) if v is None]
+            new = {parts[n] for n in gaps}
             if old:
                 young.update((x, old[x]) for x in new if x in old)
             if made := [x for x in new if x not in young]:
                 young.update(zip(made, make(made)))
-            found = [young[x] if v is None else v for x, v in zip(parts, found)]
+            for n in gaps:
+                found[n] = young[parts[n]]
             if len(young) > self.size:
                 self.old, self.young = young, {}
         return found
@@ -76,15 +80,17 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [pack(f"<{len(x)}I", *x.ids) for x in found]
 
-    def _listed(self, words: list[str]) -> list[bytes]:
+    def _listed(self, words: list[bytes], lead: str) -> list[bytes]:
         """The ids of words without white space, of which many are encoded as one text."""
-        out = []
+        out, between = [], (self.between + lead).encode()
         for a in range(0, len(words), 500):
-            ids = self.tokenizer.encode_batch_fast([self.between.join(words[a : a + 500])], add_special_tokens=False)[0].ids
-            at = 0
-            for stop in [n for n, x in enumerate(ids) if x == self.border] + [len(ids)]:
-                out.append(pack(f"<{stop - at}I", *ids[at:stop]))
-                at = stop + 1
+            text = lead + between.join(words[a : a + 500]).decode()
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            data, at = pack(f"<{len(ids)}I", *ids), 0
+            for stop in [4 * n for n, x in enumerate(ids) if x == self.border]:
+                out.append(data[at:stop])
+                at = stop + 4
+            out.append(data[at:])
         return out
 
     def _cut(self, text: bytes, at: bytes | None = b" ") -> list[bytes]:
@@ -101,14 +107,11 @@ class Encoder:
                 made = dict(zip(rest, self._made(rest, lead))) | {x: self.marks[sign[0]]}
                 return [made[y] for y in parts]
         stems = [x[:-1] if x[-1] in b".," and x[-2:-1].isalnum() else x for x in parts]
-        words = {x: lead + x.decode() for x in dict.fromkeys(stems)}
-        if bool(lead) is self.spaced:
-            whole = {x: w for x, w in words.items() if [w[len(lead) :]] == w.split() and not (_BORDER in w)}
-            made = dict(zip(whole, self._listed(list(whole.values()))))
-            rest = {x: w for x, w in words.items() if x not in whole}
+        words = list(dict.fromkeys(stems))
+        if bool(lead) is self.spaced and not _ODD.search(b" ".join(words)):
+            made = dict(zip(words, self._listed(words, lead)))
         else:
-            made, rest = {}, words
-        made.update(zip(rest, self._ids(list(rest.values()))))
+            made = dict(zip(words, self._ids([lead + x.decode() for x in words])))
         return [made[s] if s is x else made[s] + self.marks[x[-1]] for s, x in zip(stems, parts)]
 
     def _plain(self, parts: list[bytes]) -> list[bytes]:
@@ -116,14 +119,15 @@ class Encoder:
 
     def _blank(self, parts: list[bytes]) -> list[bytes]:
         """The ids of parts behind a blank; the two sides of a line's end inside a part are looked up."""
-        made, lines = {}, []
+        lines, whole = [], []
         for x in parts:
-            left, end, right = x.partition(b"\n")
-            if end and left and right and _SOLID.fullmatch(left[-1:] + right[:1]) and b"\n" not in right:
-                lines.append((x, left, right))
-            else:
-                made[x] = None
-        made = dict(zip(made, self._made(list(made), " ")))
+            if b"\n" in x:
+                left, _, right = x.partition(b"\n")
+                if _SOLID.fullmatch(left[-1:] + right[:1]) and b"\n" not in right:
+                    lines.append((x, left, right))
+                    continue
+            whole.append(x)
+        made = dict(zip(whole, self._made(whole, " ")))
         if lines:
             lefts = self.parts.values([x[1] for x in lines], self._blank)
             rights = self.heads.values([x[2] for x in lines], self._plain)
