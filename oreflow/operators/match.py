@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vector as V
 from ..functions.text import functions_list, join_literals, truncate_literals
@@ -220,13 +221,14 @@ def hit_rate_ok(n_hits: int, n_records: int, bad_batches: int, batch: int = 2000
 def nearest(vectors: DataFrame, controls: DataFrame, id_col: str, control_col: str, vector_col: str, max_controls: int = 1000) -> DataFrame:
     """For each dense vector the nearest control vector (ties: smallest id) and its distance.
 
-    Controls are a small list; more than max_controls are refused rather than broadcast.
+    Controls are a small list that becomes a constant of the plan, so there is no join; more than
+    max_controls are refused.  Without controls id and distance are null.
     """
-    n = controls.limit(max_controls + 1).count()
-    if n > max_controls:
+    listed = controls.select(F.struct(F.col(control_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).alias("c"))
+    rows = listed.select(F.to_json("c").alias("c")).limit(max_controls + 1).collect()
+    if len(rows) > max_controls:
         raise ValueError("too many controls for one list")
-    listed = controls.agg(F.collect_list(F.struct(F.col(control_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))).alias("controls"))
-    rows = vectors.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("_v")).join(F.broadcast(listed))
-    best = F.array_min(F.transform("controls", lambda c: F.struct(V.euclidean(F.col("_v"), c["v"]).alias("dist"), c["id"].alias("id"))))
-    return rows.select(id_col, best.alias("b")).select(id_col, F.col("b.id").alias("control_id"), F.col("b.dist").alias("dist"))
-
+    constant = F.from_json(F.lit("[" + ",".join(r["c"] for r in rows) + "]"), T.ArrayType(listed.schema["c"].dataType))
+    own = F.col(vector_col).cast("array<double>")
+    best = F.array_min(F.transform(constant, lambda c: F.struct(V.euclidean(own, c["v"]).alias("dist"), c["id"].alias("id"))))
+    return vectors.select(id_col, best.alias("b")).select(id_col, F.col("b.id").alias("control_id"), F.col("b.dist").alias("dist"))

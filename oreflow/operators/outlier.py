@@ -55,7 +55,10 @@ def outliers(rows: DataFrame, contamination: float = 0.1) -> DataFrame:
     """
     clean = [F.coalesce(F.col(c).cast("double"), F.lit(1.0 if c == "rarest_probability" else 0.0)).alias(c) for c in FEATURES]
     distinct = rows.select(clean).distinct()
-    sample = distinct.orderBy(F.xxhash64(*FEATURES)).limit(FIT_ROWS).toPandas().sort_values(FEATURES).to_numpy(float)
+    n = distinct.count()
+    share = min(1.0, 0.9 * FIT_ROWS / n) if n > FIT_ROWS else 1.0
+    chosen = distinct.where(F.pmod(F.xxhash64(*FEATURES), F.lit(1 << 30)) < int(share * (1 << 30))).limit(FIT_ROWS)
+    sample = chosen.toPandas().sort_values(FEATURES).to_numpy(float)
     if len(sample) <= LEAST_ROWS:
         return rows.withColumns({"distance": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
     mean, inverse = robust_location(sample)
