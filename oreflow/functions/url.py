@@ -9,7 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# One search for each part: short expressions keep the code that Spark generates small.
 _SCHEME = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*):"
+_AUTHORITY = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?"
+_HOST = _AUTHORITY + r"\[?([^/?#:@\[\]]*)"
+_BRACKETS = _AUTHORITY + r"\[([^\]/?#]*)"
+_PORT = _AUTHORITY + r"(?:\[[^\]]*\]|[^/?#:@]*):([0-9]{1,5})(?:[/?#]|$)"
+_PATH = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
+_QUERY = r"(?s)^[^?#]*\?([^#]*)"
 
 # Suffixes of media files, which are of little interest to a crawl.
 MEDIA_SUFFIXES = (".mp3", ".avi", ".pdf", ".png", ".vob", ".mpeg", ".mpg", ".mp4", ".jpeg", ".jpg")
@@ -19,54 +26,26 @@ def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _SCHEME, 1))
 
 
-def _behind(text: Column, start: Column | int) -> Column:
-    """A text from a place on, counted from 1."""
-    return F.substring(text, start if isinstance(start, Column) else F.lit(start), F.length(text))
-
-
-def _before(text: Column, *signs: str) -> Column:
-    """A text up to the first of some signs."""
-    for x in signs:
-        text = F.substring_index(text, x, 1)
-    return text
-
-
-def _parts(url: Column) -> tuple[Column, Column]:
-    """Authority (empty if there is none) and what follows it.  Plain searches: patterns cost ten times as much."""
-    after = F.when(url.rlike(_SCHEME), _behind(url, F.instr(url, ":") + 1)).otherwise(url)
-    named = after.startswith("//")
-    authority = F.when(named, _before(_behind(after, 3), "/", "?", "#")).otherwise("")
-    return authority, F.when(named, _behind(after, F.length(authority) + 3)).otherwise(after)
-
-
-def _host_and_port(url: Column) -> Column:
-    return F.substring_index(_parts(url)[0], "@", -1)
-
-
 def hostname(url: Column) -> Column:
     """Lower-cased host without user, port and brackets; null if there is none."""
-    text = _host_and_port(url)
-    found = F.when(text.startswith("["), _before(_behind(text, 2), "]")).otherwise(_before(text, ":"))
-    return F.when(found != "", F.lower(found))
+    inside = F.regexp_extract(url, _BRACKETS, 1)
+    found = F.when(inside != "", inside).otherwise(F.regexp_extract(url, _HOST, 1))
+    return F.lower(F.nullif(found, F.lit("")))
 
 
 def port(url: Column) -> Column:
     """The port named, else that of http or https, else null."""
-    text = _host_and_port(url)
-    last = F.when(text.contains(":"), F.substring_index(text, ":", -1))
-    named = F.when(last.rlike("^[0-9]{1,5}$"), last.cast("int"))
-    kind = scheme(url)
-    return F.coalesce(F.when(named.between(1, 65535), named), F.when(kind == "https", 443).when(kind == "http", 80))
+    named = F.nullif(F.regexp_extract(url, _PORT, 1), F.lit("")).cast("int")
+    return F.coalesce(F.when(named.between(1, 65535), named), F.when(url.rlike("^(?i)https:"), 443).when(url.rlike("^(?i)http:"), 80))
 
 
 def path(url: Column) -> Column:
-    return _before(_parts(url)[1], "?", "#")
+    return F.regexp_extract(url, _PATH, 1)
 
 
 def query(url: Column) -> Column:
     """What is between the first ? and #; empty if there is none."""
-    rest = _before(_parts(url)[1], "#")
-    return F.when(rest.contains("?"), _behind(rest, F.instr(rest, "?") + 1)).otherwise("")
+    return F.regexp_extract(url, _QUERY, 1)
 
 
 def url_fields(url: Column, prefix: str = "") -> list[Column]:
