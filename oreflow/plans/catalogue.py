@@ -108,7 +108,7 @@ _TURNS_SQL = r"""turns AS (SELECT conv_id, turn, min(text) AS text FROM conversa
 words AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\s+')) AS w FROM turns) WHERE w <> '' GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {_TURNS_SQL} SELECT t.conv_id || '/' || t.turn AS origin, 0 AS sum_statements, coalesce(sum(n), 0)::BIGINT AS sum_calls, count(n) AS sum_literals
+@query(f"""WITH {_TURNS_SQL} SELECT t.conv_id || '/' || t.turn AS origin, 0::BIGINT AS sum_statements, coalesce(sum(n), 0)::BIGINT AS sum_calls, count(n) AS sum_literals
 FROM turns t LEFT JOIN words w USING (conv_id, turn) GROUP BY t.conv_id, t.turn""")
 def q_list_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).select(
@@ -160,7 +160,7 @@ len AS (SELECT control_url, cited_on_host, sum(length(diff_literals))::BIGINT AS
 fl AS (SELECT control_url, cited_on_host, string_agg(f, ',' ORDER BY f) AS fs, count(*) AS nf,
   arg_min(f, (coalesce(round(sites_probability, 6), 1.0), f)) AS rf, min(coalesce(round(sites_probability, 6), 1.0)) AS rp
   FROM fns LEFT JOIN (SELECT control_url, function_name AS f, sites_probability FROM probs) USING (control_url, f) GROUP BY 1, 2)
-SELECT n.control_url, n.cited_on_host, count(DISTINCT cited_on) AS n_pages, max(n_diff_literals) AS max_diff_literals, coalesce(max(nf), 0) AS n_diff_functions,
+SELECT n.control_url, n.cited_on_host, count(DISTINCT cited_on) AS n_pages, max(n_diff_literals) AS max_diff_literals, coalesce(max(nf), 0)::INT AS n_diff_functions,
        max(s) AS n_suspicious, max(l) AS len_diff_literals, coalesce(max(fs), '') AS diff_functions, max(rf) AS rarest_function, max(rp) AS rarest_probability
 FROM near n LEFT JOIN fl USING (control_url, cited_on_host) LEFT JOIN sus USING (control_url, cited_on_host) LEFT JOIN len USING (control_url, cited_on_host) GROUP BY 1, 2""")
 def q_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +250,7 @@ def q_function_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(V.function_distance(a, b), 6).alias("function_dist"), F.array_join(V.differing_keys(a, b), ",").alias("diff_functions"))
 
 
-@query(f"""WITH {_PAIRED} SELECT conv_id, turn, round(d * {_PENALTY}, 6) AS literal_dist, only_x AS n_not_in_origin, only_y AS n_not_in_control, coalesce(literals, '') AS diff_literals FROM stats""")
+@query(f"""WITH {_PAIRED} SELECT conv_id, turn, round(d * {_PENALTY}, 6) AS literal_dist, only_x::INT AS n_not_in_origin, only_y::INT AS n_not_in_control, coalesce(literals, '') AS diff_literals FROM stats""")
 def q_literal_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     control, origin = text.truncate_literals(F.col("counts")), text.truncate_literals(F.col("next"))
     rows = _turn_pairs(spark, sf_dir).withColumn("l", V.literal_distance(control, origin))
@@ -264,7 +264,7 @@ _ONE = lambda side, w: f"coalesce(max(CASE WHEN w = '{w}' THEN {side} END), 0)"
 @query(f"""WITH {_PAIRED}, dense AS (SELECT conv_id, turn, sqrt({" + ".join(f"power({_ONE('x', w)} - {_ONE('y', w)}, 2)" for w in _WORDS)}) AS ast,
 {" + ".join(f"{_ONE('x', w)} * {float(V.AST_WEIGHTS.get(n, 1.0))}" for w, n in zip(_WORDS, V.AST_FEATURES))} AS weighted FROM paired GROUP BY 1, 2),
 f AS (SELECT conv_id, turn, d * (CASE WHEN common > 0 THEN (n - common) / common ELSE 10 END) * {_PENALTY} AS fd FROM stats)
-SELECT conv_id, turn, round(ast * 0.75 * fd + (ast + fd) * 0.5, 4) AS total, round((ast * 0.8 + fd * 1.5) * (fd * 1.5 + 1) + ast * 0.8 + fd * 1.5 + 1, 4) AS composite, round(weighted, 6) AS weighted FROM dense JOIN f USING (conv_id, turn)""")
+SELECT conv_id, turn, round(ast * 0.75 * fd + (ast + fd) * 0.5, 4) AS total, round((ast * 0.8 + fd * 1.5) * (fd * 1.5 + 1) + ast * 0.8 + fd * 1.5 + 1, 4) AS composite, round(weighted, 6)::DOUBLE AS weighted FROM dense JOIN f USING (conv_id, turn)""")
 def q_combined_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = V.dense(F.col("counts"), _WORDS), V.dense(F.col("next"), _WORDS)
     ast, calls = V.vector_distance(a, b), V.function_distance(F.col("counts"), F.col("next"))
@@ -349,7 +349,7 @@ def q_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {HITS_SQL}, j AS (SELECT *, {_REASON} AS reason FROM hits)
 SELECT xref, control_url, family AS control_family, split_part(split_part(origin_url, '//', 2), '/', 1) AS origin_host, split_part(split_part(cited_on, '//', 2), '/', 1) AS cited_on_host, 443 AS origin_port,
-'/' || split_part(split_part(cited_on, '//', 2), '/', 2) AS cited_on_path, reason, len(diff_functions) AS n_functions
+'/' || split_part(split_part(cited_on, '//', 2), '/', 2) AS cited_on_path, reason, len(diff_functions)::INT AS n_functions
 FROM j WHERE reason NOT IN ('bad_literal_dist', 'failed_every_test') AND control_url IN (SELECT origin FROM controls WHERE NOT do_not_load)""")
 def q_publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits(spark, sf_dir).drop("cited_on_host", "cited_on_path").withColumn("diff_functions", F.array_join("diff_functions", " "))
@@ -360,7 +360,7 @@ def q_publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- artefacts -------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, strlen(text) AS size_bytes, doc_id <> min(doc_id) OVER (PARTITION BY text) AS was_cached FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, strlen(text)::INT AS size_bytes, doc_id <> min(doc_id) OVER (PARTITION BY text) AS was_cached FROM documents WHERE text IS NOT NULL""")
 def q_artefact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = artefact.with_hashes(table(spark, sf_dir, "documents").where("text is not null"), "text")
     return artefact.deduplicated(rows.select("doc_id", *artefact.KEY), ["doc_id"]).select("doc_id", *artefact.KEY, "was_cached")
@@ -394,7 +394,7 @@ def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({w: f"{w}_" for w in _WORDS[:8]})
 
 
-@query("""SELECT b.item_id, strlen(b.text) AS size_bytes FROM benchmark b WHERE strlen(text) >= 200 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)""")
+@query("""SELECT b.item_id, strlen(b.text)::INT AS size_bytes FROM benchmark b WHERE strlen(text) >= 200 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)""")
 def q_accepted_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = artefact.with_hashes(table(spark, sf_dir, "benchmark"), "text")
     known = artefact.with_hashes(table(spark, sf_dir, "documents").where("text is not null"), "text")
@@ -461,7 +461,7 @@ def q_page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT url, list_filter(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: trim(x) <> '') AS l FROM pages)
-SELECT url, generate_subscripts(l, 1) - 1 AS position, unnest(l) AS code, sha256(unnest(l)) AS sha256, md5(unnest(l)) AS md5, strlen(unnest(l)) AS size_bytes FROM s""")
+SELECT url, (generate_subscripts(l, 1) - 1)::INT AS position, unnest(l) AS code, sha256(unnest(l)) AS sha256, md5(unnest(l)) AS md5, strlen(unnest(l))::INT AS size_bytes FROM s""")
 def q_inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.inline_scripts(table(spark, sf_dir, "pages"))
 
@@ -539,7 +539,7 @@ def q_retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.retry_candidates(rows.select(F.concat(F.lit("https://u"), "user_id", F.lit(".example/")).alias("url"), (F.lit(400) + F.rint("value").cast("int") % 200).alias("http_status")))
 
 
-@query("SELECT page_id, strlen(html) AS size_bytes FROM pages WHERE strlen(html) >= 1500")
+@query("SELECT page_id, strlen(html)::INT AS size_bytes FROM pages WHERE strlen(html) >= 1500")
 def q_javascript_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("size_bytes"), F.lit(None).cast("string").alias("a"), F.lit("text/javascript").alias("b"))
     return rows.where(text.javascript_only(F.col("a"), F.col("size_bytes"), F.col("b"))).select("page_id", "size_bytes")
