@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,8 +135,10 @@ def best_controls(artefacts: DataFrame, controls: DataFrame, max_distance: float
     """
     a, b = with_sums(artefacts), with_sums(controls)
     plausible = plausible_controls(a, b, max_distance, strategies)
-    scored = scored_candidates(artefacts, controls, plausible, max_distance).where(F.col("total") <= max_distance)
-    ordered = F.array_sort(F.collect_list(F.struct("strategy", "origin", "total", "ast_dist", "function_dist", "same_sha")))
+    scored = scored_candidates(artefacts, controls, plausible, max_distance)
+    # not a filter: that would move below the distances and compute them a second time
+    candidate = F.when(F.col("total") <= max_distance, F.struct("strategy", "origin", "total", "ast_dist", "function_dist", "same_sha"))
+    ordered = F.array_sort(F.collect_list(candidate))
     tried = scored.groupBy("artefact_id").agg(ordered.alias("candidates"))
     rows = artefacts.select("artefact_id").join(tried, "artefact_id", "left")
     candidates = F.coalesce("candidates", F.array().cast(tried.schema["candidates"].dataType))
@@ -172,15 +174,14 @@ def hit_id(origin_url: Column, control_url: Column) -> Column:
 def evaluate(artefacts: DataFrame, controls: DataFrame, max_distance: float = 300.0, strategies: Sequence[str] = ("ast", "calls")) -> DataFrame:
     """The hits that are emitted: every artefact's best, and the next best if it is as near and under 50."""
     found = best_controls(artefacts, controls, max_distance, strategies)
-    parts = []
-    for rank, name in enumerate(("best", "second")):
-        parts.append(found.where(F.col(name).isNotNull()).select("artefact_id", F.lit(rank).alias("rank"), f"{name}.*").drop("total", "composite"))
-    hits = with_differences(parts[0].unionByName(parts[1]), artefacts, controls)
+    ranked = found.select("artefact_id", F.posexplode(F.array("best", "second")).alias("rank", "hit")).where(F.col("hit").isNotNull())
+    hits = with_differences(ranked.select("artefact_id", "rank", "hit.*").drop("total", "composite"), artefacts, controls)
     hits = hits.join(artefacts.select("artefact_id", F.col("url").alias("origin_url"), F.col("origin").alias("cited_on"), F.col("js_id").alias("origin_js_id")), "artefact_id")
     judged = V.composite_distance(F.col("ast_dist"), F.col("function_dist"), F.greatest("literal_dist", F.lit(0.0)))
     hits = hits.withColumns({"xref": hit_id(F.col("origin_url"), F.col("control_url")), "composite": judged})
-    best = hits.where("rank = 0").select("artefact_id", F.col("composite").alias("_best"))
-    hits = hits.join(best, "artefact_id")
+    # an artefact has two rows at most
+    best = F.max(F.when(F.col("rank") == 0, F.col("composite"))).over(Window.partitionBy("artefact_id"))
+    hits = hits.withColumn("_best", best)
     emitted = (F.col("rank") == 0) | ((F.col("control_url") != "") & (F.col("composite") <= F.col("_best")) & (F.col("composite") < 50))
     return hits.where(emitted).drop("_best")
 

@@ -15,7 +15,7 @@ from ..functions import text, url
 from ..functions import vector as V
 from ..functions.javascript import analysed
 from ..operators import artefact, crawl, maintenance, match, outlier, rarity, report, search
-from ..session import ship
+from ..session import materialised, ship
 from ..sources import files, topics
 from ..streaming import pipelines
 from . import analogue
@@ -308,7 +308,9 @@ def _script_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     a = scripts(speech, "artefact_id").withColumns({
         "url": F.concat(F.lit("https://speech.example/"), F.col("artefact_id")), "origin": F.lit("https://speech.example/"), "js_id": F.substring(F.sha2("artefact_id", 256), 1, 24)})
     b = scripts(table(spark, sf_dir, "benchmark").withColumn("origin", F.concat(F.lit("https://controls.example/"), F.col("item_id"))), "origin")
-    return a, b.withColumns({"do_not_load": F.lit(False), "size_bytes": F.lit(2000), "family": F.lit("benchmark"), "subfamily": F.lit("benchmark")})
+    b = b.withColumns({"do_not_load": F.lit(False), "size_bytes": F.lit(2000), "family": F.lit("benchmark"), "subfamily": F.lit("benchmark")})
+    # both are read by several joins
+    return materialised(a, "artefacts"), materialised(b, "controls")
 
 
 @query()

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="oreflow-shared-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..session import shared_dir
 
 
 def collected(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:

@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on, and those that large inputs need.
 SETTINGS = {
@@ -47,3 +48,20 @@ def ship(spark: SparkSession) -> None:
             out.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="oreflow-shared-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read from there, for what several parts of a plan read."""
+    path = f"{shared_dir(df.sparkSession)}/oreflow/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
