@@ -13,7 +13,7 @@ from struct import pack
 
 
 #: Parts of a generation; the older of two generations is forgotten when the younger is full.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 400_000
 
 #: White space outside ASCII, in UTF-8.
 _WIDE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
