@@ -35,8 +35,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once for each application; executors may have no copy."""
+    """Give every executor this package, once for each application; executors may have no copy.
+
+    Also lets fewer rows than Spark's default go to Python at a time, unless that was set.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # whole texts are large rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
