@@ -63,12 +63,12 @@ class Encoder:
     white space and lower-cases.
     """
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, parts: int = CACHE_PARTS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.parts = Tokenizer.from_file(path), spaced, Parts()
-        self.heads = Parts(CACHE_PARTS // 10)
+        self.tokenizer, self.spaced, self.parts = Tokenizer.from_file(path), spaced, Parts(parts)
+        self.heads = Parts(parts // 10)
         self.line = self._ids(["\n"])[0] if spaced else b""
         # a token of its own between words that are encoded as one text
         self.between = "\n" if spaced else f" {_BORDER} "
@@ -151,6 +151,6 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, parts: int = CACHE_PARTS) -> Encoder:
     """One encoder for each worker process and file."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, parts)
