@@ -36,23 +36,29 @@ MAX_LIST = 64
 _LANES = [0xFFFF << (16 * i) for i in range(4)]
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """SimHash of a text's shingles, as a signed 64-bit number.
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """The 64-bit hash of each shingle of a text, in the text's order; none for a text without words.
 
     A-Z are lower-cased; words are runs of bytes that are not ASCII white space; a text of fewer
-    words than a shingle is one shingle; a text without words has fingerprint zero.
+    words than a shingle is one shingle.
     """
     found = text.lower().split() if text else []
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
+    line, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
-    else:
-        line, digest = b" ".join(found), xxhash.xxh64_intdigest
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        starts = [0, *ends[: len(found) - words].tolist()]
-        stops = (ends[words - 1 :] - 1).tolist()
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = [0, *ends[: len(found) - words].tolist()]
+    stops = (ends[words - 1 :] - 1).tolist()
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """SimHash of a text's shingles, as a signed 64-bit number; a text without words has fingerprint zero."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from oreflow.llm import common, embeddings, simhash, urlfilter, warc
+from oreflow.llm import common, embeddings, shingles, simhash, urlfilter, warc
 
 
 def _roots(nodes, links):
@@ -279,3 +279,54 @@ def test_pipeline_of_nothing(spark, docs, labels, tmp_path, name):
     labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     n = len({r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()})
     assert (n == 0) == (name == "documents")
+
+
+# --- near copies of the pipeline -------------------------------------------------------------
+
+
+def _shingles(text, words=5):
+    found = (text or "").encode().lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def _near_copies(seed=8):
+    """Texts with copies that differ in some words: below and above the similarity of 0.8, and chains of them."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(12):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        out.append(" ".join(text))
+        for _ in range(8):
+            text = [*text]
+            for _ in range(rng.randint(1, max(1, len(text) // 45))):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(5000)}"
+            out.append(" ".join(text))
+    return [(i, t) for i, t in enumerate(out + ["", None, "two words", "Two  WORDS"])]
+
+
+@pytest.mark.parametrize("max_list", [2, 64])
+def test_shingle_components_are_brute_force(spark, max_list):
+    rows = _near_copies()
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, row long, text string").repartition(3)
+    sets = {i: _shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    found = {}
+    for r in shingles.near_duplicates(docs, max_list=max_list).collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    wanted = {}
+    for i, root in _roots(sets, links).items():
+        wanted.setdefault(root, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_pipeline_drops_near_copies_of_more_than_two_bits(spark, tmp_path):
+    from oreflow.llm import stages
+
+    rows = _near_copies()
+    prints = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
+    sets = {i: _shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum(bin((prints[a] ^ prints[b]) % 2**64).count("1") > 2 for a, b in links) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in stages.simhash_near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept) == sorted(set(_roots(sets, links).values()))
