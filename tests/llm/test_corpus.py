@@ -330,3 +330,12 @@ def test_pipeline_drops_near_copies_of_more_than_two_bits(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [r.doc_id for r in stages.simhash_near_dedup(spark, docs, str(tmp_path)).collect()]
     assert sorted(kept) == sorted(set(_roots(sets, links).values()))
+
+
+def test_pipeline_keeps_a_row_of_each_group_that_shares_an_id(spark, tmp_path):
+    from oreflow.llm import stages
+
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1].upper()), (2, texts[0]), (3, texts[1] + " more"), (4, texts[2]), (4, texts[2])]
+    out = stages.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path))
+    assert sorted((r.doc_id, r.text.lower()) for r in out.collect()) == [(1, texts[0]), (1, texts[1]), (4, texts[2])]
