@@ -30,8 +30,6 @@ EMBEDDING = 8
 FIT_DOCUMENTS = 600
 FIT_WINDOWS = 3
 FIT_SHORT = 3
-#: At most so many languages are learned, the most frequent first.
-MAX_LANGUAGES = 200
 
 _LETTER = regex.compile(r"\p{L}")
 #: What is no letter in ASCII becomes a blank, and A-Z becomes a-z.
@@ -214,20 +212,19 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_DOCUMENTS) -> Scorer | None:
     """A scorer learned from documents that are not held out; None if no text has a language.
 
-    The sample is bounded: about per_language documents of each language, chosen by a hash of the id,
+    Every language that occurs is learned.  The sample of each is bounded: about per_language documents of each language, chosen by a hash of the id,
     FIT_WINDOWS windows of each, spread over the text, and FIT_SHORT short passages.  It is what the driver gathers.
     """
     ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where((crc_mod("id", 4) != 2) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     place = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1, per_language / n) * (1 << 20))).otherwise(share)
-    chosen = known.where((place < share) & F.col("text").isNotNull()).limit(2 * per_language * len(counts))
+    shares = [(lang, int(min(1, per_language / n) * (1 << 20))) for lang, n in counts.items()]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share long")
+    chosen = known.join(F.broadcast(shares), "lang").where((place < F.col("share")) & F.col("text").isNotNull()).limit(2 * per_language * len(counts))
     found = chosen.select("lang", "text").mapInArrow(_samples, "lang string, windows binary").collect()
     languages = sorted({r["lang"] for r in found})
     if not languages:

@@ -257,6 +257,13 @@ def test_language_of_documents(docs, no_docs):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i} " * 20, f"l{i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    wanted = {r.lang for r in table.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").collect()}
+    assert len(wanted) > 200 and set(langid.train(table).languages) == wanted
+
+
 # --- op9 -------------------------------------------------------------------------------------
 
 
