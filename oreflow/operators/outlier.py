@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised, ship
 from .rarity import rarest_function
 
 FEATURES = ["ast_dist", "function_dist", "literal_dist", "literals_not_in_origin", "literals_not_in_control", "n_diff_literals", "rarest_probability"]
 LEAST_ROWS = 15
-#: At most so many distinct rows of a group are fitted on, chosen by a hash.
-FIT_ROWS = 20_000
+#: So many values of a partition bracket an order statistic in one pass; fewer are sent as they are.
+MARKS = 256
 
 
 def matrix(hits: DataFrame, probabilities: DataFrame, since: str | None = None, created: str = "created_at") -> DataFrame:
@@ -25,45 +30,132 @@ def matrix(hits: DataFrame, probabilities: DataFrame, since: str | None = None,
     return found.join(rarest_function(found, probabilities, ["xref"]), "xref", "left")
 
 
-def robust_location(x: np.ndarray, seed: int = 3, starts: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance of the half of the rows whose covariance has the least determinant."""
-    n, d = x.shape
-    h, rng = (n + d + 1) // 2, np.random.default_rng(seed)
+def _parts(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], object]) -> list:
+    """What `of` makes of each partition's hashes and rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [b for b in batches if b.num_rows]
+        if kept:
+            hashes = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in kept])
+            held = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]) for b in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(of(hashes, np.concatenate(held)))], pa.binary())], names=["made"])
+
+    return [pickle.loads(r.made) for r in table.mapInArrow(run, "made binary").collect()]
+
 
-    def step(rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        mean, cov = rows.mean(axis=0), np.cov(rows, rowvar=False) + 1e-9 * np.eye(d)
-        return np.linalg.slogdet(cov)[1], mean, np.linalg.pinv(cov)
+def _distances(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    gap = x - mean
+    return np.einsum("ij,jk,ik->i", gap, inverse, gap)
 
-    best = None
-    for _ in range(starts):
-        state = step(x[rng.choice(n, min(n, d + 1), replace=False)])
-        while True:
-            gap = x - state[1]
-            new = step(x[np.argsort(np.einsum("ij,jk,ik->i", gap, state[2], gap), kind="stable")[:h]])
-            if new[0] >= state[0] - 1e-9:
-                break
-            state = new
-        if best is None or new[0] < best[0]:
-            best = new
-    return best[1], best[2]
+
+def _nearest(table: DataFrame, states: list[tuple], ranks: list[int]) -> list[tuple]:
+    """For each state (determinant, mean, inverse) and rank: the distance of that rank, counted from one, and the
+    number, sum and products of the gaps of all rows up to it.
+
+    Each pass narrows the bracket (low, high] of the distance by marks from every partition, until
+    the partitions can send what lies in it.
+    """
+    bounds, done = [(-np.inf, np.inf)] * len(states), [None] * len(states)
+    while open_ := [n for n, x in enumerate(done) if x is None]:
+
+        def of(_: np.ndarray, x: np.ndarray, asked=[(n, *states[n][1:], *bounds[n]) for n in open_]) -> dict:
+            out = {}
+            for n, mean, inverse, low, high in asked:
+                d, gap = _distances(x, mean, inverse), x - mean
+                inner, between = gap[d <= low], (d > low) & (d <= high)
+                values, counts = np.unique(d[between], return_counts=True)
+                whole = len(values) <= MARKS
+                at = np.arange(len(values)) if whole else np.unique(np.linspace(0, len(values) - 1, MARKS).astype(int))
+                kept = []
+                if whole:  # rows of one distance together, so that equal ones are one entry
+                    place = np.searchsorted(values, d[between])
+                    sums, products = np.zeros((len(values), x.shape[1])), np.zeros((len(values), x.shape[1], x.shape[1]))
+                    np.add.at(sums, place, g := gap[between])
+                    np.add.at(products, place, g[:, :, None] * g[:, None])
+                    kept = [sums, products]
+                out[n] = (len(inner), inner.sum(axis=0), inner.T @ inner, whole, values[at], np.cumsum(counts)[at], (np.cumsum(counts) - counts)[at], int(counts.sum()), kept)
+            return out
+
+        parts = _parts(table, of)
+        for n in open_:
+            own, rank = [p[n] for p in parts], ranks[n] - sum(p[n][0] for p in parts)
+            marks = np.unique(np.concatenate([p[4] for p in own]))
+            least, most = np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64)
+            for _, _, _, _, values, upto, before, total, _ in own:
+                at = np.searchsorted(values, marks, side="right")
+                least += np.concatenate([[0], upto])[at]
+                most += np.concatenate([before, [total]])[at]
+            # of equal marks in a partition `most` counts up to the next mark
+            high = marks[int(np.argmax(least >= rank))]
+            if all(p[3] for p in own):
+                count, sums, products = sum(p[0] for p in own), sum(p[1] for p in own), sum(p[2] for p in own)
+                for p in own:
+                    inside = p[4] <= high
+                    count += int(p[5][inside][-1]) if inside.any() else 0
+                    sums, products = sums + p[8][0][inside].sum(axis=0), products + p[8][1][inside].sum(axis=0)
+                done[n] = (float(high), count, sums, products)
+            else:
+                below = marks[most < rank]
+                bounds[n] = (float(below[-1]) if len(below) else bounds[n][0], float(high))
+    return done
+
+
+def robust_location(table: DataFrame, n: int, seed: int = 3, starts: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse covariance of the half of the rows whose covariance has the least determinant.
+
+    table has a hash and the numbers of each of n rows.  All starts take their steps together, and
+    every step counts all rows; rows as far as the last of the half belong to it.
+    """
+    d = len(FEATURES)
+    h = (n + d + 1) // 2
+
+    def step(count: int, centre: np.ndarray, sums: np.ndarray, products: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        mean = sums / count
+        cov = (products - count * np.outer(mean, mean)) / (count - 1) + 1e-9 * np.eye(d)
+        return np.linalg.slogdet(cov)[1], centre + mean, np.linalg.pinv(cov)
+
+    def first(hashes: np.ndarray, x: np.ndarray) -> list[tuple]:
+        out = []
+        for k in range(starts):
+            keys = hashes.view(np.uint64) ^ np.uint64((seed + k) * 0x9E3779B97F4A7C15 % 2**64)
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            at = np.argsort(keys, kind="stable")[: d + 1]
+            out.append((keys[at], x[at]))
+        return out
+
+    parts, states = _parts(table, first), []
+    for k in range(starts):
+        keys, x = (np.concatenate([p[k][i] for p in parts]) for i in (0, 1))
+        x = x[np.argsort(keys, kind="stable")[: d + 1]]
+        gap = x - x.mean(axis=0)
+        states.append(step(len(x), x.mean(axis=0), gap.sum(axis=0), gap.T @ gap))
+    moving = list(range(starts))
+    while moving:
+        found = _nearest(table, [states[k] for k in moving], [h] * len(moving))
+        new = {k: step(count, states[k][1], sums, products) for k, (_, count, sums, products) in zip(moving, found)}
+        moving = [k for k in moving if new[k][0] < states[k][0] - 1e-9]
+        for k in moving:
+            states[k] = new[k]
+    return min(states, key=lambda x: x[0])[1:]
 
 
 def outliers(rows: DataFrame, contamination: float = 0.1) -> DataFrame:
     """rows with distance and is_outlier: the rows beyond the quantile of robust distances; none of few rows.
 
-    The location is fitted on distinct rows, at most FIT_ROWS of them; every row is scored.
+    The location and the quantile are those of all distinct rows; every row is scored.
     """
+    ship(rows.sparkSession)
     clean = [F.coalesce(F.col(c).cast("double"), F.lit(1.0 if c == "rarest_probability" else 0.0)).alias(c) for c in FEATURES]
-    distinct = rows.select(clean).distinct()
-    n = distinct.count()
-    share = min(1.0, 0.9 * FIT_ROWS / n) if n > FIT_ROWS else 1.0
-    chosen = distinct.where(F.pmod(F.xxhash64(*FEATURES), F.lit(1 << 30)) < int(share * (1 << 30))).limit(FIT_ROWS)
-    sample = chosen.toPandas().sort_values(FEATURES).to_numpy(float)
-    if len(sample) <= LEAST_ROWS:
+    distinct = rows.select(clean).distinct().select(F.xxhash64(*FEATURES).alias("hash"), *FEATURES).sortWithinPartitions(*FEATURES)
+    table = materialised(distinct, "outliers")
+    n = table.count()
+    if n <= LEAST_ROWS:
         return rows.withColumns({"distance": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
-    mean, inverse = robust_location(sample)
-    gap = sample - mean
-    limit = float(np.quantile(np.einsum("ij,jk,ik->i", gap, inverse, gap), 1 - contamination))
+    mean, inverse = robust_location(table, n)
+    place = (n - 1) * (1 - contamination)
+    ranks = [int(place) + 1, min(int(place) + 2, n)]
+    low, high = (x[0] for x in _nearest(table, [(0.0, mean, inverse)] * 2, ranks))
+    limit = low + (high - low) * (place - int(place))
 
     @F.pandas_udf("double")
     def distance(x: pd.DataFrame) -> pd.Series:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,22 @@ def test_outliers(spark):
     assert len(outlier.principal_components(rows).first().pca) == 2
 
 
+def test_outliers_count_every_row(spark):
+    # more rows than a sample held once: the threshold is the exact quantile of all distances
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(24_000, len(outlier.FEATURES)))
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=outlier.FEATURES)).withColumn("xref", F.monotonically_increasing_id()).repartition(3)
+    got = outlier.outliers(rows, 0.1).toPandas()
+    assert got.is_outlier.sum() == 2400
+    assert (got.is_outlier == (got.distance > np.quantile(got.distance, 0.9))).all()
+    table = rows.select(F.xxhash64(*outlier.FEATURES).alias("hash"), *outlier.FEATURES)
+    state = (0.0, np.zeros(7), np.eye(7))
+    distance, count, sums, _ = outlier._nearest(table, [state], [12_004])[0]
+    d = (x**2).sum(axis=1)
+    half = x[np.argsort(d)[:12_004]]
+    assert count == 12_004 and np.isclose(distance, np.sort(d)[12_003]) and np.allclose(sums, half.sum(axis=0))
+
+
 def test_topics(spark, tmp_path):
     rows = spark.createDataFrame([("k", "é", 1)], "key string, name string, n int")
     assert [r.value for r in topics.dump(rows).collect()] == ['{"name":"é","n":1}']
