@@ -25,7 +25,8 @@ VERSION = b"WARC/1.0\r\n"
 #: The date of records made from tables that have none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
-_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>")
+_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)(?=[\s/>])[^>]*>|<[!?][^>]*>")
+_CLOSES = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "noscript", "template", "textarea", "iframe", "svg")}
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>""")
 _BLOCK = frozenset(
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -84,6 +85,27 @@ def response(url: str, body: bytes, name: object, date: str = NO_DATE) -> bytes:
     ], block)
 
 
+def _without_raw(page: str) -> str:
+    """page with blanks for comments, declarations and elements whose content is no text.
+
+    An element that is never closed loses its tag alone; only a script or style runs to the end, as in
+    HTML, because what follows is its code.
+    """
+    kept, at, endless = [], 0, set()
+    while found := _RAW.search(page, at):
+        kept += [page[at : found.start()], " "]
+        at, name = found.end(), (found[1] or "").lower()
+        if not name or name in endless or name == "svg" and found[0].endswith("/>"):
+            continue
+        if close := _CLOSES[name].search(page, at):
+            at = close.end()
+        elif name in ("script", "style"):
+            at = len(page)
+        else:
+            endless.add(name)
+    return "".join([*kept, page[at:]])
+
+
 def plain_text(page: str) -> tuple[str, str, list[str]]:
     """Text (a line for each block element with text), title and link targets of a page."""
     found = _TITLE.search(page)
@@ -96,7 +118,7 @@ def plain_text(page: str) -> tuple[str, str, list[str]]:
             links.append(html.unescape(href[1] or href[2] or href[3] or "").strip())
         return "\n" if name in _BLOCK else ""
 
-    text = html.unescape(_TAG.sub(tag, _RAW.sub(" ", page.replace("\n", " "))))
+    text = html.unescape(_TAG.sub(tag, _without_raw(page.replace("\n", " "))))
     lines = (_BLANKS.sub(" ", x).strip() for x in text.split("\n"))
     return "\n".join(x for x in lines if x), title, [x for x in links if x]
 

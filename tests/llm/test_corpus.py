@@ -50,6 +50,12 @@ def test_plain_text():
     assert warc.plain_text("") == ("", "", []) and warc.plain_text("a < b > c <")[0]
 
 
+@pytest.mark.parametrize("odd", ["<svg-icon></svg-icon>", "<template-view></template-view>", "<svg/>", '<svg class="x" />', "<svg>", "<IFRAME src=x>", "<template>", "<noscript>", "<textarea>", "<svg><path/></svg>"])
+def test_text_behind_odd_elements_stays(odd):
+    text, _, links = warc.plain_text(f"<p>one</p>{odd}<p>two <a href=/x>three</a></p>" + "<svg>" * 3)
+    assert text.split("\n") == ["one", "two three"] and links == ["/x"]
+
+
 def test_derivatives_link_to_their_source():
     source = warc.response("https://a.example/x", PAGE.encode(), 7)
     headers, block = warc.read_record(source)
