@@ -13,6 +13,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,14 +26,20 @@ VERSION = b"WARC/1.0\r\n"
 #: The date of records made from tables that have none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
-_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)(?=[\s/>])[^>]*>|<[!?][^>]*>")
-_CLOSES = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "noscript", "template", "textarea", "iframe", "svg")}
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>""")
+#: What a compressed body may decode to, in bytes; a record of a larger one is rejected.
+MAX_BODY = 1 << 28
+
+# Every search below moves on by what it has read, so a page of any shape costs time in proportion to its length.
+_RAW = re.compile(r"(?i)<!--|<(script|style|noscript|template|textarea|iframe|svg)(?=[\s/>])|<[!?]")
+_CLOSES = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title")}
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>""")
 _BLOCK = frozenset(
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+_TITLE = re.compile(r"(?i)<title(?=[\s/>])")
+#: References by numbers that html.unescape would not take.
+_LONG_NUMBER = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
 _HREF = re.compile(r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 
@@ -89,13 +96,20 @@ def _without_raw(page: str) -> str:
     """page with blanks for comments, declarations and elements whose content is no text.
 
     An element that is never closed loses its tag alone; only a script or style runs to the end, as in
-    HTML, because what follows is its code.
+    HTML, because what follows is its code.  A tag that never ends is text.
     """
     kept, at, endless = [], 0, set()
     while found := _RAW.search(page, at):
+        comment = found[0] == "<!--"
+        stop = page.find("-->" if comment else ">", found.end())
+        if stop < 0 and not comment:
+            break
         kept += [page[at : found.start()], " "]
-        at, name = found.end(), (found[1] or "").lower()
-        if not name or name in endless or name == "svg" and found[0].endswith("/>"):
+        if comment:
+            at = stop + 3 if stop >= 0 else len(page)
+            continue
+        at, name = stop + 1, (found[1] or "").lower()
+        if not name or name in endless or name == "svg" and page[stop - 1] == "/":
             continue
         if close := _CLOSES[name].search(page, at):
             at = close.end()
@@ -106,32 +120,108 @@ def _without_raw(page: str) -> str:
     return "".join([*kept, page[at:]])
 
 
+def _unescaped(text: str) -> str:
+    """text with its character references resolved; numbers beyond Unicode become U+FFFD."""
+
+    def short(found: re.Match) -> str:
+        digits = (found[1] or found[2]).lstrip("0")
+        return "\ufffd" if len(digits) > 7 else f"&#{'' if found[1] else 'x'}{digits or 0};"
+
+    return html.unescape(_LONG_NUMBER.sub(short, text))
+
+
+def _title(page: str) -> str:
+    """The text of a page's first title element; empty if it is never closed."""
+    found = _TITLE.search(page)
+    start = page.find(">", found.end()) if found else -1
+    close = _CLOSES["title"].search(page, start) if start >= 0 else None
+    return " ".join(_unescaped(page[start + 1 : close.start()]).split()) if close else ""
+
+
 def plain_text(page: str) -> tuple[str, str, list[str]]:
     """Text (a line for each block element with text), title and link targets of a page."""
-    found = _TITLE.search(page)
-    title = " ".join(html.unescape(found[1]).split()) if found else ""
     links: list[str] = []
 
     def tag(match: re.Match) -> str:
         name = match[2].lower()
         if name == "a" and not match[1] and (href := _HREF.search(match[3])):
-            links.append(html.unescape(href[1] or href[2] or href[3] or "").strip())
+            links.append(_unescaped(href[1] or href[2] or href[3] or "").strip())
         return "\n" if name in _BLOCK else ""
 
-    text = html.unescape(_TAG.sub(tag, _without_raw(page.replace("\n", " "))))
+    text = _unescaped(_TAG.sub(tag, _without_raw(page.replace("\n", " "))))
     lines = (_BLANKS.sub(" ", x).strip() for x in text.split("\n"))
-    return "\n".join(x for x in lines if x), title, [x for x in links if x]
+    return "\n".join(x for x in lines if x), _title(page), [x for x in links if x]
+
+
+def _dechunked(body: bytes) -> bytes:
+    """The data of a chunked body; ValueError if it is none, as in archives that keep the header of a body already decoded."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at, at + 1024)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not size or len(size) > 16 or size.strip(b"0123456789abcdefABCDEF"):
+            raise ValueError("no chunk")
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(parts)
+        if body[at + n : at + n + 2] != b"\r\n":
+            raise ValueError("a chunk is cut short")
+        parts.append(body[at : at + n])
+        at += n + 2
+
+
+def _inflated(body: bytes, window: int) -> bytes:
+    """What a gzip or zlib body holds (window: as zlib names it); ValueError beyond MAX_BODY."""
+    parts, room = [], MAX_BODY
+    while body:
+        unpack = zlib.decompressobj(window)
+        data = unpack.decompress(body, room + 1)
+        room -= len(data)
+        if room < 0:
+            raise ValueError("the decoded body is too large")
+        parts.append(data)
+        body = unpack.unused_data  # gzip members may follow each other
+    return b"".join(parts)
+
+
+def decoded_body(body: bytes, transfer: str, encoding: str) -> bytes:
+    """A body without its transfer and content encodings; one that is not encoded as declared stays as it is."""
+    if "chunked" in transfer.lower():
+        try:
+            body = _dechunked(body)
+        except ValueError:
+            pass
+    for name in reversed([x.strip().lower() for x in encoding.split(",")]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                body = _inflated(body, 31)
+            elif name == "deflate":
+                try:
+                    body = _inflated(body, 15)
+                except zlib.error:
+                    body = _inflated(body, -15)
+        except zlib.error:
+            break
+    return body
 
 
 def _charset(content_type: str) -> str:
-    """The declared encoding if Python knows it, else UTF-8."""
+    """The declared encoding if Python knows it as one of texts, else UTF-8."""
     found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type, re.I)
     try:
-        return codecs.lookup(found[1]).name if found else "utf-8"
-    except LookupError:
+        b"a".decode(found[1], "replace")  # fails for codecs that are none of texts
+        return codecs.lookup(found[1]).name
+    except (TypeError, LookupError, ValueError):
         return "utf-8"
 
 
+def _text(body: bytes, content_type: str) -> str:
+    try:
+        return body.decode(_charset(content_type), "replace")
+    except ValueError:  # some codecs refuse to replace
+        return body.decode("utf-8", "replace")
+
+
 def derive(data: bytes) -> list[dict]:
     """The derivatives of one response record; nothing for records of other types.
 
@@ -144,14 +234,19 @@ def derive(data: bytes) -> list[dict]:
     if not source:
         raise ValueError("the source has no id")
     head, _, body = block.partition(b"\r\n\r\n")
+    status, *lines = head.decode("latin-1").split("\r\n")
+    http = [(k.strip(), v.strip()) for k, c, v in (x.partition(":") for x in lines) if c]
+    declared: dict[str, str] = {}
+    for k, v in http:
+        declared.setdefault(k.lower(), v)
     block_digest, payload_digest = digest(block), digest(body)
+    plain = decoded_body(body, declared.get("transfer-encoding", ""), declared.get("content-encoding", ""))
     for name, own in (("warc-block-digest", block_digest), ("warc-payload-digest", payload_digest)):
         if headers.get(name, "").startswith("sha1:") and headers[name] != own:
-            raise ValueError(f"{name} does not fit")
-    status, *lines = head.decode("latin-1").split("\r\n")
-    http = [(k.strip(), v.strip()) for k, c, v in (x.partition(":") for x in lines) if c]
-    content_type = next((v for k, v in http if k.lower() == "content-type"), "")
-    text, title, links = plain_text(body.decode(_charset(content_type), "replace"))
+            # archives differ in whether a payload is digested with its chunks
+            if name == "warc-block-digest" or headers[name] != digest(decoded_body(body, declared.get("transfer-encoding", ""), "")):
+                raise ValueError(f"{name} does not fit")
+    text, title, links = plain_text(_text(plain, declared.get("content-type", "")))
     uri, date = headers.get("warc-target-uri", ""), headers.get("warc-date", NO_DATE)
     fields = [("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("http-status-line", status)]
     fields += [(f"http-header-{k.lower()}", v) for k, v in http] + [("title", title)] * bool(title) + [("outlink", x) for x in links]
@@ -200,7 +295,11 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id and record: a response record for each page.  Null urls and pages count as empty."""
+    """id and record: a response record for each page.
+
+    Null urls and pages count as empty; a page of any length is one record.  Repeated rows give the same
+    record again, a null id is kept, an empty table gives no rows, other columns are not read.
+    """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_responses, "id long, record binary")
@@ -210,8 +309,9 @@ def derivatives(records: DataFrame, id_col: str = "id", record_col: str = "recor
     """The metadata and the conversion record of each response record, as columns and whole records.
 
     Other record types give nothing; what is no sound record gives one row of type `rejected` with
-    the reason in error.  Empty pages give an empty conversion.  Repeated rows give the same ids
-    again; an empty table gives no rows; other columns are not read.
+    the reason in error.  Chunked, gzip and deflate bodies are decoded; a charset that names no encoding of
+    texts counts as UTF-8.  Empty pages give an empty conversion, pages of any length a whole one.  Repeated
+    rows give the same ids again; an empty table gives no rows; other columns are not read.  Ids must be numbers.
     """
     ship(records.sparkSession)
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(record_col).alias("record"))

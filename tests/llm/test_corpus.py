@@ -1,6 +1,9 @@
 """Operators over the whole corpus: joins, filters, records and the pipeline."""
 
+import gzip
 import random
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -82,6 +85,54 @@ def test_unsound_records():
     assert warc.read_record(warc.derive(with_own)[1]["record"])[1].decode() == "é"
 
 
+@pytest.mark.parametrize("part", ["<title>", "<script ", "<!", "<!--", "<a", "<a x='", '<a "', "</script", "<style>", "<svg>", "&", "<", "<p>", " \t", "<title ", "</title"])
+def test_pages_of_any_shape_take_linear_time(part):
+    began = time.process_time()
+    warc.plain_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 5  # about 0.5; minutes if searches began anew at every tag
+
+
+def test_references_by_long_numbers():
+    assert warc.plain_text("&#" + "1" * 9000 + ";&#" + "0" * 9000 + "65;&#x000000041;")[0] == "\ufffdAA"
+
+
+def _http(body, **headers):
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
+    return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<x:y>")], b"HTTP/1.1 200 OK\r\n" + head.encode() + b"\r\n" + body)
+
+
+def _conversion(record):
+    """The block of a conversion record, read by its Content-Length alone."""
+    data = warc.derive(record)[1]["record"]
+    head, block = data.split(b"\r\n\r\n", 1)
+    size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length"))
+    assert block[size:] == b"\r\n\r\n"
+    return block[:size].decode()
+
+
+@pytest.mark.parametrize("charset", ["hex", "base64", "zlib", "rot13", "undefined", "idna", "none-such", "\"utf-8\""])
+def test_charsets_that_are_none_of_texts(charset):
+    assert _conversion(_http("<p>é".encode(), Content_Type=f"text/html; charset={charset}")) == "é"
+
+
+def test_encoded_bodies():
+    page = "<p>één</p>".encode()
+    chunked = b"4\r\n" + page[:4] + b"\r\n%x;a=b\r\n" % (len(page) - 4) + page[4:] + b"\r\n0\r\n\r\n"
+    assert _conversion(_http(chunked, Transfer_Encoding="chunked")) == "één"
+    assert _conversion(_http(page, Transfer_Encoding="chunked")) == "één"  # decoded already
+    for name, body in (("gzip", gzip.compress(page)), ("x-gzip", gzip.compress(page[:3]) + gzip.compress(page[3:])), ("deflate", zlib.compress(page)), ("deflate", zlib.compress(page)[2:-4]), ("gzip", page)):
+        assert _conversion(_http(body, Content_Encoding=name)) == "één"
+    packed = gzip.compress(page)
+    assert _conversion(_http(b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n", Transfer_Encoding="chunked", Content_Encoding="gzip")) == "één"
+
+
+def test_a_body_that_decodes_to_too_much(monkeypatch):
+    monkeypatch.setattr(warc, "MAX_BODY", 1000)
+    with pytest.raises(ValueError):
+        warc.derive(_http(gzip.compress(b"x" * 1001), Content_Encoding="gzip"))
+    assert _conversion(_http(gzip.compress(b"x" * 1000), Content_Encoding="gzip")) == "x" * 1000
+
+
 def test_pages_to_derivatives(spark):
     rows = [(1, "http://a/", PAGE, "x"), (1, "http://a/", PAGE, "x"), (None, None, None, "x"), (2, "http://b/", "", "x"), (3, "u", "<p>" * 50_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record string")
