@@ -27,6 +27,9 @@ WIDTH = 576
 PAD = 255
 SIDE = 32
 LOW = 8
+#: Rows that are filtered at one time, and rows whose antidiagonals are undone together.
+BLOCK = 4096
+WAVE_ROWS = 512
 
 _COSINE = np.cos(np.pi * (2 * np.arange(SIDE) + 1) * np.arange(LOW)[:, None] / (2 * SIDE))
 
@@ -41,37 +44,62 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def _predictions(image: np.ndarray) -> list[np.ndarray]:
-    """What each of the five filters expects for every sample (left, above and above left are zero outside)."""
-    wide = np.pad(image, ((1, 0), (1, 0))).astype(np.int16)
-    a, b, c = wide[1:, :-1], wide[:-1, 1:], wide[:-1, :-1]
+def _filtered(image: np.ndarray, filters: np.ndarray | None) -> Iterator[np.ndarray]:
+    """The filtered rows, each behind its filter type, in blocks of BLOCK rows; without filters all have type 0."""
+    for at in range(0, len(image), BLOCK):
+        block = image[at : at + BLOCK]
+        rows = np.zeros((len(block), block.shape[1] + 1), np.uint8)
+        rows[:, 1:] = block
+        if filters is not None:
+            rows[:, 0] = kinds = filters[at : at + BLOCK]
+            above = np.zeros_like(block)
+            above[1:] = block[:-1]
+            if at:
+                above[0] = image[at - 1]
+            for kind in np.unique(kinds[kinds > 0]):
+                own = kinds == kind
+                left, up = np.zeros_like(block[own]), above[own]
+                left[:, 1:] = block[own][:, :-1]
+                corner = np.zeros_like(up)
+                corner[:, 1:] = up[:, :-1]
+                rows[own, 1:] -= _expected(int(kind), left, up, corner)
+        yield rows
+
+
+def _expected(kind: int, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What a filter type expects for samples with these neighbours."""
+    if kind < 3:
+        return left if kind == 1 else up
+    a, b, c = left.astype(np.int16), up.astype(np.int16), corner.astype(np.int16)
+    if kind == 3:
+        return ((a + b) >> 1).astype(np.uint8)
     p = a + b - c
-    pa_, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-    paeth = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
-    return [np.zeros_like(a), a, b, (a + b) >> 1, paeth]
+    near_a, near_b, near_c = abs(p - a), abs(p - b), abs(p - c)
+    return np.where((near_a <= near_b) & (near_a <= near_c), left, np.where(near_b <= near_c, up, corner))
 
 
 def encode_png(samples: bytes, n_bytes: int, width: int = WIDTH, level: int = 6, filters: np.ndarray | None = None) -> bytes:
     """A PNG file of samples (whole rows of `width`); filters gives each row's filter type, 0 without."""
     image = np.frombuffer(samples, np.uint8).reshape(-1, width)
-    rows = np.zeros((len(image), width + 1), np.uint8)
-    if filters is None:
-        rows[:, 1:] = image
-    else:
-        rows[:, 0] = filters
-        expected = np.stack(_predictions(image))[rows[:, 0], np.arange(len(image))]
-        rows[:, 1:] = (image - expected).astype(np.uint8)
+    pack = zlib.compressobj(level)
+    data = b"".join([*(pack.compress(rows.tobytes()) for rows in _filtered(image, filters)), pack.flush()])
     head = struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"nbYt", struct.pack(">Q", n_bytes)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"nbYt", struct.pack(">Q", n_bytes)) + _chunk(b"IDAT", data) + _chunk(b"IEND", b"")
 
 
 def row_filters(samples: bytes, width: int = WIDTH) -> np.ndarray:
     """For each row the type among none, left and above that leaves the least sum of absolute differences."""
     image = np.frombuffer(samples, np.uint8).reshape(-1, width)
-    left, above = image.copy(), image.copy()
-    left[:, 1:] -= image[:, :-1]
-    above[1:] -= image[:-1]
-    return np.argmin([np.abs(x.view(np.int8).astype(np.int16)).sum(axis=1) for x in (image, left, above)], axis=0)
+    out = np.zeros(len(image), np.uint8)
+    for at in range(0, len(image), BLOCK):
+        block = image[at : at + BLOCK]
+        left, above = block.copy(), block.copy()
+        left[:, 1:] -= block[:, :-1]
+        above[1:] -= block[:-1]
+        if at:
+            above[0] -= image[at - 1]
+        out[at : at + BLOCK] = np.argmin([np.minimum(x, -x).sum(axis=1, dtype=np.int64) for x in (block, left, above)], axis=0)
+    return out
 
 
 def smallest_png(samples: bytes, n_bytes: int) -> bytes:
@@ -79,12 +107,47 @@ def smallest_png(samples: bytes, n_bytes: int) -> bytes:
     return min(encode_png(samples, n_bytes), encode_png(samples, n_bytes, filters=row_filters(samples)), key=len)
 
 
+def _waves(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The samples of filtered rows of any types; above is the row before them.
+
+    A sample needs those to its left, above and above left: all samples of one antidiagonal are undone
+    at once.  Row n is shifted by n places, so that an antidiagonal is one line of the shifted block.
+    """
+    n, width = rows.shape
+    shifted = np.zeros((width + n + 1, n + 1), np.uint8)  # one line and one column of zeros come first
+    at = np.arange(n)
+    columns = np.arange(width)
+    shifted[columns + 1, 0] = above
+    raw = np.zeros((width + n, n), np.uint8)
+    for r in range(n):
+        raw[r : r + width, r] = rows[r]
+    groups = [(kind, at[kinds == kind]) for kind in np.unique(kinds)]
+    for wave in range(width + n - 1):
+        # column 0 of shifted is the row above, which lies one place earlier than row 0
+        for kind, own in groups:
+            own = own[max(0, np.searchsorted(own, wave - width + 1)) : np.searchsorted(own, wave, side="right")]
+            if not len(own):
+                continue
+            value = raw[wave, own]
+            if kind:
+                left, up, corner = shifted[wave + 1, own + 1], shifted[wave + 1, own], shifted[wave, own]
+                value = value + _expected(int(kind), left, up, corner)
+            shifted[wave + 2, own + 1] = value
+        # what lies left of a row's first sample is zero
+        if wave + 1 < n:
+            shifted[wave + 2, wave + 2 :] = 0
+    return np.stack([shifted[r + 2 : r + 2 + width, r + 1] for r in range(n)])
+
+
 def _unfilter(rows: np.ndarray) -> np.ndarray:
-    """The samples of filtered rows, whose first byte is the filter type; runs of one type are undone at once."""
+    """The samples of filtered rows, whose first byte is the filter type, by numpy alone.
+
+    Runs of types 0 to 2 are undone at once; the rest in blocks, an antidiagonal at a time.
+    """
     kinds, out = rows[:, 0], rows[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown filter type")
-    stops = np.flatnonzero(np.diff(kinds)) + 1
+    stops = np.flatnonzero(np.diff(np.where(kinds > 2, 3, kinds))) + 1
     for a, b in zip([0, *stops.tolist()], [*stops.tolist(), len(out)]):
         kind = kinds[a] if b > a else 0
         if kind == 1:
@@ -94,19 +157,9 @@ def _unfilter(rows: np.ndarray) -> np.ndarray:
                 out[a] += out[a - 1]
             out[a:b] = np.cumsum(out[a:b], axis=0, dtype=np.uint8)
         elif kind > 2:
-            for n in range(a, b):
-                above = out[n - 1].tolist() if n else [0] * out.shape[1]
-                line, left, corner = out[n].tolist(), 0, 0
-                for m, up in enumerate(above):
-                    if kind == 3:
-                        expected = (left + up) >> 1
-                    else:
-                        p = left + up - corner
-                        near = (abs(p - left), abs(p - up), abs(p - corner))
-                        expected = (left, up, corner)[near.index(min(near))]
-                    left, corner = (line[m] + expected) & 255, up
-                    line[m] = left
-                out[n] = line
+            for at in range(a, b, WAVE_ROWS):
+                end = min(b, at + WAVE_ROWS)
+                out[at:end] = _waves(kinds[at:end], out[at:end], out[at - 1] if at else np.zeros(out.shape[1], np.uint8))
     return out
 
 
@@ -185,8 +238,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and media: each text's payload as a PNG file in a binary column.
 
-    Null and empty texts give one row of bytes 255.  Rows are independent: equal texts give equal
-    files, repeated rows and null ids are kept, an empty table gives no rows, other columns are not read.
+    Null and empty texts give one row of bytes 255; a text of any length is one image, filtered in blocks, so
+    memory is a few times the text.  Rows are independent: equal texts give equal files, repeated rows and
+    null ids are kept, an empty table gives no rows, other columns are not read.  Ids must be numbers.
     """
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_media, "doc_id long, media binary")
