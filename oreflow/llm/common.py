@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..session import ship  # noqa: F401  the operators take it from here
 
 #: Rows that a Python operator holds as Python objects at one time.
 SLICE_ROWS = 256
+#: Bytes of texts and binaries that it holds at one time, unless one row has more.
+SLICE_BYTES = 4 << 20
 
 #: Tables that cut() and others made and that still stand.
 _standing: set[str] = set()
@@ -64,11 +68,21 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of a bounded number of rows."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of a bounded number of rows, and of bytes of texts unless a single row has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = None
+        if batch.nbytes > size:
+            wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type)]
+            ends = sum((np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for c in wide), np.zeros(batch.num_rows, np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = min(at + rows, batch.num_rows)
+            if ends is not None:
+                fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+                stop = min(stop, max(fits, at + 1))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def crc_mod(column: str, n: int) -> Column:

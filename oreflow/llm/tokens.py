@@ -1,7 +1,7 @@
 """Token ids of whole texts through the tokenizers library, with the words that recur encoded once.
 
 A text is cut where its tokenizer cuts it anyway, the ids of each part are looked up, and the parts
-that are new are encoded by the library together.  Memory is bounded: the parts of two generations.
+that are new are encoded by the library together.  Memory is bounded by entries and bytes: see Parts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from struct import pack
 
 #: Parts of a generation; the older of two generations is forgotten when the younger is full.
 CACHE_PARTS = 400_000
+#: What an entry of usual length takes, and the length from which a part is not remembered.
+ENTRY_BYTES = 240
+LONG = 256
 
 #: White space outside ASCII, in UTF-8.
 _WIDE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
@@ -33,26 +36,36 @@ _SOLID = re.compile(rb"[!-~]{2}")
 
 
 class Parts:
-    """Two generations of remembered parts."""
+    """Two generations of remembered parts, bounded by entries and by bytes: about 2 * size * ENTRY_BYTES in all.
+
+    Parts longer than LONG are made anew each time, so texts without blanks are not kept.
+    """
 
     def __init__(self, size: int = CACHE_PARTS) -> None:
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.young, self.old, self.held = size, {}, {}, 0
 
     def values(self, parts: list, make) -> list:
         """The value of each part; make(list) gives the values of new ones."""
         found = list(map(self.young.get, parts))
         if None in found:
-            young, old = self.young, self.old
+            young, old, long = self.young, self.old, {}
             gaps = [n for n, v in enumerate(found) if v is None]
             new = {parts[n] for n in gaps}
-            if old:
-                young.update((x, old[x]) for x in new if x in old)
+            if old and (kept := {x: old[x] for x in new if x in old}):
+                young.update(kept)
+                self.held += ENTRY_BYTES * len(kept)
             if made := [x for x in new if x not in young]:
-                young.update(zip(made, make(made)))
+                pairs = list(zip(made, make(made)))
+                short = [x for x in pairs if len(x[0]) <= LONG]
+                if len(short) < len(pairs):
+                    long = dict(x for x in pairs if len(x[0]) > LONG)
+                young.update(short)
+                # a value takes a few bytes for each byte of its part
+                self.held += ENTRY_BYTES // 2 * len(short) + 4 * sum(len(x[0]) for x in short)
             for n in gaps:
-                found[n] = young[parts[n]]
-            if len(young) > self.size:
-                self.old, self.young = young, {}
+                found[n] = young[parts[n]] if parts[n] in young else long[parts[n]]
+            if len(young) > self.size or self.held > self.size * ENTRY_BYTES:
+                self.old, self.young, self.held = young, {}, 0
         return found
 
 

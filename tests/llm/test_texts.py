@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -13,7 +14,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from oreflow.llm import binary, langid, media, packing, quality, spiece
-from oreflow.llm.tokens import Encoder
+from oreflow.llm.common import slices
+from oreflow.llm.tokens import ENTRY_BYTES, LONG, Encoder, Parts
 
 ODD = ["a  b", " lead", "trail ", "\n\n a  b", "x \n\ny z", "é a ́b", "It's 123,45 ΑΣ ς.", "a\x1cb \x85c", " a　b", "\t", "a, b. c", "x!, y?. z", "é, ñ. ×, ÷. end.", "foo\nBar. baz,\nq", "<|endoftext|> x", "foo  <|endoftext|> y", "<|STARTOFTEXT|>a", "a\0b \0", "don't we'll", ".. , ."]
 TEXT = st.text(st.sampled_from("ab ., \n\té'!1 A漢\u00a0"), max_size=40)
@@ -47,6 +49,25 @@ def test_encoder_forgets_and_still_agrees(encoder):
         assert _ids(small.encode(text.encode())) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_what_is_remembered_is_bounded_in_bytes():
+    parts = Parts(1000)
+    for n in range(10_000):  # long parts are not kept, and others count by their length
+        parts.values([f"{n:05d}" * 4000, f"{n:05d}" * 40], lambda new: [x.encode() for x in new])
+        kept = [*parts.young.items(), *parts.old.items()]
+        if n % 500 == 0:
+            assert sum(len(k) + len(v) for k, v in kept) < 4 * 1000 * ENTRY_BYTES and max((len(k) for k, _ in kept), default=0) <= LONG
+    assert parts.values(["a" * 9999, "b"], lambda new: [x.upper() for x in new]) == ["A" * 9999, "B"]
+
+
+def test_slices_are_bounded_in_bytes():
+    texts = ["x" * n for n in (10, 900, 5, 5, 3000, 1, 1, 1, 999)] + [None] * 3
+    batch = pa.RecordBatch.from_pydict({"id": list(range(12)), "text": pa.array(texts, pa.string())})
+    found = list(slices([batch, batch.slice(4, 3), batch.slice(0, 0)], rows=4, size=1000))
+    assert [x for b in found for x in b.column(0).to_pylist()] == [*range(12), 4, 5, 6]
+    for b in found:
+        assert 0 < b.num_rows <= 4 and (b.num_rows == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= 1000)
+
+
 # --- op1 -------------------------------------------------------------------------------------
 
 
@@ -109,6 +130,64 @@ def test_png_round_trip_with_all_filters(data, seed):
         assert image.tobytes() == samples and own == len(data)
 
 
+def _paeth(a, b, c):
+    p = a + b - c
+    return min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+
+
+def _undone(rows):
+    """Filtered rows undone sample by sample, as the format's definition says."""
+    out = []
+    for kind, *line in rows.tolist():
+        above = out[-1] if out else [0] * len(line)
+        done = []
+        for n, x in enumerate(line):
+            left, up, corner = (done[n - 1] if n else 0), above[n], (above[n - 1] if n else 0)
+            done.append((x + [0, left, up, (left + up) // 2, _paeth(left, up, corner)][kind]) % 256)
+        out.append(done)
+    return np.array(out, np.uint8)
+
+
+@pytest.mark.parametrize(("n", "width"), [(1, 1), (1, 9), (7, 1), (40, 13), (9, 70)])
+def test_unfiltering_is_the_definition(n, width):
+    rng = np.random.default_rng(n)
+    for kinds in ([3], [4], [3, 4], [0, 1, 2, 3, 4]):
+        rows = rng.integers(0, 256, (n, width + 1), dtype=np.uint8)
+        rows[:, 0] = rng.choice(kinds, n)
+        assert (media._unfilter(rows) == _undone(rows)).all()
+        image = _undone(rows)
+        again = np.concatenate(list(media._filtered(image, rows[:, 0])))
+        assert (again == rows).all()
+
+
+def test_rows_are_filtered_in_blocks_alike(monkeypatch):
+    samples = media.payload(b"ab c" * 5000)
+    filters = np.random.default_rng(2).integers(0, 5, len(samples) // media.WIDTH)
+    whole = media.encode_png(samples, 1, filters=filters), media.row_filters(samples).tolist()
+    monkeypatch.setattr(media, "BLOCK", 3)
+    monkeypatch.setattr(media, "WAVE_ROWS", 2)
+    assert (media.encode_png(samples, 1, filters=filters), media.row_filters(samples).tolist()) == whole
+    assert media.decode_png(whole[0])[0].tobytes() == samples
+
+
+@pytest.mark.parametrize("shape", [(1, 576), (5, 576), (40, 576), (33, 31)])
+def test_cosine_hash_is_the_definition(shape):
+    image = np.random.default_rng(shape[0]).integers(0, 256, shape, dtype=np.uint8)
+    edges = [[k * n // 32 for k in range(32)] + [n] for n in shape]
+    small = np.zeros((32, 32))
+    for i in range(32):
+        for j in range(32):
+            a, b = edges[0][i], max(edges[0][i + 1], edges[0][i] + 1)
+            c, d = edges[1][j], max(edges[1][j + 1], edges[1][j] + 1)
+            small[i, j] = image[a:b, c:d].mean()
+    low = [sum(small[i, j] * np.cos(np.pi * (2 * i + 1) * u / 64) * np.cos(np.pi * (2 * j + 1) * v / 64) for i in range(32) for j in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = [low[0] > 0] + [x > middle for x in low[1:]]
+    found = [int(x) for x in f"{int(media.cosine_hash(image), 16):064b}"]
+    # sums in another order may put a frequency of about the median on its other side
+    assert all(a == b or abs(x - middle) < 1e-6 for a, b, x in zip(found, bits, low))
+
+
 def test_png_tests_every_checksum():
     whole = media.encode_png(media.payload(b"some text"), 9)
     for at in range(8, len(whole)):
