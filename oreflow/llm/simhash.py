@@ -2,15 +2,16 @@
 
 Method.  A 64-bit fingerprint has eight positional bytes.  Fingerprints that differ in at most two
 bits share at least six of them: the guaranteed minimum.  A posting list for one byte would hold
-1/256 of the corpus whatever its size, so the index posts sets of positions: the bytes form four
-pairs, and each fingerprint is posted under its six choices of two pairs (four positional bytes).
-Two differing bits touch at most two pairs, so linked fingerprints meet in some posting.  Pairs that
-meet are tallied over all eight positions, kept from six matches on, and verified bit by bit.
-
-Equal fingerprints are one entry of the index, however many documents have them.  A posting list
-over `max_list` entries emits no pairs: its entries name the fingerprints within one bit of them, and
-two entries name a common one exactly if they differ in at most two bits.  Each entry is then linked
-to the smallest one that names the same, which keeps every component and makes linearly many rows.
+1/256 of the corpus whatever its size, so each of the 21 kinds of lists here stands for five positions
+and their bytes (40 bits).  The 21 sets of positions are chosen so that any six positions hold at least two of
+them and any five at most one.  The tally of a pair is how many positional bytes its common lists
+cover: all it shares if these are six or more, never more than it shares.  Pairs with a tally of six are
+retained and verified bit by bit.
+
+Equal fingerprints are one entry of the index, however many documents have them.  A list of five
+bytes leaves 24 bits open, of which two may differ, so four of their six half bytes agree.  Within a
+list, entries therefore meet by four half bytes, where at most 256 fingerprints can meet: the
+pairs grow with the entries, not with the square of a list, whatever its size.
 """
 
 from __future__ import annotations
@@ -21,19 +22,43 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, ship, slices
 
 SEED = 42
-#: Of eight positional bytes, so many are equal if at most two bits differ.
-MIN_SHARED_BYTES = 6
+#: Differing bits of linked fingerprints; as many positional bytes may differ, of POSITIONS.
 MAX_BITS = 2
-#: Entries of a posting list up to which its pairs are tallied.
-MAX_LIST = 64
+POSITIONS = 8
 
-_LANES = [0xFFFF << (16 * i) for i in range(4)]
+
+def _choices(max_bits: int) -> list[tuple[int, ...]]:
+    """The sets of positions that lists stand for, each of one position fewer than linked fingerprints share.
+
+    Any positions that linked fingerprints may share hold two sets at least, and so are covered.  For two
+    bits the left-out threes are the lines of two Fano planes over positions 0 to 6, and the neighbours
+    there with position 7: every two positions are in two or three of them.
+    """
+    if max_bits == 2:
+        out = [{(x + turn) % 7 if x < 7 else 7 for x in line} for line in ((0, 1, 3), (0, 2, 3), (0, 1, 7)) for turn in range(7)]
+        return [tuple(x for x in range(POSITIONS) if x not in o) for o in out]
+    return list(combinations(range(POSITIONS), POSITIONS - 1 - max_bits))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _mask(choice: tuple[int, ...]) -> int:
+    """The bits of the bytes at the positions of a choice."""
+    return sum(255 << (8 * x) for x in choice)
+
+
+def _finer(choice: tuple[int, ...], max_bits: int) -> list[int]:
+    """The masks by which entries of a list meet: its bytes and all but max_bits of the half bytes that it leaves open."""
+    rest = [15 << (4 * n) for n in range(2 * POSITIONS) if n // 2 not in choice]
+    return [_signed(_mask(choice) + sum(x)) for x in combinations(rest, len(rest) - max_bits)]
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -82,55 +107,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
-def _shared_bytes(x: Column) -> Column:
-    """How many of the eight bytes of a xor are zero."""
-    return sum((F.when(x.bitwiseAND(F.lit(255 << (8 * i) if i < 7 else -(1 << 56))) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-
-
-def _posting_keys(fp: Column) -> Column:
-    """The six posting keys: a number of the choice above two 16-bit lanes."""
-    lane = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    return F.array(*(F.lit(n << 32) + lane[i] * 65536 + lane[j] for n, (i, j) in enumerate(combinations(range(4), 2))))
-
-
-def links(prints: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp; their components are those of all links."""
-    posts = prints.select("fp", F.explode(_posting_keys(F.col("fp"))).alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(posts.join(sizes, "key"), "met")
-    short = met.where(F.col("n") <= max_list)
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (
-        short.select("key", F.col("fp").alias("a"))
-        .join(short.select("key", F.col("fp").alias("b")), "key")
-        .where((F.col("a") < F.col("b")) & (_shared_bytes(x) >= MIN_SHARED_BYTES) & (F.bit_count(x) <= MAX_BITS))
-        .select("a", "b")
-    )
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))
-    named = (
-        met.where(F.col("n") > max_list)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(flips).alias("flip"))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
-    )
-    # at most 65 distinct fingerprints name the same one, so these groups are small
-    stars = named.select(F.min("fp").over(Window.partitionBy("name")).alias("a"), F.col("fp").alias("b")).where("a <> b")
-    return pairs.union(stars)
+def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The pairs (a, b) of distinct fingerprints fp that differ in at most max_bits (0 to 3) bits, a < b."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("at most three bits may differ")
+    choices, fp = _choices(max_bits), F.col("fp")
+    of = lambda values: F.element_at(F.array(*values), F.col("list") + 1)
+    posts = prints.select("fp", F.posexplode(F.array(*(fp.bitwiseAND(F.lit(_signed(_mask(x)))) for x in choices))).alias("list", "bytes"))
+    # lists of one entry make no pairs
+    shared = posts.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1").select("list", "bytes")
+    met = posts.join(shared, ["list", "bytes"]).select("list", "fp")
+    finer = of(F.array(*(F.lit(m) for m in _finer(x, max_bits))) for x in choices)
+    met = cut(met.select("list", "fp", F.posexplode(F.transform(finer, lambda m: fp.bitwiseAND(m))).alias("part", "bytes")), "met")
+    key = ["list", "part", "bytes"]
+    pairs = met.withColumnRenamed("fp", "a").join(met.withColumnRenamed("fp", "b"), key).where("a < b")
+    positions = of(F.lit(sum(1 << p for p in x)) for x in choices)
+    tallied = pairs.select("a", "b", positions.alias("positions")).groupBy("a", "b").agg(F.bit_count(F.bit_or("positions")).alias("tally"))
+    retained = tallied.where(F.col("tally") >= POSITIONS - max_bits)
+    return retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_list: int = MAX_LIST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for each row.
 
-    Null and empty texts, and texts of white space, have fingerprint zero and link like any other.
-    Repeated rows come out as often as they come in.  Null ids are kept and never name a component,
+    Null and empty texts, and texts of white space, have fingerprint zero and link like any other; a text of any
+    length is read whole.  A bit that exactly half of the shingles set is 0.  Repeated rows come out as often as they come in.  Null ids are kept and never name a component,
     unless no id of the component is known: then component_id is null.  An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, max_list))
+    roots = components(links(classes, max_bits))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -4,6 +4,7 @@ import gzip
 import random
 import time
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -237,21 +238,40 @@ def test_near_duplicates(docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("max_list", [2, 64])
-def test_links_of_fingerprints(spark, max_list):
-    rng = random.Random(6)
-    values = {rng.getrandbits(64) for _ in range(200)}
-    for v in list(values)[:60]:
-        for _ in range(8):
-            values.add(v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
-    values |= {0, 1, 2**63, 2**64 - 1, 3, 2**63 + 1}
-    signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), max_list)
-    for r in links.collect():
-        assert bin((r.a ^ r.b) % 2**64).count("1") <= 2
-    found = {r.node: r.root for r in common.components(links).collect()}
-    wanted = _roots(signed, [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) % 2**64).count("1") <= 2])
-    assert {v: found.get(v, v) for v in signed} == wanted
+def _near(n, seed):
+    """Fingerprints in clouds: a few bits around common ones, so that long lists and chains arise."""
+    rng = random.Random(seed)
+    centres = [rng.getrandbits(64) for _ in range(5)] + [0, 2**64 - 1]
+    out = {sum({1 << rng.randrange(64) for _ in range(rng.randrange(5))}) ^ rng.choice(centres) for _ in range(n)}
+    return sorted(x - 2**64 if x >> 63 else x for x in out)
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 2, 3])
+def test_links_of_fingerprints(spark, max_bits):
+    prints = _near(500, max_bits)
+    found = [tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in prints], "fp long"), max_bits).collect()]
+    wanted = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if bin((a ^ b) % 2**64).count("1") <= max_bits}
+    assert len(found) == len(set(found)) and set(found) == wanted and bool(wanted) == bool(max_bits)
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 2, 3])
+def test_sets_of_positions_cover_what_linked_fingerprints_share(max_bits):
+    choices = [set(x) for x in simhash._choices(max_bits)]
+    assert len({frozenset(x) for x in choices}) == len(choices)
+    for shared in combinations(range(8), 8 - max_bits):
+        inside = [x for x in choices if x <= set(shared)]
+        assert len(inside) >= 2 and set.union(*inside) == set(shared)
+
+
+def test_few_of_a_cloud_meet_by_four_half_bytes(spark):
+    # fingerprints that agree in six bytes are in one list for each set of five of those
+    cloud = spark.range(1 << 11).select(F.col("id").alias("fp"))
+    assert simhash.links(cloud, 2).count() == (1 << 11) * (11 + 55) // 2
+
+
+def test_the_tally_is_in_the_plan(spark):
+    plan = simhash.links(spark.createDataFrame([(1,)], "fp long"))._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
 # --- op10 ------------------------------------------------------------------------------------
