@@ -5,13 +5,18 @@ filters of several widths slide over the window, each keeps its maximum, and a s
 learned languages follows.  For scoring, embedding and filters fold into lookup tables of byte
 pairs, so a whole text costs a few additions for each byte and filter.  A text is all its windows: their
 log-probabilities are averaged with the windows' lengths as weights.
+
+The windows to learn from are a bounded sample of each language, kept as a table.  An epoch is one job: each part
+of the table, of about PART_WINDOWS windows, goes through the optimiser in a task of its own, and the
+driver averages the parameters that the tasks return.  It never holds a window.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +24,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, slices
+from .common import crc_mod, cut, drop, ship, slices
 
 WINDOW = 256
 #: Filter widths; each is summed from tables of pairs and single bytes.
 WIDTHS = (2, 3, 4)
+#: Filters of each width: as many as languages, between these bounds.
 FILTERS = 10
+MOST_FILTERS = 48
 EMBEDDING = 8
 #: At most so many documents of each language are fitted on, and so many windows and short passages of each document.
 FIT_DOCUMENTS = 600
 FIT_WINDOWS = 3
 FIT_SHORT = 3
+EPOCHS = 8
+#: Windows that one task learns from in an epoch; more windows are more tasks.
+PART_WINDOWS = 20_000
+#: Of the windows every so many-th only tells when to stop: after PATIENCE epochs that did not gain a hundredth.
+VALIDATION = 10
+PATIENCE = 2
 
 _LETTER = regex.compile(r"\p{L}")
 #: What is no letter in ASCII becomes a blank, and A-Z becomes a-z.
@@ -38,7 +51,9 @@ _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 else
 
 def windows(text: bytes) -> np.ndarray:
     """A text's bytes, folded, with runs of blanks as one, in rows of WINDOW; the last is filled with zeros."""
-    line = b" ".join(text.translate(_FOLD).split(b" ")) if b"  " not in (t := text.translate(_FOLD)) else b" ".join(t.split())
+    line = text.translate(_FOLD)
+    if b"  " in line:
+        line = b" ".join(line.split())
     rows = max(1, -(-len(line) // WINDOW))
     out = np.zeros(rows * WINDOW, np.uint8)
     out[: len(line)] = np.frombuffer(line, np.uint8)
@@ -74,63 +89,77 @@ class Network:
     @classmethod
     def initial(cls, languages: list[str], seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
+        filters = max(FILTERS, min(MOST_FILTERS, len(languages)))
         make = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-        kernels = [make(w * EMBEDDING, FILTERS).reshape(w, EMBEDDING, FILTERS) for w in WIDTHS]
-        n = FILTERS * len(WIDTHS)
-        return cls(languages, rng.normal(0, 0.5, (256, EMBEDDING)), kernels, [np.zeros(FILTERS) for _ in WIDTHS], make(n, len(languages)), np.zeros(len(languages)))
+        kernels = [make(w * EMBEDDING, filters).reshape(w, EMBEDDING, filters) for w in WIDTHS]
+        n = filters * len(WIDTHS)
+        return cls(languages, rng.normal(0, 0.5, (256, EMBEDDING)), kernels, [np.zeros(filters) for _ in WIDTHS], make(n, len(languages)), np.zeros(len(languages)))
 
     def parameters(self) -> list[np.ndarray]:
         return [self.embedding, *self.kernels, *self.biases, self.out, self.out_bias]
 
-    def gradients(self, rows: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """The mean cross-entropy over windows and its gradient for each parameter."""
-        n = len(rows)
-        x = self.embedding[rows]
-        pooled, where, wide = [], [], []
+    def _forward(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Pooled filters, where each has its maximum, and log-probabilities.
+
+        A filter's value is a sum over its places of what a byte contributes there, so each place is a
+        table of 256 bytes.
+        """
+        pooled, where = [], []
         for w, kernel, bias in zip(WIDTHS, self.kernels, self.biases):
-            view = np.concatenate([x[:, k : WINDOW - w + 1 + k] for k in range(w)], axis=2)
-            y = view @ kernel.reshape(-1, FILTERS) + bias
-            at = y.argmax(axis=1)
-            pooled.append(np.maximum(np.take_along_axis(y, at[:, None], 1)[:, 0], 0))
-            where.append(at)
-            wide.append(view)
+            y = sum((self.embedding @ kernel[k]).T[:, rows[:, k : WINDOW - w + 1 + k]] for k in range(w))  # filter, window, place
+            at = y.argmax(axis=2)
+            pooled.append(np.maximum(np.take_along_axis(y, at[:, :, None], 2)[:, :, 0].T + bias, 0))
+            where.append(at.T)
         h = np.concatenate(pooled, axis=1)
         z = h @ self.out + self.out_bias
         z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[np.arange(n), labels] + 1e-12).mean()
-        dz = p
-        dz[np.arange(n), labels] -= 1
+        return h, where, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def loss(self, rows: np.ndarray, labels: np.ndarray) -> float:
+        """The summed cross-entropy over windows."""
+        return -sum(float(self._forward(rows[a : a + 64])[2][np.arange(len(labels[a : a + 64])), labels[a : a + 64]].sum()) for a in range(0, len(rows), 64))
+
+    def gradients(self, rows: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean cross-entropy over windows and its gradient for each parameter."""
+        n, each = len(rows), np.arange(len(rows))
+        h, where, logs = self._forward(rows)
+        dz = np.exp(logs)
+        dz[each, labels] -= 1
         dz /= n
         dh = dz @ self.out.T * (h > 0)
         d_embedding, d_kernels, d_biases = np.zeros_like(self.embedding), [], []
+        filters = len(self.biases[0])
         for number, (w, kernel) in enumerate(zip(WIDTHS, self.kernels)):
-            d = dh[:, number * FILTERS : (number + 1) * FILTERS]
-            at = where[number]
-            seen = np.take_along_axis(wide[number], at[:, :, None], 1)  # windows, filters, w * EMBEDDING
-            d_kernels.append(np.einsum("nf,nfe->ef", d, seen).reshape(kernel.shape))
-            d_biases.append(d.sum(axis=0))
-            back = d[:, :, None] * kernel.reshape(-1, FILTERS).T[None]
+            d = dh[:, number * filters : (number + 1) * filters]
+            d_kernel = np.zeros_like(kernel)
             for k in range(w):
-                byte = np.take_along_axis(rows, at + k, 1)
-                np.add.at(d_embedding, byte.ravel(), back[:, :, k * EMBEDDING : (k + 1) * EMBEDDING].reshape(-1, EMBEDDING))
-        return loss, [d_embedding, *d_kernels, *d_biases, h.T @ dz, dz.sum(axis=0)]
+                # by the byte that each filter's maximum has at its place k
+                cell = np.take_along_axis(rows, where[number] + k, 1).astype(np.intp) * filters + np.arange(filters)
+                d_table = np.bincount(cell.ravel(), d.ravel(), 256 * filters).reshape(256, filters)
+                d_kernel[k] = self.embedding.T @ d_table
+                d_embedding += d_table @ kernel[k].T
+            d_kernels.append(d_kernel)
+            d_biases.append(d.sum(axis=0))
+        return float(-logs[each, labels].mean()), [d_embedding, *d_kernels, *d_biases, h.T @ dz, dz.sum(axis=0)]
 
     def tables(self) -> Scorer:
         """The network folded for scoring."""
-        single = [[(self.embedding @ k[n]).astype(np.float32) for n in range(len(k))] for k in self.kernels]
-        pair = lambda a, b: (a[:, None] + b[None]).reshape(65536, FILTERS)
-        two, three, four = single
-        lookups = [pair(two[0] + self.biases[0].astype(np.float32), two[1]), pair(three[0] + self.biases[1].astype(np.float32), three[1]), three[2], pair(four[0] + self.biases[2].astype(np.float32), four[1]), pair(four[2], four[3])]
-        return Scorer(self.languages, lookups, self.out.astype(np.float32), self.out_bias.astype(np.float32))
+        return Scorer(self)
 
 
 class Scorer:
-    """Log-probabilities of windows from lookup tables."""
+    """Log-probabilities of windows from lookup tables.  What is sent to workers is the network; tables are made there."""
+
+    def __init__(self, network: Network) -> None:
+        self.network, self.languages = network, network.languages
+        single = [[(network.embedding @ k[n]).astype(np.float32) for n in range(len(k))] for k in network.kernels]
+        (two, three, four), biases = single, [b.astype(np.float32) for b in network.biases]
+        pair = lambda a, b: (a[:, None] + b[None]).reshape(65536, -1)
+        self.lookups = [pair(two[0] + biases[0], two[1]), pair(three[0] + biases[1], three[1]), three[2], pair(four[0] + biases[2], four[1]), pair(four[2], four[3])]
+        self.out, self.bias = network.out.astype(np.float32), network.out_bias.astype(np.float32)
 
-    def __init__(self, languages: list[str], lookups: list[np.ndarray], out: np.ndarray, bias: np.ndarray) -> None:
-        self.languages, self.lookups, self.out, self.bias = languages, lookups, out, bias
+    def __reduce__(self):
+        return Scorer, (self.network,)
 
     def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
         """One row of log-probabilities for each window."""
@@ -180,22 +209,73 @@ class Scorer:
         return out
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam over shuffled windows; the same rows in the same order give the same network."""
-    net, rng = Network.initial(languages, seed), np.random.default_rng(seed)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
+@dataclass
+class Training:
+    """A network and the state of its optimiser, as they go from epoch to epoch."""
+
+    network: Network
+    step: int = 0
+    first: list[np.ndarray] = field(default_factory=list)
+    second: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.first = self.first or [np.zeros_like(p) for p in self.network.parameters()]
+        self.second = self.second or [np.zeros_like(p) for p in self.network.parameters()]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.network.parameters(), *self.first, *self.second]
+
+    def epoch(self, rows: np.ndarray, labels: np.ndarray, seed: int, batch: int = 64, rate: float = 0.01) -> None:
+        """Adam over shuffled windows; the same rows in the same order give the same network."""
+        order = np.random.default_rng(seed).permutation(len(rows))
         for a in range(0, len(order), batch):
-            step += 1
+            self.step += 1
             at = order[a : a + batch]
-            _, grads = net.gradients(rows[at], labels[at])
-            for p, g, (m, v) in zip(net.parameters(), grads, moments):
+            _, grads = self.network.gradients(rows[at], labels[at])
+            for p, g, m, v in zip(self.network.parameters(), grads, self.first, self.second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return net
+                p -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _epoch(data: bytes, number: int):
+    """For applyInArrow: a part's (lang, windows) through one epoch of a pickled Training."""
+
+    def run(table: pa.Table) -> pa.Table:
+        state: Training = pickle.loads(data)
+        at = {x: n for n, x in enumerate(state.network.languages)}
+        pairs = sorted(zip(table.column("lang").to_pylist(), table.column("windows").to_pylist()))
+        rows = np.concatenate([np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, w in pairs])
+        labels = np.concatenate([np.full(len(w) // WINDOW, at[lang]) for lang, w in pairs])
+        kept = np.arange(len(rows)) % VALIDATION == VALIDATION - 1
+        loss, judged = state.network.loss(rows[kept], labels[kept]), int(kept.sum())
+        state.epoch(rows[~kept], labels[~kept], number)
+        return pa.table({"state": pa.array([pickle.dumps(state)], pa.binary()), "n": pa.array([int((~kept).sum())], pa.int64()), "loss": pa.array([loss], pa.float64()), "judged": pa.array([judged], pa.int64())})
+
+    return run
+
+
+def fit(samples: DataFrame, languages: list[str], epochs: int = EPOCHS, part_windows: int = PART_WINDOWS) -> Network:
+    """A network learned from a table (lang, windows), as bytes of whole windows."""
+    n = samples.agg(F.sum(F.octet_length("windows"))).first()[0] // WINDOW
+    parts = -(-n // part_windows)
+    dealt = samples.select(F.pmod(F.xxhash64("windows"), F.lit(parts)).alias("part"), "lang", "windows")
+    state, best, idle = Training(Network.initial(languages)), math.inf, 0
+    for number in range(epochs):
+        made = dealt.groupBy("part").applyInArrow(_epoch(pickle.dumps(state), number), "state binary, n long, loss double, judged long").collect()
+        made.sort(key=lambda r: bytes(r.state))
+        # the loss is that of the state before this epoch
+        loss = sum(r.loss for r in made) / max(1, sum(r.judged for r in made))
+        idle = idle + 1 if loss > 0.99 * best else 0
+        best = min(best, loss)
+        if idle >= PATIENCE:
+            break
+        found, weight = [pickle.loads(bytes(r.state)) for r in made], np.array([r.n for r in made], float)
+        state = found[0]
+        state.step = max(x.step for x in found)
+        for own, *others in zip(*(x.arrays() for x in found)):
+            own[...] = np.average([own, *others], axis=0, weights=weight if weight.any() else None)
+    return state.network
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +292,10 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_DOCUMENTS) -> Scorer | None:
     """A scorer learned from documents that are not held out; None if no text has a language.
 
-    Every language that occurs is learned.  The sample of each is bounded: about per_language documents of each language, chosen by a hash of the id,
-    FIT_WINDOWS windows of each, spread over the text, and FIT_SHORT short passages.  It is what the driver gathers.
+    Every language that occurs is learned.  The sample of each is bounded: about per_language of its documents,
+    chosen by a hash of id and text, FIT_WINDOWS windows of each, spread over the text, and FIT_SHORT short
+    passages; equal samples count once, so repeated rows and copies weigh as one.  Rows that repeat an id with
+    another lang are each a document of their lang.
     """
     ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -221,18 +303,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    place = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 20))
     shares = [(lang, int(min(1, per_language / n) * (1 << 20))) for lang, n in counts.items()]
     shares = docs.sparkSession.createDataFrame(shares, "lang string, share long")
-    chosen = known.join(F.broadcast(shares), "lang").where((place < F.col("share")) & F.col("text").isNotNull()).limit(2 * per_language * len(counts))
-    found = chosen.select("lang", "text").mapInArrow(_samples, "lang string, windows binary").collect()
-    languages = sorted({r["lang"] for r in found})
-    if not languages:
-        return None
-    pairs = sorted((r["lang"], bytes(r["windows"])) for r in found)
-    rows = np.concatenate([np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, w in pairs])
-    labels = np.concatenate([np.full(len(w) // WINDOW, languages.index(lang)) for lang, w in pairs])
-    return fit(rows, labels, languages).tables()
+    chosen = known.join(F.broadcast(shares), "lang").where((place < F.col("share")) & F.col("text").isNotNull())
+    # whole texts stay in their tasks; only windows move
+    samples = cut(chosen.select("lang", "text").mapInArrow(_samples, "lang string, windows binary").distinct(), "windows")
+    languages = sorted(r["lang"] for r in samples.select("lang").distinct().collect())
+    scorer = fit(samples, languages).tables() if languages else None
+    drop(samples)
+    return scorer
 
 
 _scorers: dict[bytes, Scorer] = {}
@@ -253,8 +333,9 @@ def predict(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text
     """doc_id, held_out, lang_pred and score of each whole text.
 
     Null and empty texts, and texts without letters, are `und` with score 0, as are all if nothing
-    could be learned.  Rows are independent: equal texts have equal predictions; a null id is not held
-    out; an empty table gives no rows; other columns are not read.
+    could be learned.  Of equally likely languages the first by name is predicted; texts of any length are
+    read whole.  Rows are independent: equal texts have equal predictions; a null id is not held out; an
+    empty table gives no rows; other columns are not read.  Ids must be numbers.
     """
     ship(docs.sparkSession)
     data = pickle.dumps(scorer)
