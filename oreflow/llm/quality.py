@@ -2,7 +2,8 @@
 
 Random Fourier features approximate a Gaussian kernel over statistics of the whole text.  Every
 partition sums its part of the normal equations, the sums make ridge weights, and isotonic
-regression turns the raw scores of the fitted rows into probabilities.
+regression turns raw scores into probabilities.  It learns from labelled rows of its own, a fifth of them,
+on which no weight was fitted.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, ship, slices
+from .common import crc_mod, cut, drop, ship, slices
 
 #: At most so many labelled rows are fitted on, chosen by a hash of the id.
 FIT_ROWS = 40_000
 #: Random Fourier features.
 COMPONENTS = 256
 RIDGE = 1e-4
+#: Of the labelled rows one in so many calibrates, and the others are fitted.
+CALIBRATING = 5
 #: Raw scores are counted in so many bins before isotonic regression.
 BINS = 1000
 #: Tasks whose sums meet at the driver.
@@ -116,21 +119,26 @@ class Model:
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        x = [statistics(t).tolist() for t in part.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+        x = [statistics(t).tolist() for t in part.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(x, pa.list_(pa.float64()))], names=["y", "calibrates", "x"])
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for part in slices(batches, 4096):
-        yield part.column(0).to_numpy(zero_copy_only=False).astype(float), np.array(part.column(1).to_pylist()).reshape(-1, SIZE)
+        yield part.column(0).to_numpy(zero_copy_only=False).astype(float), np.array(part.column(2).to_pylist()).reshape(-1, SIZE), part.column(1).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _sums(make):
-    """A function for mapInArrow: the sum of make(y, x) over the task's batches, as the bytes of one array."""
+def _sums(make, only: bool | None = None):
+    """A function for mapInArrow: the sum of make(y, x) over the task's rows, as the bytes of one array.
+
+    only: the calibrating rows (True), the fitted rows (False) or all (None).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for y, x in _arrays(batches):
+        for y, x, calibrates in _arrays(batches):
+            if only is not None:
+                y, x = y[calibrates == only], x[calibrates == only]
             total = make(y, x) if total is None else total + make(y, x)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
@@ -138,17 +146,18 @@ def _sums(make):
     return run
 
 
-def _summed(rows: DataFrame, make) -> np.ndarray:
-    parts = rows.mapInArrow(_sums(make), "sums binary").collect()
-    return np.sum([np.frombuffer(bytes(r["sums"])) for r in parts], axis=0)
+def _summed(rows: DataFrame, make, only: bool | None = None) -> np.ndarray | None:
+    parts = rows.mapInArrow(_sums(make, only), "sums binary").collect()
+    return np.sum([np.frombuffer(bytes(r["sums"])) for r in parts], axis=0) if parts else None
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
     """A model of labels.quality, learned from documents that are not held out.
 
     At most fit_rows labels are used; they alone are broadcast, so texts are not shuffled.  Labels
-    other than 0 and 1 and labels without a document are ignored.  With one class or none the model
-    is that class's score, or 0.5.
+    other than 0 and 1 and labels without a document are ignored; repeated labels of a document each count.
+    With one class or none the model is that class's score, or 0.5.  Where the fitted or the calibrating rows
+    lack a class, as in tables of a few labels, all rows do both.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod("id", 3) != 1))
@@ -157,24 +166,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))
     sample = known.where(place < int(share * (1 << 30))).limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    rows = cut(texts.select("y", "text").mapInArrow(_fit_rows, "y int, x array<double>"), "statistics").coalesce(SUM_TASKS)
+    calibrates = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(CALIBRATING)) == 0
+    rows = cut(texts.select("y", calibrates.alias("calibrates"), "text").mapInArrow(_fit_rows, "y int, calibrates boolean, x array<double>"), "statistics")
+    model = _fitted(rows.coalesce(SUM_TASKS))
+    drop(rows)
+    return model
+
 
-    sums = rows.mapInArrow(_sums(lambda y, x: np.concatenate([[len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)])), "sums binary").collect()
-    if not sums:
+def _fitted(rows: DataFrame) -> Model:
+    """The model of rows (y, calibrates, x)."""
+    first = lambda y, x: np.concatenate([[len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)])
+    fitted, calibrating = (_summed(rows, first, x) for x in (False, True))
+    if fitted is None:
         return Model()
-    total = np.sum([np.frombuffer(bytes(r["sums"])) for r in sums], axis=0)
-    n, ones = total[:2]
-    if ones in (0, n):
-        return Model(float(ones / n))
-    mean = total[2 : 2 + SIZE] / n
-    deviation = np.sqrt(np.maximum(total[2 + SIZE :] / n - mean**2, 0))
+    parts: tuple[bool | None, bool | None] = (False, True)
+    if any(x[1] in (0, x[0]) for x in (fitted, calibrating)):
+        parts, fitted = (None, None), fitted + calibrating
+    n, ones = fitted[:2]
+    if not n or ones in (0, n):
+        return Model(float(ones / n) if n else 0.5)
+    mean = fitted[2 : 2 + SIZE] / n
+    deviation = np.sqrt(np.maximum(fitted[2 + SIZE :] / n - mean**2, 0))
     model = Model(float(ones / n), mean, np.where(deviation > 1e-6, deviation, 1.0))
 
     def normal(y: np.ndarray, x: np.ndarray) -> np.ndarray:
         z = model.components(x)
         return np.vstack([z.T @ z, y @ z]).ravel()
 
-    equations = _summed(rows, normal).reshape(-1, COMPONENTS + 1)
+    equations = _summed(rows, normal, parts[0]).reshape(-1, COMPONENTS + 1)
     gram, right = equations[:-1], equations[-1]
     model.weights = np.linalg.solve(gram + RIDGE * n * np.eye(len(gram)), right)
 
@@ -182,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = np.clip((model.raw(x) + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
         return np.stack([np.bincount(at, minlength=BINS), np.bincount(at, y, minlength=BINS)]).astype(float).ravel()
 
-    count, good = _summed(rows, histogram).reshape(2, BINS)
+    count, good = _summed(rows, histogram, parts[1]).reshape(2, BINS)
     used = np.flatnonzero(count)
     model.centres, model.means = isotonic((used + 0.5) / BINS * 2 - 0.5, count[used], good[used])
     return model
@@ -201,9 +220,9 @@ def _model(data: bytes) -> Model:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) of each whole text.
 
-    Null texts count as empty; an empty text has the score of its statistics.  Equal texts have equal
-    scores, repeated rows are kept, a null id is not held out, an empty table gives no rows, other
-    columns are not read.
+    Null texts count as empty; an empty text has the score of its statistics; texts of any length are read
+    whole.  A score of exactly 0.5 predicts 1.  Equal texts have equal scores, repeated rows are kept, a null id is
+    not held out, an empty table gives no rows, other columns are not read.  Ids must be numbers.
     """
     ship(docs.sparkSession)
     data = pickle.dumps(model)

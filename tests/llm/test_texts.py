@@ -106,6 +106,44 @@ def test_partition_sums_are_the_normal_equations(docs, labels):
     assert np.allclose(a.weights, b.weights, atol=1e-6)
 
 
+def test_scores_are_brute_force(spark, docs, labels):
+    from pyspark.sql import functions as F
+
+    # many labels, some of them wrong, so that calibration has something to pool
+    rows = [(i, " ".join(f"w{i * k % (7 + i % 9)}" + ("!" if i % 3 == 0 else "") for k in range(20 + i % 13))) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int((i % 3 != 0) ^ (i % 11 == 0))) for i in range(300)], "doc_id long, quality int")
+    known = marks.select("doc_id", "quality", (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(5)) == 0).alias("c")).collect()
+    known = [r for r in known if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x = {i: quality.statistics(t.encode()) for i, t in rows}
+    fitted, calibrating = [r for r in known if not r.c], [r for r in known if r.c]
+    a = np.stack([x[r.doc_id] for r in fitted])
+    deviation = a.std(axis=0)
+    plain = quality.Model(0.5, a.mean(axis=0), np.where(deviation > 1e-6, deviation, 1.0))
+    z, y = plain.components(a), np.array([r.quality for r in fitted], float)
+    # ridge regression as least squares with one more row for each weight
+    extra = np.sqrt(quality.RIDGE * len(z)) * np.eye(z.shape[1])
+    plain.weights = np.linalg.lstsq(np.vstack([z, extra]), np.concatenate([y, np.zeros(len(extra))]), rcond=None)[0]
+    raw = plain.raw(np.stack([x[r.doc_id] for r in calibrating]))
+    bins = {}
+    for value, r in zip(raw, calibrating):
+        bins.setdefault(min(quality.BINS - 1, max(0, int((value + 0.5) / 2 * quality.BINS))), []).append(r.quality)
+    places = sorted(bins)
+    mean = lambda i, j: np.mean([q for p in places[i : j + 1] for q in bins[p]])
+    n = len(places)
+    means = [max(min(mean(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]  # isotonic regression by its formula
+    centres, levels = [], []
+    for level in sorted(set(np.round(means, 9))):
+        own = [p for p, m in zip(places, means) if abs(m - level) < 1e-8]
+        centres.append(np.average([(p + 0.5) / quality.BINS * 2 - 0.5 for p in own], weights=[len(bins[p]) for p in own]))
+        levels.append(level)
+    assert 2 < len(levels) < n
+    wanted = {i: float(np.interp(plain.raw(x[i][None])[0], centres, levels)) for i in x}
+    found = quality.predict(table, quality.train(table, marks)).collect()
+    assert {r.doc_id for r in found} == set(wanted)
+    assert all(abs(r.score - wanted[r.doc_id]) < 1e-5 for r in found)
+
+
 @given(st.lists(st.tuples(st.integers(1, 5), st.floats(0, 1)), min_size=1, max_size=30))
 def test_isotonic(points):
     w = np.array([p[0] for p in points], float)
@@ -317,6 +355,27 @@ def test_tables_are_the_network():
             assert abs(-row[label] - net.gradients(rows[n : n + 1], np.array([label]))[0]) < 1e-3
 
 
+def test_a_text_is_the_weighted_mean_of_its_windows():
+    net = langid.Network.initial(["a", "b", "c"], seed=3)
+    texts = ["word " * 300, "short", "ünï cödé " * 200 + "end", "x" * 1000]
+    for (lang, score), text in zip(net.tables().predict([t.encode() for t in texts]), texts):
+        rows = langid.windows(text.encode())
+        total, weight = np.zeros(3), 0
+        for row in rows:
+            logs = [-net.gradients(row[None], np.array([k]))[0] for k in range(3)]
+            total, weight = total + np.array(logs) * np.count_nonzero(row), weight + np.count_nonzero(row)
+        p = np.exp(total / weight) / np.exp(total / weight).sum()
+        assert lang == "abc"[int(p.argmax())] and abs(score - p.max()) < 1e-3
+
+
+def test_learning_in_parts_learns_too(spark, docs):
+    texts = [(r.lang, langid.windows(r.text.encode())[:3].tobytes()) for r in docs.where("doc_id < 60").collect()]
+    samples = spark.createDataFrame(texts, "lang string, windows binary")
+    net = langid.fit(samples, ["de", "en", "fr"], part_windows=40)
+    found = net.tables().predict([r.text.encode() for r in docs.where("doc_id < 60").collect()])
+    assert np.mean([lang == x for (lang, _), (x, _) in zip(found, texts)]) > 0.9
+
+
 def test_language_of_documents(docs, no_docs):
     scorer = langid.train(docs)
     found = langid.predict(docs, scorer).collect()
