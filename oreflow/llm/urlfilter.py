@@ -30,6 +30,9 @@ RULES: list[Rule] = [
     ("allow", "org", "/fr/"),
 ]
 
+#: Listed keys that a plan holds as constants (some megabytes of filters); more are joined.
+MAX_LISTED = 1_000_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -44,10 +47,15 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """All keys under which a rule may fit, as structs (size, host_size, key)."""
-    labels = F.split(host, r"\.", -1)
-    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, lengths: Sequence[int], labels: int) -> Column:
+    """All keys under which a rule may fit, as structs (size, host_size, key).
+
+    lengths are those of the rules' paths, labels the most that a rule's host has: longer endings of a
+    host fit no rule, so a host of many labels costs no more than a short one.
+    """
+    last = F.split(host, r"\.", -1)
+    last = F.slice(last, F.greatest(F.size(last) - labels + 1, F.lit(1)), F.lit(labels))
+    endings = F.transform(F.sequence(F.lit(1), F.size(last)), lambda n: F.array_join(F.slice(last, n, F.size(last)), "."))
     endings = F.filter(endings, lambda x: x != "")
 
     def keys(ending: Column) -> Column:
@@ -87,7 +95,7 @@ class Filter:
         return out
 
 
-def cascade(listed: DataFrame, others: DataFrame, n_others: int, max_listed: int = 1_000_000) -> Callable[[Column], Column]:
+def cascade(listed: DataFrame, others: DataFrame, n_others: int, max_listed: int = MAX_LISTED) -> Callable[[Column], Column]:
     """A test that is true for the keys of listed and false for those of others that are not listed.
 
     n_others is about how many distinct keys others has; it only sets the size of the first level.
@@ -115,36 +123,53 @@ def cascade(listed: DataFrame, others: DataFrame, n_others: int, max_listed: int
     return test
 
 
+def _joined(rows: DataFrame, keys: Column, listed: DataFrame) -> DataFrame:
+    """rows with rule and own (the rule's verdict), by joining the keys of each distinct host and path with the listed ones."""
+    each = rows.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("k"))
+    each = each.select("host", "path", "k", F.col("k.key").alias("key")).join(listed, "key")
+    best = each.groupBy("host", "path").agg(F.max(F.struct("k.size", "k.host_size", "key", "verdict")).alias("best"))
+    found = rows.join(best, ["host", "path"], "left")
+    return found.select(*rows.columns, F.col("best.key").alias("rule"), F.col("best.verdict").alias("own"))
+
+
 def judge(
-    pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame,
+    rules: Sequence[Rule] = RULES,
+    default: str = "allow",
+    id_col: str = "page_id",
+    url_col: str = "url",
+    max_listed: int = MAX_LISTED,
 ) -> DataFrame:
     """page_id, host, path, rule and verdict for each url.
 
     A rule fits its host and that host's subdomains if the path begins with the rule's; the longest
     key wins, and the longer host among equals.  rule is the key, like `net/`, or null; verdict is the rule's, or
-    default.  Null urls and urls without :// have empty host and path and fit no rule.  Repeated rows
-    and null ids are kept; an empty table gives no rows; other columns are not read.
+    default.  Of two rules with one key block wins; repeated rules are one.  Null urls and urls without :// have empty
+    host and path and fit no rule; urls and hosts of any length are read whole.  Repeated rows and null ids are
+    kept; an empty table gives no rows; other columns are not read.  Ids must be numbers.
+
+    More than max_listed rules are too many for constants of a plan: their keys are joined instead, with
+    the same result.
     """
     if any(v not in ("allow", "block") or not h for v, h, _ in rules):
         raise ValueError("a rule is allow or block, a host and a path")
     spark: SparkSession = pages.sparkSession
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"))
     lengths = sorted({len(p) for _, _, p in rules}) or [0]
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    universe = rows.select(F.explode(keys).alias("k")).select("k.key")
-    n = universe.agg(F.approx_count_distinct("key")).first()[0]
-    listed = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, key string")
-    member = cascade(listed, universe, n)
-    blocked = cascade(listed.where("verdict = 'block'"), listed.where("verdict <> 'block'"), len(rules))
-    best = F.array_max(F.filter(keys, lambda k: member(k["key"])))
-    return rows.withColumn("rule", best["key"]).select(
-        "page_id",
-        "host",
-        "path",
-        "rule",
-        F.when(F.col("rule").isNull(), default).when(blocked(F.col("rule")), "block").otherwise("allow").alias("verdict"),
-    )
+    keys = candidate_keys(F.col("host"), F.col("path"), lengths, max((h.count(".") + 1 for _, h, _ in rules), default=1))
+    listed = spark.createDataFrame(sorted({(v, h + p) for v, h, p in rules}), "verdict string, key string")
+    if len(rules) > max_listed:
+        ruled = _joined(rows, keys, listed)
+    else:
+        universe = rows.select(F.explode(keys).alias("k")).select("k.key")
+        n = universe.agg(F.approx_count_distinct("key")).first()[0]
+        member = cascade(listed, universe, n, max_listed)
+        blocked = cascade(listed.where("verdict = 'block'"), listed.where("verdict <> 'block'"), len(rules), max_listed)
+        best = F.array_max(F.filter(keys, lambda k: member(k["key"])))
+        ruled = rows.withColumn("rule", best["key"]).withColumn("own", F.when(blocked(F.col("rule")), "block").otherwise("allow"))
+    verdict = F.when(F.col("rule").isNull(), default).otherwise(F.col("own"))
+    return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 #: The rules above, the longest first, in plain SQL.
