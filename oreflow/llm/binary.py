@@ -35,6 +35,8 @@ BLOCK = 4096
 #: Ids after which a shard ends, with the document that passes them.
 SHARD_IDS = 1 << 19
 END_ID = 2
+#: Ids that are unpacked at one time when all documents are read.
+SPAN = 1 << 16
 #: Token parts of a generation that a worker remembers; more than elsewhere, as nothing else runs beside.
 CACHE_PARTS = 1_000_000
 
@@ -45,37 +47,51 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
-    """Ids (unsigned 32-bit) one behind the other in so many bits each."""
+    """Ids (unsigned 32-bit) one behind the other in so many bits each.
+
+    Eight ids fill `bits` whole bytes, so all groups of eight are packed at once, byte by byte.
+    """
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError("an id needs more bits")
-    if bits == 16:
-        return ids.astype("<u2").tobytes()
-    each = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
-    return np.packbits(each, bitorder="little").tobytes()
+    wide = np.zeros((-(-len(ids) // 8), 8), np.uint64)
+    wide.reshape(-1)[: len(ids)] = ids
+    out = np.zeros((len(wide), bits), np.uint8)
+    for n in range(8):
+        first, shift = divmod(n * bits, 8)
+        value = wide[:, n] << np.uint64(shift)
+        for k in range(first, (n * bits + bits - 1) // 8 + 1):
+            out[:, k] |= (value >> np.uint64(8 * (k - first))).astype(np.uint8)
+    return out.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack_ids(data: bytes, bits: int, n: int) -> np.ndarray:
     """The first n ids of packed data."""
-    if bits == 16:
-        return np.frombuffer(data, "<u2", n).astype("<u4")
-    each = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = each
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(n)
+    size = -(-n * bits // 8)
+    whole = np.zeros((-(-n // 8), bits), np.uint8)
+    whole.reshape(-1)[:size] = np.frombuffer(data, np.uint8, size)
+    out, mask = np.empty((len(whole), 8), "<u4"), np.uint64((1 << bits) - 1)
+    for i in range(8):
+        first, shift = divmod(i * bits, 8)
+        value = np.zeros(len(whole), np.uint64)
+        for k in range(first, (i * bits + bits - 1) // 8 + 1):
+            value |= whole[:, k].astype(np.uint64) << np.uint64(8 * (k - first))
+        out[:, i] = value >> np.uint64(shift) & mask
+    return out.reshape(-1)[:n]
 
 
 def write_shard(docs: list[tuple[int | None, bytes]], bits: int) -> bytes:
     """A shard of documents given by id and ids (little-endian unsigned 32-bit)."""
     ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
-    blocks = [pack_ids(ids[a : a + BLOCK], bits) for a in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)], dtype="<u8")
+    # a block's ids fill whole bytes, so blocks that are packed together begin at whole bytes
+    packed = pack_ids(ids, bits)
+    offsets = np.minimum(np.arange(-(-len(ids) // BLOCK) + 1, dtype="<u8") * (BLOCK * bits // 8), len(packed)).astype("<u8")
     return b"".join([
-        HEADER.pack(MAGIC, 1, bits, BLOCK, len(docs), len(blocks), len(ids)),
+        HEADER.pack(MAGIC, 1, bits, BLOCK, len(docs), len(offsets) - 1, len(ids)),
         np.array([x is not None for x, _ in docs], np.uint8).tobytes(),
         np.array([x or 0 for x, _ in docs], "<i8").tobytes(),
         np.array([len(x) // 4 for _, x in docs], "<u8").tobytes(),
         offsets.tobytes(),
-        *blocks,
+        packed,
     ])
 
 
@@ -110,10 +126,12 @@ class Shard:
         return unpack_ids(data, self.bits, n)[start - a * self.block :][:length]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """doc_id, start in the shard and ids of each document."""
-        ids, start = self.read(0, self.n_ids), 0
+        """doc_id, start in the shard and ids of each document; spans of documents are read by their places."""
+        start, at, held = 0, 0, np.zeros(0, "<u4")
         for doc_id, n in zip(self.doc_ids, self.lengths.tolist()):
-            yield doc_id, start, ids[start : start + n]
+            if start + n > at + len(held):
+                at, held = start, self.read(start, min(max(n, SPAN), self.n_ids - start))
+            yield doc_id, start, held[start - at : start - at + n]
             start += n
 
 
@@ -147,7 +165,7 @@ def write_tokens(
     docs: DataFrame,
     path: str,
     tokenizer: str | None = None,
-    vocabulary: int = 50257,
+    vocabulary: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     spaced: bool = True,
@@ -155,12 +173,16 @@ def write_tokens(
 ) -> None:
     """Encode every text, in ascending order of doc_id (null first; equal ids by their text's hash), to shards at path.
 
-    Null and empty texts have the end id alone.  Repeated rows are written as often as they occur.
+    vocabulary is the tokenizer's, and at least END_ID + 1; it decides how many bits an id has.  Null and empty
+    texts have the end id alone; a text of any length is in one shard.  Repeated rows are written as often as they
+    occur; other columns are not read; an empty table gives no shards.  Ids must be numbers.
     Texts are dealt by range before they are encoded, so ids are made once and never shuffled.  Packed
     ids hardly compress, so the table is not compressed.
     """
     ship(docs.sparkSession)
     file = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    if vocabulary is None:
+        vocabulary = max(END_ID + 1, encoder(file, spaced, 1).tokenizer.get_vocab_size())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = [F.col("doc_id").asc(), F.xxhash64("text").asc()]
     (
