@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # whole texts are large rows
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
@@ -35,13 +38,8 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once for each application; executors may have no copy.
-
-    Also lets fewer rows than Spark's default go to Python at a time, unless that was set.
-    """
+    """Give every executor this package, once for each application; executors may have no copy."""
     context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # whole texts are large rows
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -55,18 +53,55 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Folders made where spark.checkpoint.dir is unset, by application.
+_own: dict[str, str] = {}
+#: Intermediate tables that still stand.
+_standing: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset and all runs on one machine, as in tests."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="oreflow-shared-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _own:
+            folder = tempfile.mkdtemp(prefix="oreflow-shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[context.applicationId] = f"file://{folder}"
+        found = _own[context.applicationId]
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    path = f"{shared_dir(spark)}/oreflow/{name}-{uuid.uuid4().hex}"
+    _standing.add(path)
+    return path
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read from there, for what several parts of a plan read."""
-    path = f"{shared_dir(df.sparkSession)}/oreflow/{name}-{uuid.uuid4().hex}"
+    """df written once to the shared folder and read from there: the lineage ends, lost executors lose nothing."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._oreflow_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a result of materialised() that nothing reads any more."""
+    delete(df.sparkSession, df._oreflow_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _standing.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process: for when every result has been written."""
+    for path in list(_standing):
+        delete(spark, path)
