@@ -107,7 +107,8 @@ def _analysed(code: pd.Series) -> pd.DataFrame:
     rows = []
     for x in code:
         try:
-            kinds, calls, literals = analyse(bytes(x).decode("utf-8", "replace") if x is not None else "")
+            code = bytes(x).decode("utf-8", "replace") if x is not None else ""
+            kinds, calls, literals = analyse(unpack(code) if _IS_PACKED.search(code) else code)
             rows.append((dict(kinds), dict(calls), dict(literals), False, None))
         except ValueError as e:
             rows.append((None, None, None, True, str(e)))
@@ -115,10 +116,11 @@ def _analysed(code: pd.Series) -> pd.DataFrame:
 
 
 def analysed(code: Column) -> Column:
-    """struct of the three count maps, failed and stderr, for a script's bytes."""
+    """struct of the three count maps, failed and stderr, for a script's bytes; a packed script is unpacked first."""
     return _analysed(code)
 
 
+_IS_PACKED = re.compile(r"eval\s*\(\s*function\s*\(\s*p\s*,\s*a\s*,\s*c\s*,\s*k\s*,\s*e\s*,")
 _PACKED = re.compile(r"}\s*\(\s*'((?:[^'\\]|\\.)*)'\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*'((?:[^'\\]|\\.)*)'\.split\('\|'\)", re.S)
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -146,3 +148,19 @@ def unpack(code: str) -> str:
         return names[n] if n is not None and n < len(names) and names[n] else match[0]
 
     return re.sub(r"\b\w+\b", name, payload.replace("\\'", "'").replace("\\\\", "\\"))
+
+
+@F.pandas_udf(T.StringType())
+def _unpacked(code: pd.Series) -> pd.Series:
+    def one(x: str | None) -> str | None:
+        try:
+            return unpack(x) if x is not None and _IS_PACKED.search(x) else x
+        except ValueError:
+            return None
+
+    return code.map(one)
+
+
+def unpacked(code: Column) -> Column:
+    """The script inside a packed one, other scripts as they are; null for one that cannot be unpacked."""
+    return _unpacked(code)

@@ -93,6 +93,24 @@ def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([one(b, x) for b, x in zip(base, link)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def absolutes(base: pd.Series, links: pd.Series) -> pd.Series:
+    """Links as absolute urls with their fragments, in order; those that cannot be resolved go, and null stays null."""
+
+    def some(b: str | None, xs: list | None) -> list | None:
+        if xs is None:
+            return None
+        out = []
+        for x in xs:
+            try:
+                out.append(urljoin(b or "", x))
+            except ValueError:
+                continue
+        return out
+
+    return pd.Series([some(b, x) for b, x in zip(base, links)], dtype=object)
+
+
 def is_ip(host: Column) -> Column:
     """Whether a host is an IPv4 address in dotted form, or an IPv6 address."""
     octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +101,44 @@ def function_distance(origin: Column, control: Column) -> Column:
     return _statistics(F.map_values(_paired(origin, control)), finish)
 
 
+def hashed(counts: Column) -> Column:
+    """A count map as struct(keys, values): 64-bit hashes of its keys, and its counts."""
+    return F.struct(F.transform(F.map_keys(counts), lambda k: F.xxhash64(k)).alias("keys"), F.map_values(counts).alias("values"))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, keys and values of an array of hashed maps."""
+    keys, values = column.field("keys"), column.field("values")
+    sizes = np.diff(keys.offsets.to_numpy())
+    flat = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), flat(keys), flat(values).astype(np.float64)
+
+
+def function_distances(origin: Column, control: Column) -> Column:
+    """function_distance of hashed maps: all pairs of a batch are compared at once."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (row_a, key_a, x), (row_b, key_b, y) = _flat(a), _flat(b)
+        row, key, value = np.concatenate([row_a, row_b]), np.concatenate([key_a, key_b]), np.concatenate([x, -y])
+        order = np.lexsort((key, row))
+        row, key, value = row[order], key[order], value[order]
+        # a key of both maps is twice in a row
+        again = np.zeros(len(row), bool)
+        again[1:] = (row[1:] == row[:-1]) & (key[1:] == key[:-1])
+        first = ~again
+        gap = value[first].copy()
+        gap[np.cumsum(first)[again] - 1] += value[again]
+        count = lambda at, weights=None: np.bincount(at, weights, len(a))
+        n, same, ss = count(row[first]), count(row[first][gap == 0]), count(row[first], gap * gap)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            factor = np.where(same > 0, (n - same) / same, 10.0)
+            short = np.where(n < SHORT, SHORT_SCALE / np.maximum(n, 1), 1.0)
+        return pa.array(np.where(n == 0, np.inf, np.sqrt(ss) * factor * short))
+
+    return run(origin, control)
+
+
 def literal_distance(control: Column, origin: Column) -> Column:
     """struct(dist, n_not_in_origin, n_not_in_control, diff): distance of literal counts, keys on one side only, differing keys."""
     return F.struct(

@@ -78,14 +78,14 @@ def scored_candidates(artefacts: DataFrame, controls: DataFrame, plausible: Data
     The total is at least half the statement distance, so pairs that it puts out of reach skip the maps.
     """
     usable = controls.where(~F.coalesce("do_not_load", F.lit(False)))
-    a = artefacts.select("artefact_id", F.col("sha256").alias("own_sha"), V.ast_vector(F.col("statements_by_count")).alias("own_ast"), F.col("calls_by_count").alias("own_calls"))
-    b = usable.select("origin", F.col("sha256").alias("control_sha"), V.ast_vector(F.col("statements_by_count")).alias("control_ast"), F.col("calls_by_count").alias("control_calls"))
+    a = artefacts.select("artefact_id", F.col("sha256").alias("own_sha"), V.ast_vector(F.col("statements_by_count")).alias("own_ast"), V.hashed(F.col("calls_by_count")).alias("own_calls"))
+    b = usable.select("origin", F.col("sha256").alias("control_sha"), V.ast_vector(F.col("statements_by_count")).alias("control_ast"), V.hashed(F.col("calls_by_count")).alias("control_calls"))
     pairs = plausible.join(b, "origin").join(a, "artefact_id")
     pairs = pairs.withColumns({
         "ast_dist": V.vector_distance(F.col("own_ast"), F.col("control_ast")),
         "same_sha": F.coalesce(F.col("own_sha") == F.col("control_sha"), F.lit(False)),
     }).where(F.col("ast_dist") * 0.5 <= max_distance)
-    pairs = pairs.withColumn("function_dist", V.function_distance(F.col("own_calls"), F.col("control_calls")))
+    pairs = pairs.withColumn("function_dist", V.function_distances(F.col("own_calls"), F.col("control_calls")))
     pairs = pairs.withColumn("total", V.total_distance(F.col("ast_dist"), F.col("function_dist")))
     return pairs.select("artefact_id", "strategy", "origin", "total", "ast_dist", "function_dist", "same_sha")
 
@@ -213,23 +213,24 @@ def poor_hits(hits: DataFrame, latest: DataFrame, threshold: float = 50.0) -> Da
     return with_url_fields(hits.where(F.col("ast_dist") > threshold)).join(scripts, "origin_url", "left")
 
 
-def hit_rate_ok(n_hits: int, n_records: int, bad_batches: int, batch: int = 2000, least: int = 200, patience: int = 5) -> tuple[bool, int]:
-    """Whether evaluation may go on after a batch, and how many full batches in a row had too few hits."""
-    bad = bad_batches + 1 if n_records >= batch and n_hits < least else 0
-    return bad < patience, bad
-
-
-def nearest(vectors: DataFrame, controls: DataFrame, id_col: str, control_col: str, vector_col: str, max_controls: int = 1000) -> DataFrame:
+def nearest(vectors: DataFrame, controls: DataFrame, id_col: str, control_col: str, vector_col: str, block: int = 1000) -> DataFrame:
     """For each dense vector the nearest control vector (ties: smallest id) and its distance.
 
-    Controls are a small list that becomes a constant of the plan, so there is no join; more than
-    max_controls are refused.  Without controls id and distance are null.
+    Up to `block` controls become a constant of the plan: no join.  More are dealt into blocks of about that size, each
+    one row; every distinct vector meets each block once, so rows grow with vectors times blocks, not with pairs.
+    Without controls id and distance are null.
     """
-    listed = controls.select(F.struct(F.col(control_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).alias("c"))
-    rows = listed.select(F.to_json("c").alias("c")).limit(max_controls + 1).collect()
-    if len(rows) > max_controls:
-        raise ValueError("too many controls for one list")
-    constant = F.from_json(F.lit("[" + ",".join(r["c"] for r in rows) + "]"), T.ArrayType(listed.schema["c"].dataType))
     own = F.col(vector_col).cast("array<double>")
-    best = F.array_min(F.transform(constant, lambda c: F.struct(V.euclidean(own, c["v"]).alias("dist"), c["id"].alias("id"))))
-    return vectors.select(id_col, best.alias("b")).select(id_col, F.col("b.id").alias("control_id"), F.col("b.dist").alias("dist"))
+    listed = controls.select(F.struct(F.col(control_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).alias("c"))
+    best = lambda v, cs: F.array_min(F.transform(cs, lambda c: F.struct(V.euclidean(v, c["v"]).alias("dist"), c["id"].alias("id"))))
+    rows = listed.select(F.to_json("c").alias("c")).limit(block + 1).collect()
+    if len(rows) <= block:
+        constant = F.from_json(F.lit("[" + ",".join(r["c"] for r in rows) + "]"), T.ArrayType(listed.schema["c"].dataType))
+        found = vectors.select(id_col, best(own, constant).alias("b"))
+    else:
+        n = -(-listed.count() // block)
+        blocks = listed.groupBy(F.pmod(F.xxhash64("c.id"), F.lit(n)).alias("_block")).agg(F.collect_list("c").alias("cs"))
+        each = vectors.select(own.alias("_v")).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        least = each.join(blocks, "_block").groupBy("_v").agg(F.min(best(F.col("_v"), F.col("cs"))).alias("b"))
+        found = vectors.select(id_col, own.alias("_v")).join(least, "_v", "left").select(id_col, "b")
+    return found.select(id_col, F.col("b.id").alias("control_id"), F.col("b.dist").alias("dist"))

@@ -237,3 +237,23 @@ def test_dates_and_choice(spark):
     at = F.lit("2021-03-04 05:06:07").cast("timestamp")
     assert value(spark, text.short_date(at)) == "03/04/2021" and value(spark, text.log_time(at)) == "04-Mar-2021 05:06:07+0000"
     assert {r.v for r in spark.range(50).select(text.chosen(F.array(F.lit("a"), F.lit("b")), 3).alias("v")).collect()} == {"a", "b"}
+
+
+def test_function_distances_are_function_distance(spark):
+    import random
+
+    rng = random.Random(1)
+    some = lambda: {f"k{rng.randrange(30)}": rng.randrange(1, 4) for _ in range(rng.randrange(25))}
+    rows = [(some(), some()) for _ in range(300)] + [({}, {}), ({"a": 1}, {}), ({}, {"a": 1}), ({"a": 1}, {"a": 1})]
+    pairs = spark.createDataFrame(rows, "a map<string,int>, b map<string,int>")
+    a, b = F.col("a"), F.col("b")
+    for r in pairs.select(V.function_distance(a, b).alias("x"), V.function_distances(V.hashed(a), V.hashed(b)).alias("y")).collect():
+        assert r.x == r.y or abs(r.x - r.y) < 1e-9
+
+
+def test_packed_scripts_are_analysed_unpacked(spark):
+    packed = "eval(function(p,a,c,k,e,d){return p}('0(\"1\");',2,2,'go|x'.split('|'),0,{}))"
+    rows = spark.createDataFrame([(bytearray(packed.encode()),), (bytearray(packed.replace("2,2,", "2,9,").encode()),), (bytearray(b"go('x');"),)], "code binary")
+    found = [r.a for r in rows.select(javascript.analysed(F.col("code")).alias("a")).collect()]
+    assert found[0].calls_by_count == {"go": 1} == found[2].calls_by_count and found[0].literals_by_count == {"x": 1} and found[1].failed
+    assert [r[0] for r in rows.select(javascript.unpacked(F.col("code").cast("string"))).collect()] == ['go("x");', None, "go('x');"]
