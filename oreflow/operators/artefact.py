@@ -91,6 +91,22 @@ def accepted_controls(candidates: DataFrame, controls: DataFrame, least: int = 1
     return rows if force else rows.join(controls.select("sha256"), "sha256", "left_anti")
 
 
+def uploaded_controls(candidates: DataFrame, controls: DataFrame, analysis: Column, least: int = 1000, force: bool = False) -> dict[str, DataFrame]:
+    """What an upload adds to each of its three tables: new controls, their code, and their totals.
+
+    candidates: origin, family and code, such as a catalog's downloads; those that are too small, stored already
+    (unless forced) or cannot be analysed are left out.
+    """
+    from ..functions.url import subfamily
+
+    rows = accepted_controls(with_hashes(candidates), controls, least, force)
+    rows = rows.withColumn("_a", analysis).where(~F.col("_a.failed"))
+    vectors = [F.col(f"_a.{c}").alias(c) for c in ("statements_by_count", "calls_by_count", "literals_by_count")]
+    known = [c for c in rows.columns if c not in ("code", "_a", "subfamily")]
+    new = rows.select(*known, subfamily(F.col("origin")).alias("subfamily"), F.lit(False).alias("do_not_load"), *vectors)
+    return {"javascript_controls": new, "javascript_control_code": rows.select("origin", "code", *vectors), "javascript_controls_summary": control_summary(new)}
+
+
 def control_summary(controls: DataFrame, when: Column | None = None) -> DataFrame:
     """Totals of the three count maps of controls whose origin is a web address."""
     from ..functions import vector as V

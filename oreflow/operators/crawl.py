@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,44 @@ def snippet_criteria() -> list[Criterion]:
     return [x for x in standard_criteria() if x[0] in ("blacklisted", "long_term_banned")]
 
 
+def with_dimensions(
+    urls: DataFrame,
+    blacklisted: DataFrame | None = None,
+    banned: DataFrame | None = None,
+    recent: DataFrame | None = None,
+    countries: DataFrame | None = None,
+    url_col: str = "url",
+    home: str = "AU",
+    home_suffix: str = ".au",
+) -> DataFrame:
+    """urls with host and what the standard criteria need: is_blacklisted, is_banned, n_site_cache and is_outside.
+
+    blacklisted and banned hold hosts, recent holds host and n, countries holds host and country.  Small ones are
+    broadcast by the optimiser, large ones joined by host.  A host with the home suffix counts as inside without
+    a lookup; one whose country is unknown counts as outside.
+    """
+    out = urls.withColumn("host", url.hostname(F.col(url_col)))
+    for name, listed in (("is_blacklisted", blacklisted), ("is_banned", banned)):
+        if listed is None:
+            out = out.withColumn(name, F.lit(False))
+            continue
+        hosts = listed.select(F.col(listed.columns[0]).alias("host")).distinct().withColumn("_in", F.lit(True))
+        out = out.join(hosts, "host", "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_in")
+    if recent is not None:
+        out = out.join(recent.groupBy("host").agg(F.max("n").alias("n_site_cache")), "host", "left")
+    out = out.withColumn("n_site_cache", F.coalesce("n_site_cache", F.lit(0)) if recent is not None else F.lit(0))
+    inside = F.col("host").endswith(home_suffix)
+    if countries is not None:
+        out = out.join(countries.groupBy("host").agg(F.max(F.col("country") == home).alias("_home")), "host", "left")
+        inside = inside | F.coalesce("_home", F.lit(False))
+    return out.withColumn("is_outside", ~F.coalesce(inside, F.lit(False))).drop("_home")
+
+
+def uploadable(downloads: DataFrame, host: str) -> DataFrame:
+    """The downloads of one crawler's host that know the page they were found on."""
+    return downloads.where((F.col("host") == host) & F.col("origin").isNotNull())
+
+
 def suitability(urls: DataFrame, criteria: Sequence[Criterion], url_col: str = "url") -> DataFrame:
     """urls with host and reject_reason: the first that applies, null for suitable ones.
 
@@ -114,36 +152,66 @@ def recent_sites(*caches: DataFrame, host: str = "host", n: str = "n") -> DataFr
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with host, external and internal: the distinct links whose text does not, or does, contain the page's host."""
-    base, host = F.col(url_col), url.hostname(F.col(url_col))
-    links = F.array_distinct(text.hrefs(F.col(html_col)))
-    found = pages.withColumn("host", host).withColumn("href", F.explode_outer(links))
-    found = found.withColumn("link", url.absolute(base, F.col("href")))
-    keys = [c for c in pages.columns if c != html_col] + ["host"]
-    inside = F.col("link").contains(F.col("host"))
-    return found.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.when(~inside, F.col("link")))).alias("external"),
-        F.array_sort(F.collect_set(F.when(inside, F.col("link")))).alias("internal"),
-    )
-
-
-def page_stats(linked: DataFrame, n_seen: Column | int = 0, max_internal: int = 20) -> DataFrame:
-    """Numbers of links, of those permitted and accepted: external ones first, then internal ones of hosts seen seldom."""
+    """pages with host, n_hrefs, external and internal.
+
+    n_hrefs counts all links, repeats too.  external and internal are the distinct absolute links, with their
+    fragments, whose text does not, or does, contain the page's host.  Each page stays one row, in place.
+    """
+    links = url.absolutes(F.col(url_col), text.hrefs(F.col(html_col)))
+    found = pages.withColumns({"host": url.hostname(F.col(url_col)), "_links": links})
+    inside = lambda x: F.coalesce(x.contains(F.col("host")), F.lit(False))
+    distinct = F.array_sort(F.array_distinct("_links"))
+    found = found.withColumns({
+        "n_hrefs": F.coalesce(F.size("_links"), F.lit(0)),
+        "external": F.coalesce(F.filter(distinct, lambda x: ~inside(x)), F.array().cast("array<string>")),
+        "internal": F.coalesce(F.filter(distinct, inside), F.array().cast("array<string>")),
+    })
+    return found.drop("_links", html_col)
+
+
+def may_follow(link: Column) -> Column:
+    """Whether a link is a web address with a host."""
+    return url.scheme(link).isin("http", "https") & url.hostname(link).isNotNull()
+
+
+def page_stats(
+    linked: DataFrame, n_seen: Column | int = 0, max_internal: int = 20, suitable: Callable[[Column], Column] = may_follow, overrun: int = 1
+) -> DataFrame:
+    """Numbers of links, of those permitted and accepted: external ones first, then internal ones of hosts seen seldom.
+
+    suitable says of a link whether the crawl's criteria let it pass; it is asked for every link.  n_seen counts the
+    host's pages with this one.  A run of links stops behind the one that exceeds its limit, so `overrun` more go out.
+    """
     seen = F.lit(n_seen) if isinstance(n_seen, int) else n_seen
     permitted = F.lit(100) - 4 * F.least(seen, F.lit(MAX_PAGES_PER_SITE))
-    external, internal = F.size("external"), F.size("internal")
-    accepted = F.least(external, permitted)
-    room = F.least(permitted - accepted, F.lit(max_internal))
+    fits = lambda c: F.size(F.filter(c, lambda x: F.coalesce(suitable(x), F.lit(False))))
+    accepted = F.least(fits("external"), permitted + overrun)
+    room = F.least(F.greatest(permitted - accepted, F.lit(0)), F.lit(max_internal))
     return linked.withColumns({
-        "n_hrefs": external + internal,
         "n_hrefs_max_permitted": permitted,
-        "n_external": external,
+        "n_external": F.size("external"),
         "n_external_accepted": accepted,
-        "n_internal": internal,
-        "n_internal_accepted": F.when(seen < MAX_PAGES_PER_SITE, F.least(internal, room)).otherwise(0),
+        "n_internal": F.size("internal"),
+        "n_internal_accepted": F.when(seen < max_internal, F.least(fits("internal"), room + overrun)).otherwise(0),
     })
 
 
+def page_scripts(pages: DataFrame, url_col: str = "url", html_col: str = "html", fetched: DataFrame | None = None) -> DataFrame:
+    """pages with scripts (all script urls, blank-separated), n_scripts, and n_scripts_accepted: new web addresses among them.
+
+    fetched: urls of scripts that were fetched lately; each is asked for once.
+    """
+    sources = url.absolutes(F.col(url_col), text.script_sources(F.col(html_col)))
+    rows = pages.withColumn("_sources", F.coalesce(sources, F.array().cast("array<string>")))
+    fits = F.filter(F.array_distinct("_sources"), may_follow)
+    out = rows.withColumns({"scripts": F.array_join("_sources", " "), "n_scripts": F.size("_sources"), "n_scripts_accepted": F.size(fits)})
+    if fetched is not None:
+        known = fetched.select(F.col(fetched.columns[0]).alias("_script")).distinct()
+        each = rows.select(url_col, F.explode(fits).alias("_script")).distinct().join(known, "_script").groupBy(url_col).agg(F.count("*").cast("int").alias("_known"))
+        out = out.join(each, url_col, "left").withColumn("n_scripts_accepted", F.col("n_scripts_accepted") - F.coalesce("_known", F.lit(0))).drop("_known")
+    return out.drop("_sources")
+
+
 def sampled_links(links: DataFrame, key: str, most: int, seed: int = 1) -> DataFrame:
     """At most so many links of each key, chosen by a seeded hash, so that repeated runs agree."""
     w = Window.partitionBy(key).orderBy(F.xxhash64("link", F.lit(seed)), "link")

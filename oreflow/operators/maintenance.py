@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.url import subfamily
-from . import match
+from . import artefact, match
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -61,3 +61,14 @@ def corrected_hash_matches(hits: DataFrame, latest: DataFrame, controls: DataFra
     out = hits.join(scripts, "origin_url", "left").join(known, "control_url", "left")
     equal = F.coalesce(F.col("_own") == F.col("_control"), F.lit(False))
     return out.withColumn("sha256_matched", F.col("sha256_matched") | (near & equal)).drop("_own", "_control")
+
+
+def recomputed(code: DataFrame, analysis: Column, when: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fresh, summary) of stored control code (origin, code): hashes and size from its bytes, and the totals of its vectors.
+
+    analysis gives a script's count maps, and failed for what cannot be analysed: such controls have hashes, no totals.
+    """
+    rows = artefact.with_hashes(code.where(F.col("origin").startswith("http")))
+    vectors = ["statements_by_count", "calls_by_count", "literals_by_count"]
+    made = rows.select("origin", analysis.alias("_a")).where(~F.col("_a.failed")).select("origin", *(F.col(f"_a.{c}").alias(c) for c in vectors))
+    return rows.select("origin", *artefact.KEY), artefact.control_summary(made, when)

@@ -20,6 +20,16 @@ LEAST_ROWS = 15
 MARKS = 256
 
 
+def selected(hits: DataFrame, controls: DataFrame, control: str | None = None, family: str | None = None, subfamily: str | None = None) -> DataFrame:
+    """The hits of one control, or of controls whose family and subfamily hold these patterns (case counts)."""
+    if control is not None:
+        controls = controls.where(F.col("origin") == control)
+    for name, pattern in (("family", family), ("subfamily", subfamily)):
+        if pattern:
+            controls = controls.where(F.col(name).rlike(pattern))
+    return hits.join(controls.select(F.col("origin").alias("control_url")), "control_url", "left_semi")
+
+
 def matrix(hits: DataFrame, probabilities: DataFrame, since: str | None = None, created: str = "created_at") -> DataFrame:
     """Per xref with functions and without hash match: its numbers and the rarest function's probability."""
     rows = hits.where(~F.col("sha256_matched") & (F.size("diff_functions") > 0))

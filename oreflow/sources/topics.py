@@ -44,14 +44,16 @@ def decode(value: Column, schema: T.StructType) -> Column:
 
 def read_batch(spark: SparkSession, options: TopicOptions, schema: T.StructType) -> DataFrame:
     if options.path:
-        return spark.read.schema(schema).json(options.path)
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").json(options.path)
     reader = spark.read.format("kafka").option("kafka.bootstrap.servers", options.bootstrap).option("subscribe", options.topic).option("startingOffsets", options.start)
     return reader.load().select(decode(F.col("value"), schema).alias("v")).select("v.*")
 
 
 def read_stream(spark: SparkSession, options: TopicOptions, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     if options.path:
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(options.path)
+        # output of programs lies in a folder for each of their batches
+        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
+        return reader.json(options.path)
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", options.bootstrap).option("subscribe", options.topic)
     reader = reader.option("startingOffsets", options.start).option("maxOffsetsPerTrigger", options.max_per_batch)
     if options.group:

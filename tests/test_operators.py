@@ -94,11 +94,15 @@ def test_strategies(spark):
     assert got() == {("a", "c1", 0), ("a", "c2", 1), ("b", "c2", 1)} and got(("ast",)) == {("a", "c1", 0)}
 
 
-def test_nearest_refuses_a_long_list(spark):
-    rows = spark.range(5).select(F.col("id"), F.array(F.col("id").cast("double")).alias("v"))
-    assert {(r.id, r.control_id) for r in match.nearest(rows, rows.where("id < 2"), "id", "id", "v").collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1)}
-    with pytest.raises(ValueError):
-        match.nearest(rows, rows, "id", "id", "v", max_controls=4)
+@pytest.mark.parametrize("block", [1000, 7, 1])
+def test_nearest_of_any_number_of_controls(spark, block):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 6, (40, 2)).astype(float), rng.integers(0, 6, (30, 2)).astype(float)
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())], "id long, v array<double>")
+    found = match.nearest(frame(a), frame(b), "id", "id", "v", block=block).collect()
+    gaps = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert len(found) == 41 and all((r.control_id, r.dist) == (int(gaps[r.id].argmin()), gaps[r.id].min()) for r in found)
+    assert all(r.control_id is None for r in match.nearest(frame(a), frame(b).limit(0), "id", "id", "v", block=block).collect())
 
 
 def test_poor_hits(spark):
@@ -107,14 +111,6 @@ def test_poor_hits(spark):
     assert [(r.origin_url, r.cited_on_host, r.sha256) for r in got] == [("http://a/x", "b", "h")]
 
 
-def test_hit_rate():
-    bad = 0
-    for _ in range(4):
-        ok, bad = match.hit_rate_ok(10, 2000, bad)
-        assert ok
-    assert match.hit_rate_ok(10, 2000, bad) == (False, 5) and match.hit_rate_ok(10, 50, bad) == (True, 0)
-
-
 def test_suitability(spark):
     rows = [("ftp://a.au/", 0, False, 0, 0, 1, False, 1, False), ("http:///x", 0, False, 0, 0, 1, False, 1, False), ("http://a.au/", 3, True, 0, 0, 1, False, 1, False), ("http://a.au/", 0, True, 99, 0, 1, False, 1, False),
             ("http://a.au/", 0, False, 21, 0, 1, False, 9, True), ("http://a.au/", 0, False, 20, 0, 11, False, 1, False), ("http://a.com/", 0, False, 0, 0, 1, False, 4, True), ("http://a.au/", 0, False, 0, 0, 1, False, 4, False)]
@@ -126,10 +122,52 @@ def test_suitability(spark):
     assert counts[None] == 4
 
 
+def test_page_stats_are_the_crawlers_loop(spark):
+    """Repeats count as links, urls are told apart with their fragments, and runs stop behind the limit."""
+    from urllib.parse import urljoin, urlparse
+
+    from oreflow.functions import url
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        links = [rng.choice([f"/a{rng.randrange(40)}", f"#f{rng.randrange(3)}", f"http://o{rng.randrange(90)}.net/", "mailto:x", f"http://bad.net/{rng.randrange(9)}", "http://sub.h.com/"]) for _ in range(rng.choice([0, 5, 200]))]
+        rows.append((f"http://h.com/{i}", "".join(f'<a class=x href="{x}">y</a>' for x in links), i % 30, links))
+    pages = spark.createDataFrame([r[:3] for r in rows], "url string, html string, seen int")
+    suitable = lambda x: crawl.may_follow(x) & (url.hostname(x) != "bad.net")
+    found = {r.url: r for r in crawl.page_stats(crawl.page_links(pages), F.col("seen"), suitable=suitable).collect()}
+    for page, _, seen, links in rows:
+        absolute = [urljoin(page, x) for x in links]
+        external, internal = {x for x in absolute if "h.com" not in x}, {x for x in absolute if "h.com" in x}
+        limit = 100 - 4 * min(seen, 20)
+
+        def followed(some, most):
+            sent = 0
+            for x in some:
+                if x.startswith("http") and urlparse(x).hostname != "bad.net":
+                    sent += 1
+                    if sent > most:
+                        break
+            return sent
+
+        n = followed(external, limit)
+        inside = followed(internal, min(max(limit - n, 0), 20)) if seen < 20 else 0
+        r = found[page]
+        assert (r.n_hrefs, r.n_hrefs_max_permitted, r.n_external, r.n_external_accepted, r.n_internal, r.n_internal_accepted) == (len(links), limit, len(external), n, len(internal), inside)
+
+
+def test_page_scripts(spark):
+    pages = spark.createDataFrame([("http://h.com/p/", '<script src="a.js"></script><script src="a.js"></script><script src="http://o.net/b.js"></script><script src="data:x"></script><script src="old.js"></script>'), ("http://n.com/", None)], "url string, html string")
+    found = {r.url: r for r in crawl.page_scripts(pages, fetched=spark.createDataFrame([("http://h.com/p/old.js",)], "url string")).collect()}
+    r = found["http://h.com/p/"]
+    assert r.scripts == "http://h.com/p/a.js http://h.com/p/a.js http://o.net/b.js data:x http://h.com/p/old.js" and (r.n_scripts, r.n_scripts_accepted) == (5, 2)
+    assert (found["http://n.com/"].n_scripts, found["http://n.com/"].n_scripts_accepted) == (0, 0)
+
+
 def test_crawl_tables(spark):
     pages = spark.createDataFrame([("http://h.com/p", '<a href="/x#y"></a><a href="http://o.net/z"></a><a href="mailto:a"></a>'), ("http://n.com/", "none")], "url string, html string")
     got = {r.url: r for r in crawl.page_links(pages).collect()}
-    assert got["http://h.com/p"].internal == ["http://h.com/x"] and "http://o.net/z" in got["http://h.com/p"].external and got["http://n.com/"].external == []
+    assert got["http://h.com/p"].internal == ["http://h.com/x#y"] and "http://o.net/z" in got["http://h.com/p"].external and got["http://n.com/"].external == []
     stats = {r.url: r for r in crawl.page_stats(crawl.page_links(pages), 25).collect()}
     assert stats["http://h.com/p"].n_hrefs_max_permitted == 20 and stats["http://h.com/p"].n_internal_accepted == 0
     failures = spark.createDataFrame([("u1", 403), ("u1", 403), ("u2", 404), ("u3", 503), ("u4", None), (None, 500)], "url string, http_status int")

@@ -83,3 +83,66 @@ def test_count_batches(spark):
     rows = spark.range(1000).select((F.lit(999) - F.col("id")).alias("at"))
     got = {r["at"]: r.batch for r in pipelines.count_batches(rows, ["at"], 150).collect()}
     assert got == {i: i // 150 for i in range(1000)}
+
+
+# --- daemons: what a run over a topic gives is what the batch operators give -------------------
+
+COUNTS = "map<string,int>"
+
+
+@pytest.fixture(scope="module")
+def evaluated(spark):
+    from oreflow.operators import match
+    from oreflow.streaming import programs
+
+    rows = [(f"http://a/{i}.js", f"{i:024d}", f"s{i % 5}", {"Name": 60 + i % 5, "Block": 3}, {f"f{i % 5}": 60, "g": 2}, {"x": i % 5 + 1}) for i in range(40)]
+    artefacts = spark.createDataFrame(rows, f"url string, js_id string, sha256 string, statements_by_count {COUNTS}, calls_by_count {COUNTS}, literals_by_count {COUNTS}")
+    artefacts = artefacts.withColumns({"origin": F.lit("http://page/"), "md5": F.lit("m"), "size_bytes": F.lit(2000), "inline": F.lit(False), "content_type": F.lit("text/javascript"), "when": F.lit("t")})
+    controls = [(f"http://c/{i}", f"s{i}", {"Name": 60 + i, "Block": 3}, {f"f{i}": 60, "g": 2}, {"x": i + 1}, "fam", False, 2000) for i in range(4)]
+    controls = spark.createDataFrame(controls, f"origin string, sha256 string, statements_by_count {COUNTS}, calls_by_count {COUNTS}, literals_by_count {COUNTS}, family string, do_not_load boolean, size_bytes int")
+    batch = match.evaluate(artefacts.withColumn("artefact_id", match.hit_id(F.col("url"), F.col("js_id"))), controls, 300.0)
+    return programs, artefacts, controls, batch
+
+
+def _program(spark, program, records, at, **options):
+    from oreflow.streaming import programs
+
+    records.repartition(2).write.mode("append").json(programs.output(at, program.source))
+    programs.start(spark, program, at, f"{at}/checkpoint", **options).awaitTermination()
+
+
+def test_evaluate_program(spark, evaluated, tmp_path):
+    from oreflow import schemas
+
+    programs, artefacts, controls, batch = evaluated
+    program = programs.evaluate(controls, 300.0)
+    _program(spark, program, artefacts, str(tmp_path))
+    found = programs.written(spark, str(tmp_path), "javascript-artefact-control-results", schemas.BEST_CONTROL)
+    key = lambda rows: sorted((r.origin_url, r.control_url, r.xref, r.sha256_matched, r.ast_dist, r.function_dist, r.literal_dist, r.diff_functions) for r in rows.collect())
+    assert key(found) == key(batch) and found.count() >= 40
+    # what was read is not read again; a new record is
+    more = artefacts.limit(1).withColumns({"url": F.lit("http://a/new.js"), "js_id": F.lit("n" * 24)})
+    _program(spark, program, more, str(tmp_path))
+    again = programs.written(spark, str(tmp_path), "javascript-artefact-control-results", schemas.BEST_CONTROL)
+    assert again.count() == batch.count() + again.where("origin_url = 'http://a/new.js'").count() > batch.count()
+
+
+def test_a_gate_ends_an_evaluation(spark, evaluated, tmp_path):
+    programs, artefacts, controls, _ = evaluated
+    far = artefacts.withColumn("statements_by_count", F.create_map(F.lit("Name"), F.lit(100_000)))
+    program = programs.evaluate(controls, 300.0, gate=pipelines.QualityGate(batch=10, least=5, patience=2), strategies=("ast",))
+    with pytest.raises(Exception, match="batches in a row"):
+        _program(spark, program, far, str(tmp_path))
+
+
+def test_dimensions_decide_for_each_url(spark):
+    from oreflow.operators import crawl
+
+    hosts = ["bad.com", "ban.com", "busy.com", "a.au", "nz.com", "home.com", "home.com"]
+    urls = spark.createDataFrame([(f"http://{h}/{i}",) for i, h in enumerate(hosts)], "url string")
+    one = lambda h: spark.createDataFrame([(h,), (h,)], "host string")
+    recent = spark.createDataFrame([("busy.com", 30), ("busy.com", 2)], "host string, n int")
+    countries = spark.createDataFrame([("nz.com", "NZ"), ("home.com", "AU"), ("home.com", "NZ")], "host string, country string")
+    rows = crawl.with_dimensions(urls, one("bad.com"), one("ban.com"), recent, countries)
+    got = {r.url.split("/")[2]: (r.is_blacklisted, r.is_banned, r.n_site_cache, r.is_outside) for r in rows.collect()}
+    assert rows.count() == 7 and got == {"bad.com": (True, False, 0, True), "ban.com": (False, True, 0, True), "busy.com": (False, False, 30, True), "a.au": (False, False, 0, False), "nz.com": (False, False, 0, True), "home.com": (False, False, 0, False)}
