@@ -72,13 +72,7 @@ def run_probabilities(spark: SparkSession, a: argparse.Namespace, table: Callabl
 
 
 def run_outliers(spark: SparkSession, a: argparse.Namespace, table: Callable[[str], DataFrame]) -> DataFrame:
-    controls = table("javascript_controls")
-    if a.control:
-        controls = controls.where(F.col("origin") == a.control)
-    for name in ("family", "subfamily"):
-        if getattr(a, name):
-            controls = controls.where(F.col(name).rlike(getattr(a, name)))
-    hits = table("etl_hits").join(controls.select(F.col("origin").alias("control_url")), "control_url", "left_semi")
+    hits = outlier.selected(table("etl_hits"), table("javascript_controls"), a.control, a.family, a.subfamily)
     return outlier.outliers(outlier.matrix(hits, table("function_probabilities"), a.since))
 
 

@@ -129,6 +129,11 @@ probs AS (SELECT control_url, c.subfamily, function_name, n_sites, n_pages, n_si
   FROM own JOIN controls c ON c.origin = control_url JOIN fam USING (subfamily, function_name))"""
 
 
+def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unrounded, and written once: the table is joined and grouped again by those who use it."""
+    return materialised(rarity.function_probabilities(hits(spark, sf_dir), controls(spark, sf_dir)), "probabilities")
+
+
 @query(f"""WITH {HITS_SQL}, {_RARE} SELECT * REPLACE (round(sites_probability, 6) AS sites_probability, round(pages_probability, 6) AS pages_probability) FROM probs""")
 def q_function_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rarity.function_probabilities(hits(spark, sf_dir), controls(spark, sf_dir))
@@ -141,12 +146,12 @@ def q_subfamily_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {HITS_SQL}, {_RARE}, each AS (SELECT DISTINCT xref, control_url, unnest(diff_functions) AS function_name FROM hits),
-p AS (SELECT xref, function_name, coalesce(round(sites_probability, 6), 1.0) AS p FROM each LEFT JOIN probs USING (control_url, function_name))
-SELECT xref, arg_min(function_name, (p, function_name)) AS rarest_function, min(p) AS rarest_probability FROM p GROUP BY xref""")
+p AS (SELECT xref, function_name, coalesce(sites_probability, 1.0) AS p FROM each LEFT JOIN probs USING (control_url, function_name))
+SELECT xref, arg_min(function_name, (p, function_name)) AS rarest_function, round(min(p), 6) AS rarest_probability FROM p GROUP BY xref""")
 def q_rarest_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits(spark, sf_dir).select("xref", "control_url", "diff_functions")
-    probs = q_function_probability(spark, sf_dir)
-    return rarity.rarest_function(rows, probs, ["xref"])
+    found = rarity.rarest_function(rows, _probabilities(spark, sf_dir), ["xref"])
+    return found.withColumn("rarest_probability", F.round("rarest_probability", 6))
 
 
 _SUSPICIOUS = " + ".join(f"contains(lower(t), '{x}')::INT" for x in text.SUSPICIOUS_TERMS if x == x.lower())
@@ -158,13 +163,14 @@ lits AS (SELECT DISTINCT control_url, cited_on_host, diff_literals FROM near),
 sus AS (SELECT control_url, cited_on_host, sum({_SUSPICIOUS})::BIGINT AS s FROM (SELECT *, unnest(string_split(diff_literals, ',')) AS t FROM lits) GROUP BY 1, 2),
 len AS (SELECT control_url, cited_on_host, sum(length(diff_literals))::BIGINT AS l FROM lits GROUP BY 1, 2),
 fl AS (SELECT control_url, cited_on_host, string_agg(f, ',' ORDER BY f) AS fs, count(*) AS nf,
-  arg_min(f, (coalesce(round(sites_probability, 6), 1.0), f)) AS rf, min(coalesce(round(sites_probability, 6), 1.0)) AS rp
+  arg_min(f, (coalesce(sites_probability, 1.0), f)) AS rf, round(min(coalesce(sites_probability, 1.0)), 6) AS rp
   FROM fns LEFT JOIN (SELECT control_url, function_name AS f, sites_probability FROM probs) USING (control_url, f) GROUP BY 1, 2)
 SELECT n.control_url, n.cited_on_host, count(DISTINCT cited_on) AS n_pages, max(n_diff_literals) AS max_diff_literals, coalesce(max(nf), 0)::INT AS n_diff_functions,
        max(s) AS n_suspicious, max(l) AS len_diff_literals, coalesce(max(fs), '') AS diff_functions, max(rf) AS rarest_function, max(rp) AS rarest_probability
 FROM near n LEFT JOIN fl USING (control_url, cited_on_host) LEFT JOIN sus USING (control_url, cited_on_host) LEFT JOIN len USING (control_url, cited_on_host) GROUP BY 1, 2""")
 def q_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.hosts(hits(spark, sf_dir), q_function_probability(spark, sf_dir)).withColumn("diff_functions", _list("diff_functions"))
+    out = report.hosts(hits(spark, sf_dir), _probabilities(spark, sf_dir))
+    return out.withColumns({"diff_functions": _list("diff_functions"), "rarest_probability": F.round("rarest_probability", 6)})
 
 
 @query(f"""WITH {HITS_SQL}, near AS (SELECT *, ast_dist * function_dist AS dist_prod FROM hits WHERE NOT sha256_matched AND ast_dist * function_dist < 50 AND regexp_matches(cited_on_host, 's1'))
@@ -183,24 +189,29 @@ def q_control_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {HITS_SQL}, {_RARE}, rows AS (SELECT * FROM hits WHERE NOT sha256_matched AND len(diff_functions) > 0),
 one AS (SELECT xref, min((control_url, origin_url, cited_on, ast_dist, function_dist, literal_dist, literals_not_in_origin, literals_not_in_control, n_diff_literals)) AS x FROM rows GROUP BY xref),
 fns AS (SELECT DISTINCT xref, control_url, unnest(diff_functions) AS f FROM rows),
-rare AS (SELECT xref, arg_min(f, (coalesce(round(sites_probability, 6), 1.0), f)) AS rarest_function, min(coalesce(round(sites_probability, 6), 1.0)) AS rarest_probability, string_agg(DISTINCT f, ',' ORDER BY f) AS diff_functions
+rare AS (SELECT xref, arg_min(f, (coalesce(sites_probability, 1.0), f)) AS rarest_function, round(min(coalesce(sites_probability, 1.0)), 6) AS rarest_probability, string_agg(DISTINCT f, ',' ORDER BY f) AS diff_functions
   FROM fns LEFT JOIN (SELECT control_url, function_name AS f, sites_probability FROM probs) USING (control_url, f) GROUP BY xref)
 SELECT xref, x[1] AS control_url, x[2] AS origin_url, x[3] AS cited_on, x[4] AS ast_dist, x[5] AS function_dist, x[6] AS literal_dist, x[7] AS literals_not_in_origin,
        x[8] AS literals_not_in_control, x[9] AS n_diff_literals, diff_functions, rarest_function, rarest_probability FROM one JOIN rare USING (xref)""")
 def q_outlier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlier.matrix(hits(spark, sf_dir), q_function_probability(spark, sf_dir)).withColumn("diff_functions", _list("diff_functions"))
+    out = _matrix(spark, sf_dir)
+    return out.withColumns({"diff_functions": _list("diff_functions"), "rarest_probability": F.round("rarest_probability", 6)})
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outlier.matrix(hits(spark, sf_dir), _probabilities(spark, sf_dir))
 
 
 @query()
 def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlier.outliers(q_outlier_matrix(spark, sf_dir)).select("xref", "distance", "is_outlier")
+    return outlier.outliers(_matrix(spark, sf_dir)).select("xref", "distance", "is_outlier")
 
 
 @query()
 def q_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    return outlier.principal_components(q_outlier_matrix(spark, sf_dir)).select("xref", vector_to_array("pca").alias("pca"))
+    return outlier.principal_components(_matrix(spark, sf_dir)).select("xref", vector_to_array("pca").alias("pca"))
 
 
 # --- distances -------------------------------------------------------------------------------
@@ -303,30 +314,6 @@ def q_plausible_ast_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.plausible_controls(*_magnitudes(spark, sf_dir), max_distance=20.0, strategies=("ast",))
 
 
-def _script_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    speech = table(spark, sf_dir, "conversations").withColumn("artefact_id", F.concat_ws("/", "conv_id", "turn"))
-    a = scripts(speech, "artefact_id").withColumns({
-        "url": F.concat(F.lit("https://speech.example/"), F.col("artefact_id")), "origin": F.lit("https://speech.example/"), "js_id": F.substring(F.sha2("artefact_id", 256), 1, 24)})
-    b = scripts(table(spark, sf_dir, "benchmark").withColumn("origin", F.concat(F.lit("https://controls.example/"), F.col("item_id"))), "origin")
-    b = b.withColumns({"do_not_load": F.lit(False), "size_bytes": F.lit(2000), "family": F.lit("benchmark"), "subfamily": F.lit("benchmark")})
-    # both are read by several joins
-    return materialised(a, "artefacts"), materialised(b, "controls")
-
-
-@query()
-def q_best_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.evaluate(*_script_tables(spark, sf_dir), max_distance=20_000.0)
-    return found.select("artefact_id", "rank", "control_url", "xref", "sha256_matched", *(F.round(c, 6).alias(c) for c in ("ast_dist", "function_dist", "literal_dist", "composite")))
-
-
-@query()
-def q_published_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _script_tables(spark, sf_dir)
-    good, bad = match.publish(match.evaluate(a, b, max_distance=20_000.0), b, 20_000.0)
-    columns = ["artefact_id", "control_url", "origin_host", "cited_on_host", "cited_on_port", "ok", "reason"]
-    return good.select(*columns, "control_family").unionByName(bad.select(*columns), allowMissingColumns=True)
-
-
 _REASON = """CASE WHEN (ast_dist < 10 OR (ast_dist < 20 AND greatest(len(diff_functions) - 1, 0) < 10)) AND ast_dist > 0 AND function_dist > 0 THEN 'original_criteria'
 WHEN literal_dist < 0 THEN 'bad_literal_dist'
 WHEN (ast_dist * 0.8 + function_dist * 1.5) * (function_dist * 1.5 + literal_dist) + ast_dist * 0.8 + function_dist * 1.5 + literal_dist <= 100 THEN 'dist_lt_100.0'
@@ -407,7 +394,7 @@ def q_accepted_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'https://controls.example/' || item_id AS origin, (length(text) - length(replace(text, ' ', '')) + length(text) - length(replace(text, '.', '')) + length(text) - length(replace(text, ',', '')))::BIGINT AS sum_of_ast_features,
 n::BIGINT AS sum_of_functions, n::BIGINT AS sum_of_literals FROM benchmark JOIN w USING (item_id)""")
 def q_control_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return artefact.control_summary(_script_tables(spark, sf_dir)[1]).drop("last_updated")
+    return artefact.control_summary(heart._script_tables(spark, sf_dir)[1]).drop("last_updated")
 
 
 @query("""SELECT doc_id, gen AS generation FROM (SELECT doc_id, 0 AS gen FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 1 FROM labels UNION ALL SELECT doc_id, 2 FROM documents) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY gen) = 1""")
@@ -454,14 +441,6 @@ def q_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", F.size("external").cast("long").alias("n_external"), F.size("internal").cast("long").alias("n_internal"), links.alias("links"))
 
 
-@query(f"""WITH {_LINKS}, s AS (SELECT *, 100 - 4 * least(page_id % 30, 20) AS permitted, page_id % 30 AS seen FROM c)
-SELECT page_id, n_external + n_internal AS n_hrefs, permitted AS n_hrefs_max_permitted, least(n_external, permitted) AS n_external_accepted,
-CASE WHEN seen < 20 THEN least(n_internal, permitted - least(n_external, permitted), 20) ELSE 0 END AS n_internal_accepted FROM s""")
-def q_page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = crawl.page_stats(crawl.page_links(table(spark, sf_dir, "pages")), F.col("page_id") % 30)
-    return out.select("page_id", *(F.col(c).cast("long").alias(c) for c in ("n_hrefs", "n_hrefs_max_permitted", "n_external_accepted", "n_internal_accepted")))
-
-
 @query(r"""WITH s AS (SELECT url, list_filter(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: trim(x) <> '') AS l FROM pages)
 SELECT url, (generate_subscripts(l, 1) - 1)::INT AS position, unnest(l) AS code, sha256(unnest(l)) AS sha256, md5(unnest(l)) AS md5, strlen(unnest(l))::INT AS size_bytes FROM s""")
 def q_inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -744,3 +723,6 @@ def q_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = lambda c: [F.col(c).alias(n) for n in ("statements_by_count", "calls_by_count", "literals_by_count")]
     out = report.pairwise(rows.select("k", *maps("counts")), rows.select("k", *maps("next")), "k")
     return out.select("k", "a_magnitude", "b_magnitude", _list("diff_features"), F.round("function_dist", 6).alias("function_dist"))
+
+
+from . import heart, upkeep  # noqa: E402, F401  they register more
