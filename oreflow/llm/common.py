@@ -2,70 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship  # noqa: F401  the operators take it from here
+from ..session import clear, drop, materialised, new_path, ship  # noqa: F401  the operators take them from here
 
 #: Rows that a Python operator holds as Python objects at one time.
 SLICE_ROWS = 256
 #: Bytes of texts and binaries that it holds at one time, unless one row has more.
 SLICE_BYTES = 4 << 20
 
-#: Tables that cut() and others made and that still stand.
-_standing: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="oreflow-shared-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    path = f"{shared_dir(spark)}/oreflow/{name}-{uuid.uuid4().hex}"
-    _standing.add(path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it from there: the lineage ends, lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._oreflow_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the table behind a result of cut() that nothing reads any more."""
-    _delete(df.sparkSession, df._oreflow_path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _standing.discard(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this process: for when every result has been written."""
-    for path in list(_standing):
-        _delete(spark, path)
+#: A table written once to the shared folder and read from there.
+cut = materialised
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -118,3 +71,17 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop(old)
+
+
+def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """labels (each node's smallest known companion) after also joining a and b, node by node."""
+    while True:
+        x, y = labels[a], labels[b]
+        differ = x != y
+        if not differ.any():
+            return labels
+        x, y = x[differ], y[differ]
+        a, b = a[differ], b[differ]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, ship, slices
+from .common import components, cut, forest, ship, slices
 
 COSINE = 0.95
 #: Points of a cell that are aimed at, and at most of a block: at least, and at most for very many points.
@@ -159,20 +159,6 @@ def _dealt(cells: dict[int, Cells], kind: str, home_blocks: list[int], member_bl
     return run
 
 
-def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """labels (each node's smallest known companion) after also joining a and b, node by node."""
-    while True:
-        x, y = labels[a], labels[b]
-        differ = x != y
-        if not differ.any():
-            return labels
-        x, y = x[differ], y[differ]
-        a, b = a[differ], b[differ]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
 def _joined(kind: str, cosine: float):
     def run(table: pa.Table) -> pa.Table:
         home = np.flatnonzero(table.column("home").to_numpy())

@@ -167,18 +167,27 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("rules", [urlfilter.RULES, [], [("block", "com", "")], [("block", "net", "/"), ("allow", "a.net", "/"), ("block", "x.a.net", "/en/very/long")]])
-def test_url_rules(spark, rules):
+@pytest.mark.parametrize("rules", [urlfilter.RULES, [], [("block", "com", "")], [("block", "net", "/"), ("allow", "a.net", "/"), ("block", "x.a.net", "/en/very/long")], [("allow", "a.net", "/"), ("block", "a.net", "/"), ("block", "a.net", "/")]])
+@pytest.mark.parametrize("max_listed", [urlfilter.MAX_LISTED, 0])
+def test_url_rules(spark, rules, max_listed):
     rng = random.Random(3)
     urls = URLS + [f"{rng.choice(['http', 'https'])}://{rng.choice(['', 'www.', 'x.'])}{rng.choice(['a', 'example', 'B'])}.{rng.choice(['net', 'com', 'org', 'NET'])}{rng.choice(['', '/', '/en/', '/de/1', '/fr/'])}{rng.choice(['', '?a', '#b'])}" for _ in range(300)]
     rows = [(i, u, "clash", "clash") for i, u in enumerate(urls)] + [(None, "http://a.net/", None, None)] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, key string")
-    found = urlfilter.judge(pages, rules).collect()
+    found = urlfilter.judge(pages, rules, max_listed=max_listed).collect()
     assert len(found) == len(rows)
     for r in found:
         url = urls[r.page_id] if r.page_id is not None else "http://a.net/"
         assert (r.host, r.path, r.rule, r.verdict) == _verdict(url, rules), url
-    assert urlfilter.judge(pages.limit(0), rules).count() == 0
+    assert urlfilter.judge(pages.limit(0), rules, max_listed=max_listed).count() == 0
+
+
+def test_long_urls_and_hosts_of_many_labels(spark):
+    rows = [(1, "http://" + "a." * 50_000 + "net/x"), (2, "http://b.net/" + "y" * 1_000_000), (3, "z" * 1_000_000), (4, "http://" + "c" * 1_000_000 + ".org/fr/")]
+    began = time.monotonic()
+    found = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert time.monotonic() - began < 60  # all 50,000 endings together would be 2.5 GB
+    assert {r.page_id: (len(r.host), len(r.path), r.rule) for r in found} == {1: (100_003, 2, "net/"), 2: (5, 1_000_001, "net/"), 3: (0, 0, None), 4: (1_000_004, 4, "org/fr/")}
 
 
 def test_cascade_is_exact(spark, monkeypatch):
@@ -320,7 +329,7 @@ def test_forest(pairs):
     labels = np.arange(31)
     half = len(pairs) // 2
     for part in (pairs[:half], pairs[half:]):
-        labels = embeddings.forest(labels, np.array([a for a, _ in part], int), np.array([b for _, b in part], int))
+        labels = common.forest(labels, np.array([a for a, _ in part], int), np.array([b for _, b in part], int))
     assert dict(enumerate(labels.tolist())) == _roots(range(31), pairs)
 
 
@@ -381,14 +390,14 @@ def _near_copies(seed=8):
     return [(i, t) for i, t in enumerate(out + ["", None, "two words", "Two  WORDS"])]
 
 
-@pytest.mark.parametrize("max_list", [2, 64])
-def test_shingle_components_are_brute_force(spark, max_list):
+@pytest.mark.parametrize("block", [3, 512])
+def test_shingle_components_are_brute_force(spark, block):
     rows = _near_copies()
     docs = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, row long, text string").repartition(3)
     sets = {i: _shingles(t) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     found = {}
-    for r in shingles.near_duplicates(docs, max_list=max_list).collect():
+    for r in shingles.near_duplicates(docs, block=block).collect():
         found.setdefault(r.component, set()).add(r.doc_id)
     wanted = {}
     for i, root in _roots(sets, links).items():
@@ -396,6 +405,40 @@ def test_shingle_components_are_brute_force(spark, max_list):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_a_cloud_of_near_copies_sends_a_forest(spark):
+    """Of many copies of one text, some similar enough and some not, no more edges leave a block than it has members."""
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        text = [*base]
+        for _ in range(rng.choice([1, 2, 3, 5, 8, 13])):
+            text[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, row long, text string")
+    sets = {i: _shingles(t) for i, _, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    prints = docs.select("doc_id", "row", "text").mapInArrow(shingles._sketches(5), "doc_id long, row long, class long, n long, bytes binary")
+    found = shingles.links(prints, docs.select("row", "text"), block=100).collect()
+    kept = {r.row: r["class"] for r in prints.collect()}
+    assert {n for r in found for n in (r.a, r.b)} <= set(kept.values())
+    assert len(found) < len(links) / 4 and len(links) > 5000
+    edges = [(a, b) for a, b in links]
+    root, by = _roots(sets, edges), {c: i for i, c in kept.items()}
+    own = _roots(sets, [(by[r.a], by[r.b]) for r in found])
+    assert own == root
+
+
+@settings(deadline=None, max_examples=50)
+@given(st.lists(st.sets(st.integers(0, 40)), max_size=6), st.lists(st.sets(st.integers(0, 40)), max_size=6), st.sampled_from([1, 7, 4096]))
+def test_shared_counts(x, y, columns):
+    shingles.COLUMNS, old = columns, shingles.COLUMNS
+    try:
+        found = shingles.shared_counts(*([np.array(sorted(s), np.uint64) for s in side] for side in (x, y)))
+    finally:
+        shingles.COLUMNS = old
+    assert found.shape == (len(x), len(y)) and all(found[i, j] == len(x[i] & y[j]) for i in range(len(x)) for j in range(len(y)))
+
+
 def test_pipeline_drops_near_copies_of_more_than_two_bits(spark, tmp_path):
     from oreflow.llm import stages
 
