@@ -27,9 +27,12 @@ COSINE = 0.95
 #: Points of a cell that are aimed at, and at most of a block: at least, and at most for very many points.
 BLOCK = 8192
 MAX_BLOCK = 32768
-MAX_PIVOTS = 64
-#: At most about so many points are looked at to choose pivots.
-PIVOT_SAMPLE = 2000
+#: Pivots at most, besides twice the root of the number of points; a table of their angles is held for each slice.
+MAX_PIVOTS = 4096
+#: At most about so many points are looked at to choose pivots and how many.
+PIVOT_SAMPLE = 4000
+#: What a pair of vectors that is compared, a row that is dealt, and a point's angle to a pivot take, in seconds.
+PAIR_COST, ROW_COST, ANGLE_COST = 1e-8, 2e-5, 1e-8
 #: Rows of a block that are compared at one time.
 TILE = 256
 #: Room for rounding in the tests that only prune.
@@ -99,6 +102,27 @@ class Cells:
         return home, inside
 
 
+def pivot_count(sample: np.ndarray, pivots: np.ndarray, eps: float, n: int, block: int) -> int:
+    """How many of the pivots to use for n points: as many as make the join cheapest, judged by a sample without pivots.
+
+    More pivots let the bounds exclude more, where vectors have clusters; where they have none, pivots only copy
+    vectors to more cells.  The result of the join is the same for any number.
+    """
+    best, found, k = np.inf, 1, 1
+    while k <= len(pivots) and len(sample):
+        cell = Cells(0, pivots[:k], eps)
+        home = cell.homes(sample)[0]
+        cell.radius = np.full(k, np.pi)  # a few vectors of a cell do not tell its radius
+        scale = n / len(sample)
+        own, members = np.bincount(home, minlength=k) * scale, cell.members(sample)[1].sum(axis=0) * scale
+        rows = own * np.ceil(members / block) + members * np.ceil(own / block)
+        cost = PAIR_COST * (own * members).sum() + ROW_COST * rows.sum() + ANGLE_COST * n * k
+        if cost < best:
+            best, found = cost, k
+        k *= 2
+    return found
+
+
 def _by_dimension(part: pa.RecordBatch, column: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(dimension, places of its rows) of a batch."""
     lengths = np.array([len(v) // size for v in part.column(column).to_pylist()])
@@ -127,34 +151,37 @@ def _counted(cells: dict[int, Cells], kind: str):
     return run
 
 
+def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts (2, 3): the places 0, 0, 1, 1, 1 and the numbers 0, 1, 0, 1, 2."""
+    place = np.repeat(np.arange(len(counts)), counts)
+    return place, np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _dealt(cells: dict[int, Cells], kind: str, home_blocks: list[int], member_blocks: list[int]):
     """A row for each point and unit (cell, block of homes, block of members) that needs it."""
+    homes_of, members_of = np.array(home_blocks, np.int64), np.array(member_blocks, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
             vectors = part.column("vec").to_pylist()
-            places = [int.from_bytes(k[:8], "little") for k in part.column("key").to_pylist()]
-            source, unit, at_home = [], [], []
+            places = np.array([int.from_bytes(k[:5], "little") for k in part.column("key").to_pylist()], np.int64)
             for d, at in _by_dimension(part, "vec", int(kind[-1])):
                 cell = cells[d]
                 home, inside = cell.members(_unit([vectors[i] for i in at], kind))
-                for n, j in zip(*np.nonzero(inside)):
-                    i, c = int(at[n]), int(j) + cell.first
-                    a_n, b_n = home_blocks[c], member_blocks[c]
-                    place = places[i]
-                    if home[n] == j:
-                        a = place % a_n
-                        unit += [c << 40 | a << 20 | b for b in range(b_n)]
-                        source += [i] * b_n
-                        at_home += [True] * b_n
-                    b = (place >> 20) % b_n
-                    unit += [c << 40 | a << 20 | b for a in range(a_n)]
-                    source += [i] * a_n
-                    at_home += [False] * a_n
-            for k in range(0, len(unit), 8192):
-                rows = part.take(pa.array(source[k : k + 8192], pa.int64()))
-                cols = {x: rows.column(x) for x in ("key", "rep", "n", "vec")}
-                yield pa.RecordBatch.from_arrays([pa.array(unit[k : k + 8192], pa.int64()), pa.array(at_home[k : k + 8192]), *cols.values()], names=["unit", "home", *cols])
+                n, j = np.nonzero(inside)
+                c, own = j + cell.first, home[n] == j
+                place = places[at[n]]
+                # a point at home meets all blocks of members, and as a member all blocks of homes
+                mine, b = _ranges(members_of[c[own]])
+                theirs, a = _ranges(homes_of[c])
+                first = c[own][mine] << 40 | place[own][mine] % homes_of[c[own][mine]] << 20 | b
+                second = c[theirs] << 40 | a << 20 | (place[theirs] >> 20) % members_of[c[theirs]]
+                unit, source = np.concatenate([first, second]), at[np.concatenate([n[own][mine], n[theirs]])]
+                for k in range(0, len(unit), 8192):
+                    rows = part.take(pa.array(source[k : k + 8192]))
+                    cols = {x: rows.column(x) for x in ("key", "rep", "n", "vec")}
+                    at_home = pa.array(np.arange(k, k + rows.num_rows) < len(first))
+                    yield pa.RecordBatch.from_arrays([pa.array(unit[k : k + 8192]), at_home, *cols.values()], names=["unit", "home", *cols])
 
     return run
 
@@ -191,8 +218,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
     do vectors of different lengths.  A row without id links with nothing and has no component.
-    Repeated rows are copies of a vector and link with each other; rows that share an id are one
-    vector to the components.  An empty table gives no rows; other columns are not read.
+    A cosine of exactly the threshold links.  Repeated rows are copies of a vector and link with each other; rows
+    that share an id are one vector to the components.  An empty table gives no rows; other columns are not
+    read.  Vectors may have any length; ids must be numbers.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -201,7 +229,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     size, eps = int(kind[-1]), float(np.arccos(cosine))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>" if wide else "array<float>").alias("v"))
     rows = cut(rows.mapInArrow(_points(wide), "vec_id long, key binary, vec binary"), "vectors")
-    points = cut(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "points")
+    points = cut(rows.where("key is not null").groupBy("key", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("key", "rep", "n", "vec"), "points")
 
     # pivots: a bounded sample by hash, for each dimension
     sizes = {r["d"]: r["n"] for r in points.groupBy((F.octet_length("vec") / size).cast("int").alias("d")).agg(F.count("*").alias("n")).collect()}
@@ -210,9 +238,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cells, first = {}, 0
     for d, n in sorted(sizes.items()):
         share = int(min(1, PIVOT_SAMPLE / n) * (1 << 30))
-        some = points.where((F.octet_length("vec") == d * size) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= share)).select("key", "vec").limit(2 * PIVOT_SAMPLE).collect() or points.where(F.octet_length("vec") == d * size).limit(1).collect()
+        same = points.where(F.octet_length("vec") == d * size).select("key", "vec")
+        some = same.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= share).limit(2 * PIVOT_SAMPLE).collect() or same.limit(1).collect()
         sample = _unit([bytes(r["vec"]) for r in sorted(some, key=lambda r: bytes(r["key"]))], kind)
-        cells[d] = Cells(first, choose_pivots(sample, min(max_pivots, -(-n // block))), eps)
+        pivots = choose_pivots(sample[::2], min(max_pivots, int(2 * n**0.5)))
+        cells[d] = Cells(first, pivots[: pivot_count(sample[1::2], pivots, eps, n, block)], eps)
         first += len(cells[d].pivots)
 
     def count() -> dict[int, tuple]:

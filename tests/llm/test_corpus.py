@@ -316,6 +316,25 @@ def test_metric_join(spark, options):
     assert len(found) == len(rows) and {tuple(r) for r in found} == _links(rows)
 
 
+def test_pivots_follow_the_clusters():
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    eps = float(np.arccos(0.95))
+    loose = unit(rng.normal(size=(1500, 64)))
+    tight = unit(np.repeat(unit(rng.normal(size=(50, 64))), 30, axis=0) + 0.01 * rng.normal(size=(1500, 64)))
+    of = lambda x, n: embeddings.pivot_count(x[1::2], embeddings.choose_pivots(x[::2], 512), eps, n, 8192)
+    # with clusters the more pivots the more points there are; without, copies cost more than the bounds exclude
+    counts = [of(tight, n) for n in (10, 1000, 10**5, 10**6)]
+    assert counts == sorted(counts) and counts[0] == 1 and 32 <= counts[-1] <= 512
+    assert of(loose, 10**4) <= 4 and of(tight[:1], 10) == 1
+
+
+@given(st.lists(st.integers(0, 5), max_size=20))
+def test_ranges(counts):
+    place, number = embeddings._ranges(np.array(counts, int))
+    assert list(zip(place.tolist(), number.tolist())) == [(i, k) for i, n in enumerate(counts) for k in range(n)]
+
+
 def test_metric_join_of_doubles_and_nothing(spark):
     rows = [(1, [1e200, 0.0], 0), (2, [3e-200, 0.0], 0), (3, [0.0, 1.0], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
