@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["sha256", "md5", "size_bytes"]
@@ -64,8 +64,9 @@ def first_found(generations: list[DataFrame], key: str) -> DataFrame:
     for n, x in enumerate(generations):
         part = x.withColumn("generation", F.lit(n))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("generation", *[c for c in rows.columns if c not in (key, "generation")])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in rows.columns if c not in (key, "generation")]
+    first = F.min(F.struct("generation", *rest))  # aggregates map-side, so no key is sorted in one task
+    return rows.groupBy(key).agg(first.alias("_x")).select(*(F.col(c) if c == key else F.col(f"_x.{c}").alias(c) for c in rows.columns))
 
 
 def feature_matrix(artefacts: DataFrame, names: list[str], counts_col: str = "statements_by_count", url_col: str = "url", order: str = "when") -> DataFrame:

@@ -105,3 +105,14 @@ def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process: for when every result has been written."""
     for path in list(_standing):
         delete(spark, path)
+
+
+def standing() -> set[str]:
+    """The paths of the intermediate tables that stand now."""
+    return set(_standing)
+
+
+def release(spark: SparkSession, before: set[str], kept: DataFrame) -> None:
+    """Delete the tables made since `before` but the one behind kept, a written result that needs none of them."""
+    for path in _standing - before - {kept._oreflow_path}:
+        delete(spark, path)
