@@ -144,8 +144,10 @@ def _written(path: str, spaced: bool, bits: int, shard_ids: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row = [[task], [number], [before], [size], [write_shard(held, bits)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])], names=["part", "number", "before", "n_ids", "shard"])
+            row = (task, number, before, size, write_shard(held, bits))
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["part", "number", "before", "n_ids", "shard"]
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], names=names)
 
         for piece in slices(batches):
             for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).cast(pa.binary()).to_pylist()):

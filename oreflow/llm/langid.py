@@ -250,7 +250,9 @@ def _epoch(data: bytes, number: int):
         kept = np.arange(len(rows)) % VALIDATION == VALIDATION - 1
         loss, judged = state.network.loss(rows[kept], labels[kept]), int(kept.sum())
         state.epoch(rows[~kept], labels[~kept], number)
-        return pa.table({"state": pa.array([pickle.dumps(state)], pa.binary()), "n": pa.array([int((~kept).sum())], pa.int64()), "loss": pa.array([loss], pa.float64()), "judged": pa.array([judged], pa.int64())})
+        out = {"state": pa.binary(), "n": pa.int64(), "loss": pa.float64(), "judged": pa.int64()}
+        values = (pickle.dumps(state), int((~kept).sum()), loss, judged)
+        return pa.table({name: pa.array([x], kind) for (name, kind), x in zip(out.items(), values)})
 
     return run
 

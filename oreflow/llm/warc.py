@@ -265,7 +265,10 @@ def derive(data: bytes) -> list[dict]:
             ("WARC-Block-Digest", own_digest),
             ("Content-Type", mime),
         ], content)
-        out.append({"record_type": kind, "record_id": own, "refers_to": source, "target_uri": uri, "source_payload_digest": payload_digest, "block_digest": own_digest, "content_length": len(content), "record": record, "error": None})
+        out.append({
+            "record_type": kind, "record_id": own, "refers_to": source, "target_uri": uri, "source_payload_digest": payload_digest,
+            "block_digest": own_digest, "content_length": len(content), "record": record, "error": None,
+        })
     return out
 
 
@@ -273,7 +276,10 @@ _SCHEMA = pa.schema([
     ("id", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()),
     ("source_payload_digest", pa.string()), ("block_digest", pa.string()), ("content_length", pa.int64()), ("record", pa.binary()), ("error", pa.string()),
 ])
-_DDL = "id long, record_type string, record_id string, refers_to string, target_uri string, source_payload_digest string, block_digest string, content_length long, record binary, error string"
+_DDL = (
+    "id long, record_type string, record_id string, refers_to string, target_uri string, source_payload_digest string, "
+    "block_digest string, content_length long, record binary, error string"
+)
 
 
 def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
