@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_counts
+from ..session import materialised
 
 #: What makes a hit of a lineitem l and its part p, for DuckDB.
 HITS_SQL = """hits AS (
@@ -83,3 +84,13 @@ def scripts(rows: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     n = lambda sign: (F.length("text") - F.length(F.replace("text", F.lit(sign), F.lit("")))).cast("int")
     shapes = rows.select(key, F.sha2("text", 256).alias("sha256"), F.create_map(F.lit("Name"), n(" "), F.lit("Block"), n("."), F.lit("ElementGet"), n(",")).alias("statements_by_count"))
     return counted.join(shapes, key).withColumn("literals_by_count", F.col("calls_by_count"))
+
+
+def script_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations as artefacts, and benchmark items as controls; both are read by several joins."""
+    speech = table(spark, sf_dir, "conversations").withColumn("artefact_id", F.concat_ws("/", "conv_id", "turn"))
+    a = scripts(speech, "artefact_id").withColumns({
+        "url": F.concat(F.lit("https://speech.example/"), F.col("artefact_id")), "origin": F.lit("https://speech.example/"), "js_id": F.substring(F.sha2("artefact_id", 256), 1, 24)})
+    b = scripts(table(spark, sf_dir, "benchmark").withColumn("origin", F.concat(F.lit("https://controls.example/"), F.col("item_id"))), "origin")
+    b = b.withColumns({"do_not_load": F.lit(False), "size_bytes": F.lit(2000), "family": F.lit("benchmark"), "subfamily": F.lit("benchmark")})
+    return materialised(a, "artefacts"), materialised(b, "controls")

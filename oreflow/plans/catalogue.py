@@ -1,13 +1,10 @@
-"""The registered queries over the tables of a scale-factor folder, and the same in DuckDB's SQL.
+"""Queries over the tables of a scale-factor folder, and the same in DuckDB's SQL.
 
 The tables hold no hits, pages of a crawl or scripts; analogue.py says what plays them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,35 +12,13 @@ from ..functions import text, url
 from ..functions import vector as V
 from ..functions.javascript import analysed
 from ..operators import artefact, crawl, maintenance, match, outlier, rarity, report, search
-from ..session import materialised, ship
+from ..session import materialised
 from ..sources import files, topics
 from ..streaming import pipelines
-from . import analogue
-from .analogue import HITS_SQL, controls, hits, scripts, table, turns
+from .analogue import HITS_SQL, controls, hits, script_tables, table, turns
+from .registry import query
 from .streams import collected
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, with its SQL if there is one."""
-
-    def register(f: Query) -> Query:
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 def _list(c: str) -> F.Column:
     return F.array_join(c, ",").alias(c)
@@ -411,7 +386,7 @@ def q_accepted_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'https://controls.example/' || item_id AS origin, (length(text) - length(replace(text, ' ', '')) + length(text) - length(replace(text, '.', '')) + length(text) - length(replace(text, ',', '')))::BIGINT AS sum_of_ast_features,
 n::BIGINT AS sum_of_functions, n::BIGINT AS sum_of_literals FROM benchmark JOIN w USING (item_id)""")
 def q_control_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return artefact.control_summary(heart._script_tables(spark, sf_dir)[1]).drop("last_updated")
+    return artefact.control_summary(script_tables(spark, sf_dir)[1]).drop("last_updated")
 
 
 @query("""SELECT doc_id, gen AS generation FROM (SELECT doc_id, 0 AS gen FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 1 FROM labels UNION ALL SELECT doc_id, 2 FROM documents) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY gen) = 1""")
@@ -745,6 +720,3 @@ def q_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = lambda c: [F.col(c).alias(n) for n in ("statements_by_count", "calls_by_count", "literals_by_count")]
     out = report.pairwise(rows.select("k", *maps("counts")), rows.select("k", *maps("next")), "k")
     return out.select("k", "a_magnitude", "b_magnitude", _list("diff_features"), F.round("function_dist", 6).alias("function_dist"))
-
-
-from . import heart, upkeep  # noqa: E402, F401  they register more

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance, match
-from ..session import materialised
-from .analogue import scripts, table
-from .catalogue import _TURNS_SQL, query
+from .analogue import script_tables
+from .catalogue import _TURNS_SQL
+from .registry import query
 
 MAX_DISTANCE = 20_000.0
 
@@ -50,16 +50,6 @@ judged AS (SELECT *, (ast_dist * 0.8 + function_dist * 1.5) * (function_dist * 1
 emitted AS (SELECT *, max(composite) FILTER (WHERE rank = 0) OVER (PARTITION BY artefact_id) AS best FROM judged QUALIFY rank = 0 OR (control_url <> '' AND composite <= best AND composite < 50))"""
 
 
-def _script_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    speech = table(spark, sf_dir, "conversations").withColumn("artefact_id", F.concat_ws("/", "conv_id", "turn"))
-    a = scripts(speech, "artefact_id").withColumns({
-        "url": F.concat(F.lit("https://speech.example/"), F.col("artefact_id")), "origin": F.lit("https://speech.example/"), "js_id": F.substring(F.sha2("artefact_id", 256), 1, 24)})
-    b = scripts(table(spark, sf_dir, "benchmark").withColumn("origin", F.concat(F.lit("https://controls.example/"), F.col("item_id"))), "origin")
-    b = b.withColumns({"do_not_load": F.lit(False), "size_bytes": F.lit(2000), "family": F.lit("benchmark"), "subfamily": F.lit("benchmark")})
-    # both are read by several joins
-    return materialised(a, "artefacts"), materialised(b, "controls")
-
-
 _OUT = ["artefact_id", "rank", "control_url", "xref", "sha256_matched"]
 _OUT_SQL = ", ".join([*_OUT, *(_ROUND.format(c) for c in ("ast_dist", "function_dist", "literal_dist", "composite"))])
 
@@ -70,13 +60,13 @@ def _shown(found: DataFrame) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_SEARCH} SELECT {_OUT_SQL} FROM emitted")
 def q_best_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(match.evaluate(*_script_tables(spark, sf_dir), max_distance=MAX_DISTANCE))
+    return _shown(match.evaluate(*script_tables(spark, sf_dir), max_distance=MAX_DISTANCE))
 
 
 @query(f"WITH RECURSIVE {_SEARCH} SELECT {_OUT_SQL} FROM emitted WHERE artefact_id IN (SELECT conv_id || '/' || turn FROM turns WHERE conv_id % 3 = 0)")
 def q_recalculated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The artefacts that were vetted against one control, evaluated anew; conversations divisible by three play them."""
-    a, b = _script_tables(spark, sf_dir)
+    a, b = script_tables(spark, sf_dir)
     vetted = a.select(F.when(F.split("artefact_id", "/")[0].cast("long") % 3 == 0, "https://controls.example/1").otherwise("https://controls.example/2").alias("control_url"), F.col("js_id").alias("origin_js_id"))
     return _shown(maintenance.recalculated(vetted, a, b, "https://controls.example/1", MAX_DISTANCE))
 
@@ -92,7 +82,7 @@ v AS (SELECT *, CASE WHEN (ast_dist < 10 OR (ast_dist < 20 AND n_diff < 10)) AND
 SELECT artefact_id, control_url, 'speech.example' AS origin_host, 'speech.example' AS cited_on_host, 443 AS cited_on_port, reason NOT IN ('bad_literal_dist', 'failed_every_test') AS ok, reason,
   CASE WHEN reason NOT IN ('bad_literal_dist', 'failed_every_test') THEN 'benchmark' END AS control_family FROM v WHERE reason IN ('bad_literal_dist', 'failed_every_test') OR control_url <> ''""")
 def q_published_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _script_tables(spark, sf_dir)
+    a, b = script_tables(spark, sf_dir)
     good, bad = match.publish(match.evaluate(a, b, max_distance=MAX_DISTANCE), b, MAX_DISTANCE)
     columns = ["artefact_id", "control_url", "origin_host", "cited_on_host", "cited_on_port", "ok", "reason"]
     return good.select(*columns, "control_family").unionByName(bad.select(*columns), allowMissingColumns=True)

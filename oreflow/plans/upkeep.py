@@ -14,7 +14,7 @@ from ..session import new_path
 from ..sources import files, topics
 from ..streaming import pipelines, programs
 from .analogue import HITS_SQL, controls, hits, table
-from .catalogue import query
+from .registry import query
 from .streams import collected
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"

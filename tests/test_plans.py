@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from oreflow.operators import match, report
 from oreflow.plans import analogue
-from oreflow.plans.catalogue import QUERIES
+from oreflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: These run a stream or fit a model before they give a plan.
