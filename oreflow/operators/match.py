@@ -80,7 +80,9 @@ def scored_candidates(artefacts: DataFrame, controls: DataFrame, plausible: Data
     usable = controls.where(~F.coalesce("do_not_load", F.lit(False)))
     a = artefacts.select("artefact_id", F.col("sha256").alias("own_sha"), V.ast_vector(F.col("statements_by_count")).alias("own_ast"), V.hashed(F.col("calls_by_count")).alias("own_calls"))
     b = usable.select("origin", F.col("sha256").alias("control_sha"), V.ast_vector(F.col("statements_by_count")).alias("control_ast"), V.hashed(F.col("calls_by_count")).alias("control_calls"))
-    pairs = plausible.join(b, "origin").join(a, "artefact_id")
+    # few bytes but much work for each pair: partitions by number, which adaptive execution does not merge
+    tasks = int(plausible.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = plausible.repartition(tasks, "artefact_id").join(b, "origin").join(a, "artefact_id")
     pairs = pairs.withColumns({
         "ast_dist": V.vector_distance(F.col("own_ast"), F.col("control_ast")),
         "same_sha": F.coalesce(F.col("own_sha") == F.col("control_sha"), F.lit(False)),
