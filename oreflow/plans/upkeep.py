@@ -262,13 +262,13 @@ f AS (SELECT *, CASE k % 5 WHEN 0 THEN 'tags/' || r || '/js/' || n || '.min.js'
 @query(f"WITH {_TREE} SELECT 'nations' AS family, '2.0' AS release, 'https://cdn.example/2.0/' || loc AS origin, size_bytes, sha256(repeat('go();', size_bytes // 5)) AS sha256 FROM f WHERE loc LIKE '%.js'")
 def q_tree_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _script_files(spark, sf_dir)
-    return files.tree_controls(spark, at.removeprefix("file://"), "https://cdn.example/", "nations", "2.0").select("family", "release", "origin", "size_bytes", F.sha2("code", 256).alias("sha256"))
+    return files.tree_controls(spark, at, "https://cdn.example/", "nations", "2.0").select("family", "release", "origin", "size_bytes", F.sha2("code", 256).alias("sha256"))
 
 
 @query(f"WITH {_TREE} SELECT 'nations' AS family, r AS release, 'https://cdn.example/' || loc AS origin, size_bytes FROM f WHERE loc LIKE 'tags/%.js' AND NOT loc LIKE '%/i18n/%'")
 def q_plugin_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _script_files(spark, sf_dir)
-    return files.plugin_controls(spark, at.removeprefix("file://"), "https://cdn.example/", "nations").select("family", "release", "origin", "size_bytes")
+    return files.plugin_controls(spark, at, "https://cdn.example/", "nations").select("family", "release", "origin", "size_bytes")
 
 
 @query("""WITH p AS (SELECT 'p' || p_size AS name, CASE WHEN p_partkey % 2 = 0 THEN 'gh' ELSE 'npm' END AS provider, '1.' || p_partkey AS version, '/' || replace(p_name, ' ', '/') || CASE WHEN p_partkey % 3 = 0 THEN '.css' ELSE '.js' END AS file FROM part),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,9 @@ def artefact_files(artefacts: DataFrame, files: DataFrame, root: str) -> DataFra
 
 
 def _below(path: Column, root: str) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, "^file:(//)?", ""), "^" + root.rstrip("/") + "/", "")
+    """A path without the folder root, which may be given with or without its scheme."""
+    plain = re.sub("^file:(//)?", "", root).rstrip("/")
+    return F.regexp_replace(F.regexp_replace(path, "^file:(//)?", ""), rf"^\Q{plain}\E/", "")
 
 
 def tree_controls(spark: SparkSession, root: str, base_url: str, family: str, release: str) -> DataFrame:
