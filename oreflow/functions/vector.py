@@ -28,11 +28,17 @@ SHORT = 15
 SHORT_SCALE = 20.0
 
 
+def _listed(values: Sequence[object]) -> Column:
+    """A constant array of texts; one short expression however many there are, so that plans stay small."""
+    return F.split(F.lit("\n".join(map(str, values))), "\n")
+
+
 def dense(counts: Column, names: Sequence[str], weights: dict[str, float] | None = None) -> Column:
     """The counts of names as an array, 0 where missing; whole numbers unless weighted."""
+    found = F.transform(_listed(names), lambda n: F.coalesce(F.element_at(counts, n), F.lit(0)))
     if weights is None:
-        return F.array(*(F.coalesce(F.element_at(counts, F.lit(x)), F.lit(0)) for x in names))
-    return F.array(*(F.coalesce(F.element_at(counts, F.lit(x)), F.lit(0)) * F.lit(float(weights.get(x, 1.0))) for x in names))
+        return found
+    return F.zip_with(found, _listed([float(weights.get(x, 1.0)) for x in names]).cast("array<double>"), lambda x, w: x * w)
 
 
 def ast_vector(counts: Column, weighted: bool = False) -> Column:
