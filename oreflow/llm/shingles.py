@@ -1,19 +1,22 @@
 """Near-duplicates by the Jaccard similarity of sets of word shingles: operator 7 for similarities.
 
-At a similarity of 0.8 the sign bits of 64-bit SimHash fingerprints differ in ten places on average,
-so such texts need not share a single byte.  The fingerprint here has POSITIONS positional bytes, each the
-last byte of the least of the shingles' hashes under a hash function of its own; two texts share a
-positional byte with a probability of their similarity.  The rest is operator 7's method:
-
-* Lists of five positions and their bytes (LISTS kinds of them) are the inverted index.  Texts of similarity s
-  share none with probability (1 - s^5)^LISTS, 1e-7 at 0.8.
-* Texts in one list are tallied over all positional bytes, and retained from LEAST shared ones on.  At 0.8
-  they share 160 on average; fewer than LEAST have a probability of 1e-10.
+At a similarity of 0.8 SimHash bits differ with a probability of 0.151 (the angle between the sets), ten of 64
+on average, so such texts need not share a byte of 64 bits.  The fingerprint here is the SimHash of the set over
+POSITIONS positional bytes, each shared with a probability of 0.269.  The rest is operator 7's method:
+
+* The inverted index has a posting list for each of the FIRST positions and its byte.  In it, texts meet that share
+  one of EACH further positions as well.  Texts of similarity 0.8 meet nowhere with probability 1e-7.
+* Texts that meet and differ in at most CHECK_BITS of the first CHECK bytes (more with probability 4e-8) are
+  candidates; a forest of them leaves a task, so rows grow with the texts.  Their components are compared.
+* Within a component texts are tallied over all positional bytes, and retained from LEAST shared ones on.  At 0.8 they
+  share 51 on average; fewer than LEAST have a probability of 5e-9.
 * Retained pairs are verified by their whole sets, so no link is an estimate.
 
-Texts of equal sets are one class.  Lists of the same classes count once.  A list is cut into blocks of
-bounded size, which are compared two by two, each two in one place; what leaves a task is not pairs but a
-spanning forest of the links that it found.  So rows grow with the texts, whatever the size of a group.
+Sets of four and five shingles are the one exception: their bits are even more often equal numbers of
+ones and zeros, differ with probability 0.1875, and about 1e-4 of such pairs are not met.
+
+Texts of equal sets are one class.  A long list or component is cut into blocks of bounded size, which are compared
+two by two, each two in one place; what leaves a task is not pairs but a spanning forest of the links that it found.
 """
 
 from __future__ import annotations
@@ -27,24 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, forest, ship, slices
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, shingle_hashes, signs
 
 WORDS = 5
 #: The least similarity of linked texts, in fifths.
 FIFTHS = 4
-EACH, LISTS = 5, 40
-POSITIONS = EACH * LISTS
+#: Posting lists are of the bytes of so many positions; in a list texts meet by EACH others.
+FIRST, EACH = 64, 6
+POSITIONS = 192
 #: Of POSITIONS, so many are shared by linked texts.
-LEAST = 125
+LEAST = 20
+#: Of the bits of the first CHECK bytes, so many differ at most in texts that are compared.
+CHECK, CHECK_BITS = 24, 58
+#: A block of a list has about so many members; so many are compared at one time, unless a block has more.
+LIST_BLOCK = 1 << 16
+CHUNK = 1 << 15
 #: A block has about so many members, or so many shingles if these are fewer texts.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 #: Different shingles that are counted at one time.
 COLUMNS = 4096
 
-_rng = np.random.default_rng(SEED)
-_FACTORS = _rng.integers(0, 1 << 31, (POSITIONS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_ADDENDS = _rng.integers(0, 1 << 32, (POSITIONS, 1), np.uint32)
+#: The positions by which the texts of a list meet: each of the rest serves three lists, of different company.
+_FURTHER = FIRST + (2 * np.arange(FIRST)[:, None] + np.array([0, 1, 22, 45, 74, 101])) % (POSITIONS - FIRST)
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -58,12 +66,8 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
-    """The positional bytes of a shingle set."""
-    high = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(high), 1024):
-        least = np.minimum(least, (high[a : a + 1024] * _FACTORS + _ADDENDS).min(axis=1))
-    return least.astype(np.uint8).tobytes()
+    """The positional bytes of a shingle set's SimHash."""
+    return signs(shingles, POSITIONS).tobytes()
 
 
 def _sketches(words: int):
@@ -120,7 +124,7 @@ def _linked(table: pa.Table) -> pa.Table:
     """A spanning forest (a, b) of the links between two blocks of a list, or within one."""
     group, low, high = (table.column(c).to_numpy() for c in ("group", "low", "high"))
     names, sizes = table.column("class").to_numpy(), table.column("n").to_numpy()
-    prints = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+    prints = _prints(table.column("bytes"))
     sets = table.column("shingles").to_pylist()
     x = np.flatnonzero(group == low)
     y = x if low[0] == high[0] else np.flatnonzero(group == high)
@@ -138,30 +142,125 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(names[at], pa.int64()), "b": pa.array(names[labels[at]], pa.int64())})
 
 
-def links(prints: DataFrame, texts: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POSITIONS)
+
+
+def _units(prints: np.ndarray) -> np.ndarray:
+    """The lists of each fingerprint: position and byte."""
+    return prints[:, :FIRST] + np.arange(0, FIRST << 8, 256)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = np.zeros(FIRST << 8, np.int64)
+    for part in slices(batches):
+        found += np.bincount(_units(_prints(part.column(1))).ravel(), minlength=len(found))
+    at = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], names=["unit", "members"])
+
+
+_POSTS = ["unit", "class", "further", *(f"check{k}" for k in range(CHECK // 8))]
+
+
+def _posted(groups: np.ndarray):
+    """Posts of classes: two blocks of a list (groups: how many blocks each has), further bytes and block, first bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            prints = _prints(part.column(1))
+            units = _units(prints).ravel()
+            names = np.repeat(part.column(0).to_numpy(), FIRST)
+            further = np.zeros((len(units), 8), np.uint8)
+            further[:, :EACH] = prints[:, _FURTHER].reshape(-1, EACH)
+            check = np.ascontiguousarray(prints[:, :CHECK]).view(np.int64)
+            copies = groups[units]
+            at = np.repeat(np.arange(len(units)), copies)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            own = names[at] % copies[at]
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            further = further[at]
+            further[:, 7] = own != low
+            columns = [units[at] << 40 | low << 20 | high, names[at], further.view(np.int64).ravel(), *check[at // FIRST].T]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_POSTS)
+
+    return run
+
+
+def _met(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A spanning forest (a, b) of the candidates in whole lists, posts of which come in order."""
+    unit, names, further = columns[:3]
+    further, check = further.view(np.uint8).reshape(-1, 8), np.stack(columns[3:], axis=1).view(np.uint64)
+    within, side, numbers = (unit >> 20 & 0xFFFFF) == (unit & 0xFFFFF), further[:, 7], np.arange(len(unit))
+    labels, dense, cut_up = numbers.copy(), np.cumsum(np.diff(unit, prepend=unit[:1]) != 0) << 8, not within.all()
+    for e in range(EACH):
+        key = dense + further[:, e]
+        order = np.argsort(key, kind="stable")
+        stops = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(key))
+        left = np.repeat(stops, np.diff(stops, prepend=0)) - numbers
+        first, distance = np.flatnonzero(left > 1), 1
+        while len(first):
+            a, b = order[first], order[first + distance]
+            apart = labels[a] != labels[b]
+            if cut_up:
+                apart &= within[a] | (side[a] != side[b])
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(check[a] ^ check[b]).sum(axis=1, dtype=np.uint8) <= CHECK_BITS
+            if near.any():
+                labels = forest(labels, a[near], b[near])
+            distance += 1
+            first = first[left[first] > distance]
+    at = np.flatnonzero(labels != numbers)
+    return pa.RecordBatch.from_arrays([pa.array(names[at], pa.int64()), pa.array(names[labels[at]], pa.int64())], names=["a", "b"])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size, due = [], 0, CHUNK
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= due:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            stop = int(np.searchsorted(whole[0], whole[0][-1]))
+            if stop:
+                yield _met([x[:stop] for x in whole])
+            held, size = [[x[stop:] for x in whole]], size - stop
+            due = size + CHUNK
+    if size:
+        yield _met([np.concatenate(x) for x in zip(*held)])
+
+
+def candidates(classes: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
+    """Edges (a, b) between classes (class, bytes) that meet in the index; their components are those of all that do.
+
+    What comes to the driver is the number of members of each list: FIRST times 256 at most.
+    """
+    groups = np.ones(FIRST << 8, np.int64)
+    sizes = classes.select("class", "bytes").mapInArrow(_sizes, "unit long, members long").groupBy("unit").agg(F.sum("members").alias("members"))
+    for unit, members in sizes.where(F.col("members") > list_block).collect():
+        groups[unit] = -(-members // list_block)
+    posts = classes.select("class", "bytes").mapInArrow(_posted(groups), ", ".join(f"{x} long" for x in _POSTS))
+    return posts.repartition("unit").sortWithinPartitions("unit").mapInArrow(_meetings, "a long, b long").distinct()
+
+
+def links(prints: DataFrame, texts: DataFrame, words: int = WORDS, block: int = BLOCK, list_block: int = LIST_BLOCK) -> DataFrame:
     """Edges (a, b) between classes whose sets are similar enough; their components are those of all such pairs.
 
     prints: class, n, bytes, row; texts: row, text.
     """
-    classes = prints.where("n > 0").select("class", "n", "bytes").distinct()
-    places = F.array(*(F.xxhash64(F.lit(k), F.substring("bytes", EACH * k + 1, EACH)) for k in range(LISTS)))
-    posts = classes.select("class", "n", F.explode(places).alias("unit"))
-    names = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"name{k}") for k in range(2)]
-    lists = posts.groupBy("unit").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), *names).where("members > 1")
-    # of lists of the same classes, one
-    lists = lists.groupBy("members", "shingles", "name0", "name1").agg(F.min("unit").alias("unit"))
+    classes = cut(prints.where("n > 0").groupBy("class", "n", "bytes").agg(F.min("row").alias("row")), "classes")
+    roots = components(candidates(classes, list_block)).withColumnRenamed("node", "class")
+    met = cut(classes.join(roots, "class"), "met")
+    sets = texts.join(met.select("row", "class"), "row").select("class", "text").mapInArrow(_sets(words), "class long, shingles binary")
+    # equal rows have equal texts
+    sets = cut(sets.dropDuplicates(["class"]), "sets")
+    units = met.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     groups = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    met = cut(posts.join(lists.select("unit", groups.alias("groups")), "unit").select("unit", "class", "groups"), "met")
-
-    asked = prints.join(met.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
-    chosen = texts.join(asked, "row").select("class", "text")
-    sets = cut(chosen.mapInArrow(_sets(words), "class long, shingles binary").distinct(), "sets")
     own = F.pmod(F.xxhash64("class", F.lit(9)), F.col("groups")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
-    units = met.select("unit", "class", own.alias("group"), other.alias("other"))
-    units = units.select("unit", F.least("group", "other").alias("low"), F.greatest("group", "other").alias("high"), "group", "class")
-    units = units.join(classes.join(sets, "class"), "class").select("unit", "low", "high", "group", "class", "n", "bytes", "shingles")
-    return cut(units.groupBy("unit", "low", "high").applyInArrow(_linked, "a long, b long").distinct(), "links")
+    units = met.join(units.select("root", groups.alias("groups")), "root").select("root", "class", "n", "bytes", own.alias("group"), other.alias("other"))
+    units = units.withColumns({"low": F.least("group", "other"), "high": F.greatest("group", "other")}).drop("other")
+    units = units.join(sets, "class").select("root", "low", "high", "group", "class", "n", "bytes", "shingles")
+    return cut(units.groupBy("root", "low", "high").applyInArrow(_linked, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:

@@ -17,6 +17,7 @@ pairs grow with the entries, not with the square of a list, whatever its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +33,8 @@ SEED = 42
 MAX_BITS = 2
 POSITIONS = 8
 
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
 
 def _choices(max_bits: int) -> list[tuple[int, ...]]:
     """The sets of positions that lists stand for, each of one position fewer than linked fingerprints share.
@@ -89,6 +92,27 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+@lru_cache(4)
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signs(hashes: np.ndarray, positions: int) -> np.ndarray:
+    """SimHash of 64-bit hashes over any multiple of eight positional bytes; of none, all bits are zero.
+
+    Each eight bytes are the signs of another hash of the hashes.  A bit that exactly half of them set is 0.
+    """
+    ones = np.zeros(8 * positions, np.int64)
+    # sums of at most 255 bits are bytes
+    for a in range(0, len(hashes), 255):
+        x = hashes[a : a + 255, None] * _factors(positions // 8)
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little")
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -34,8 +34,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; of rows that repeat it, one.
 
-    Texts are linked if the sets of their five-word shingles have a similarity of 0.8 or more, which the
-    fingerprints of operator 7 cannot tell.  Null, empty and blank texts are one group.  Of different rows
+    Texts are linked if the sets of their five-word shingles have a similarity of 0.8 or more, found by
+    operator 7's method on SimHash fingerprints of 192 bytes, as 64 bits cannot tell it.  Null, empty and blank texts are one group.  Of different rows
     with one id in a group the one with the smallest hash stays; groups that share their smallest id keep
     a row each.  Rows without id cannot be told apart and stay.
     """

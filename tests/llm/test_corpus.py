@@ -1,6 +1,7 @@
 """Operators over the whole corpus: joins, filters, records and the pipeline."""
 
 import gzip
+import math
 import random
 import time
 import zlib
@@ -478,3 +479,59 @@ def test_pipeline_keeps_a_row_of_each_group_that_shares_an_id(spark, tmp_path):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1].upper()), (2, texts[0]), (3, texts[1] + " more"), (4, texts[2]), (4, texts[2])]
     out = stages.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path))
     assert sorted((r.doc_id, r.text.lower()) for r in out.collect()) == [(1, texts[0]), (1, texts[1]), (4, texts[2])]
+
+
+def test_similarity_fingerprints_are_simhash():
+    """Each bit of the stage's fingerprint is what most of the shingles' hashes have there, and bits tell the angle between sets."""
+    rng = np.random.default_rng(4)
+    differing = []
+    for n in [1, 2, 5, 9, 90, 255, 256, 900] + [270] * 40:
+        hashes = np.unique(rng.integers(0, 1 << 64, n * 10 // 9, np.uint64))
+        made = []
+        for part in (np.unique(hashes[:n]), hashes[len(hashes) - n :]):
+            found = np.frombuffer(shingles.fingerprint(part), np.uint8)
+            wide = []
+            for factor in simhash._factors(shingles.POSITIONS // 8).tolist():
+                x = [int(h) * factor % 2**64 for h in part.tolist()]
+                x = [(v ^ v >> 32) * int(simhash._MIX) % 2**64 for v in x]
+                x = [v ^ v >> 32 for v in x]
+                wide.append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in x) > len(x)))
+            assert found.tobytes() == b"".join(v.to_bytes(8, "little") for v in wide)
+            made.append(found)
+        if n == 270:
+            differing.append(int(np.bitwise_count(made[0] ^ made[1]).sum()) / (8 * shingles.POSITIONS))
+    assert 0.13 < np.mean(differing) < 0.17  # arccos(8 / 9) / pi is 0.1515
+    assert not any(shingles.fingerprint(np.zeros(0, np.uint64)))
+
+
+@pytest.mark.parametrize("list_block", [1 << 16, 40])
+def test_pairs_at_the_threshold_meet(spark, list_block):
+    """All of 400 pairs of a similarity of 0.8, and a cloud of equal prints' neighbours, become candidates, with lists whole or in blocks."""
+    rng, rows, pairs = np.random.default_rng(6), [], []
+    for i in range(400):
+        ninth = int(rng.integers(1, 30))
+        hashes = rng.integers(0, 1 << 64, 10 * ninth, np.uint64)
+        for n, part in enumerate((hashes[: 9 * ninth], hashes[ninth:])):
+            rows.append((2 * i + n, shingles.fingerprint(np.unique(part))))
+        pairs.append((2 * i, 2 * i + 1))
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    for i in range(800, 900):
+        rows.append((i, shingles.fingerprint(np.append(base, rng.integers(0, 1 << 64, 3, np.uint64)))))
+        pairs.append((800, i))
+    classes = spark.createDataFrame(rows, "class long, bytes binary").repartition(3)
+    found = [(r.a, r.b) for r in shingles.candidates(classes, list_block).collect()]
+    assert len(found) < 70 * len(rows)
+    assert _roots(range(900), found) == _roots(range(900), pairs)
+
+
+def test_the_index_misses_one_pair_in_ten_million():
+    """By formula: pairs of similarity 0.8 that meet in no list, differ in too many first bits, or have too low a tally."""
+    differ = math.acos(8 / 9) / math.pi
+    byte = (1 - differ) ** 8
+    more = sum(math.comb(8 * shingles.CHECK, n) * differ**n * (1 - differ) ** (8 * shingles.CHECK - n) for n in range(shingles.CHECK_BITS + 1, 8 * shingles.CHECK + 1))
+    fewer = sum(math.comb(shingles.POSITIONS, n) * byte**n * (1 - byte) ** (shingles.POSITIONS - n) for n in range(shingles.LEAST))
+    shared = np.random.default_rng(1).random((100_000, shingles.FIRST)) < byte
+    company = np.zeros((shingles.FIRST, shingles.POSITIONS), np.float32)
+    np.put_along_axis(company, shingles._FURTHER, 1, axis=1)
+    apart = np.mean((1 - byte) ** (shared.astype(np.float32) @ company > 0).sum(axis=1))
+    assert apart < 2e-7 and more < 1e-7 and fewer < 1e-8
