@@ -6,6 +6,7 @@ that are new are encoded by the library together.  Memory is bounded by entries
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -31,6 +32,9 @@ _ODD = re.compile(rb"[\t\n\r\x0b\x0c\0]|" + _WIDE)
 _BOUND = re.compile(rb"[.,](?<![0-9A-Za-z][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]) ")
 #: Bytes that no UTF-8 text has stand for a comma and a full stop behind a word.
 _COMMA, _STOP = b"\xfe", b"\xff"
+#: Words of letters up to U+00FF, which a byte-level tokenizer leaves whole, and its characters for their bytes.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_CHARACTERS = {x: 256 + 33 + x - 127 for x in range(127, 161)} | {173: 256 + 67}
 #: Two ASCII characters that are no white space.
 _SOLID = re.compile(rb"[!-~]{2}")
 
@@ -69,6 +73,14 @@ class Parts:
         return found
 
 
+def _byte_level(described: str) -> bool:
+    """Whether a tokenizer cuts texts as GPT-2 does and merges bytes without chance, and does nothing else."""
+    parts = json.loads(described)
+    cut, model = parts["pre_tokenizer"] or {}, parts["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    return bool(plain and not parts["normalizer"] and model["type"] == "BPE" and not model["dropout"])
+
+
 class Encoder:
     """Whole texts to ids, as bytes of little-endian unsigned 32-bit numbers.
 
@@ -87,6 +99,7 @@ class Encoder:
         self.between = "\n" if spaced else f" {_BORDER} "
         self.border = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.marks = dict(zip(b".,", self._ids([".", ","])))
+        self.model = self.tokenizer.model if _byte_level(self.tokenizer.to_str()) else None
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -106,6 +119,15 @@ class Encoder:
             out.append(data[at:])
         return out
 
+    def _lettered(self, words: list[bytes], lead: str) -> list[bytes]:
+        """The ids of words of letters, each one piece for the model."""
+        out, tokenize, lead = [], self.model.tokenize, "\u0120" if lead else ""
+        for x in words:
+            text = x.decode() if x.isascii() else x.decode("latin-1").translate(_CHARACTERS)
+            ids = [t.id for t in tokenize(lead + text)]
+            out.append(pack(f"<{len(ids)}I", *ids))
+        return out
+
     def _cut(self, text: bytes, at: bytes | None = b" ") -> list[bytes]:
         """A text at its blanks (without loose ones), or at all ASCII white space, with commas and full stops behind words as parts of their own."""
         if not _BOUND.search(text):
@@ -120,11 +142,16 @@ class Encoder:
                 made = dict(zip(rest, self._made(rest, lead))) | {x: self.marks[sign[0]]}
                 return [made[y] for y in parts]
         stems = [x[:-1] if x[-1] in b".," and x[-2:-1].isalnum() else x for x in parts]
-        words = list(dict.fromkeys(stems))
+        words, known = list(dict.fromkeys(stems)), {}
+        if self.model:
+            letters = [x for x in words if _LETTERS.fullmatch(x)]
+            known = dict(zip(letters, self._lettered(letters, lead)))
+            words = [x for x in words if x not in known]
         if bool(lead) is self.spaced and not _ODD.search(b" ".join(words)):
             made = dict(zip(words, self._listed(words, lead)))
         else:
             made = dict(zip(words, self._ids([lead + x.decode() for x in words])))
+        made.update(known)
         return [made[s] if s is x else made[s] + self.marks[x[-1]] for s, x in zip(stems, parts)]
 
     def _plain(self, parts: list[bytes]) -> list[bytes]:

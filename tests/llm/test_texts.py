@@ -1,6 +1,7 @@
 """Operators that treat each document alone: classifiers, tokenizers, media."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -452,3 +453,20 @@ def test_token_files(spark, docs, no_docs, tmp_path):
     digests = {(r.doc_id, r.start): r.ids_crc32 for r in binary.token_files(docs).collect()}
     assert {(r.doc_id, r.start) for r in found} == set(digests)
     assert binary.token_files(no_docs).count() == 0
+
+
+def test_words_of_letters_reach_the_model_whole():
+    """What is encoded without the pre-tokenizer has the library's ids; words with other signs take the other way."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encode, rng = Encoder(file, True), random.Random(2)
+    assert encode.model is not None
+    asked, whole = [], encode._lettered
+    encode._lettered = lambda words, lead: asked.extend(words) or whole(words, lead)
+    letters = [chr(x) for x in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if chr(x).isalpha()]
+    signs = [*"×÷'-_09ªµºÿĀſʼ中é́­ ", "'s", "\n", " ", ". ", ", "]
+    for n in range(300):
+        text = " ".join("".join(rng.choice(letters if rng.random() < 0.95 else signs) for _ in range(rng.randint(1, 12))) for _ in range(40))
+        wanted = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode.encode(text.encode()), "<u4").tolist() == wanted
+    assert len(asked) > 3000 and all(x.decode().isalpha() for x in asked)
+    assert all(set(x) <= {y for c in letters for y in c.encode()} for x in asked)
