@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, ship, slices
+from .common import components, cut, forest, marked, ship, slices
 from .simhash import SEED, shingle_hashes, signs
 
 WORDS = 5
@@ -187,7 +187,10 @@ def _posted(groups: np.ndarray):
 
 
 def _met(columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A spanning forest (a, b) of the candidates in whole lists, posts of which come in order."""
+    """A spanning forest (a, b) of the candidates in whole lists, posts of which come in order of list and class.
+
+    So b is the smallest class that a reaches there, mostly the same one in all lists that near copies share.
+    """
     unit, names, further = columns[:3]
     further, check = further.view(np.uint8).reshape(-1, 8), np.stack(columns[3:], axis=1).view(np.uint64)
     within, side, numbers = (unit >> 20 & 0xFFFFF) == (unit & 0xFFFFF), further[:, 7], np.arange(len(unit))
@@ -239,7 +242,11 @@ def candidates(classes: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
     for unit, members in sizes.where(F.col("members") > list_block).collect():
         groups[unit] = -(-members // list_block)
     posts = classes.select("class", "bytes").mapInArrow(_posted(groups), ", ".join(f"{x} long" for x in _POSTS))
-    return posts.repartition("unit").sortWithinPartitions("unit").mapInArrow(_meetings, "a long, b long").distinct()
+    met = posts.repartition("unit").sortWithinPartitions("unit", "class").mapInArrow(_meetings, "a long, b long").distinct()
+    # of the smallest classes that a text reaches in its lists, the least is enough, and links the others
+    least = F.min("b").over(Window.partitionBy("a"))
+    met = met.select("a", "b", least.alias("least"))
+    return met.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
 
 
 def links(prints: DataFrame, texts: DataFrame, words: int = WORDS, block: int = BLOCK, list_block: int = LIST_BLOCK) -> DataFrame:
@@ -250,6 +257,8 @@ def links(prints: DataFrame, texts: DataFrame, words: int = WORDS, block: int =
     classes = cut(prints.where("n > 0").groupBy("class", "n", "bytes").agg(F.min("row").alias("row")), "classes")
     roots = components(candidates(classes, list_block)).withColumnRenamed("node", "class")
     met = cut(classes.join(roots, "class"), "met")
+    # of the texts that meet none, few are shuffled
+    texts = marked(texts, "row", met.select("row"), "meets").where("meets").select("row", "text")
     sets = texts.join(met.select("row", "class"), "row").select("class", "text").mapInArrow(_sets(words), "class long, shingles binary")
     # equal rows have equal texts
     sets = cut(sets.dropDuplicates(["class"]), "sets")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, packing, quality, shingles
+from .common import cut, marked
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +42,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     whole = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
     found = shingles.near_duplicates(docs.select("doc_id", whole.alias("row"), "text")).where("doc_id is not null")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.*")
-    name = f"row_{uuid.uuid4().hex}"
-    first = first.select("doc_id", F.col("row").alias(name))
-    kept = docs.withColumn(name, whole).join(first, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = cut(found, "found")
+    groups = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("members"))
+    groups = cut(groups, "groups")
+    # rows without company stay as they are; the others, and few more, are shuffled for the choice
+    company = marked(found, "component", groups.where("members > 1").select("component"), "company").where("company")
+    name, chosen = f"row_{uuid.uuid4().hex}", f"chosen_{uuid.uuid4().hex}"
+    rows = marked(docs.withColumn(name, whole), name, company.select("row"), chosen)
+    first = groups.select("first.doc_id", F.col("first.row").alias(name))
+    kept = rows.where(chosen).join(first, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return kept.select(docs.columns).unionByName(rows.where(f"doc_id is null or not {chosen}").select(docs.columns))
 
 
 def packing_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

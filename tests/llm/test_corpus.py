@@ -524,6 +524,58 @@ def test_pairs_at_the_threshold_meet(spark, list_block):
     assert _roots(range(900), found) == _roots(range(900), pairs)
 
 
+def test_candidates_of_a_cloud_are_few(spark):
+    """Near copies that share most lists come out of the index with about one edge each, not one for each list."""
+    rng, rows = np.random.default_rng(6), []
+    base = rng.integers(0, 1 << 64, 100, np.uint64)
+    for i in rng.permutation(600).tolist():
+        part = np.append(np.delete(base, rng.integers(0, 100, 4)), rng.integers(0, 1 << 64, 4, np.uint64))
+        rows.append((i, shingles.fingerprint(np.unique(part))))
+    found = [(r.a, r.b) for r in shingles.candidates(spark.createDataFrame(rows, "class long, bytes binary").repartition(3)).collect()]
+    assert set(_roots(range(600), found).values()) == {0}
+    assert len(found) < 2 * len(rows)
+
+
+def test_marked_rows_are_all_that_are_listed_and_few_others(spark):
+    from oreflow.llm.common import marked
+
+    rows = spark.range(20_000).selectExpr("if(id = 7, null, id) id", "'x' as more")
+    values = spark.range(0, 20_000, 40).selectExpr("id as value").union(spark.range(0, 80, 40))
+    found = {r.id for r in marked(rows, "id", values, "may").where("may").collect()}
+    assert found >= set(range(0, 20_000, 40)) and len(found) < 520
+    assert marked(rows, "id", values, "may").columns == ["id", "more", "may"] and marked(rows, "id", values, "may").count() == 20_000
+    assert not marked(rows, "id", values.limit(0), "may").where("may").count()
+
+
+def test_texts_without_company_are_not_shuffled(spark, tmp_path):
+    """Of 3000 texts, 40 of them copies, few pass an exchange, with joins by broadcast switched off."""
+    from oreflow.llm import stages
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(3000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[i] + " more") for i in range(20)] + [(6000 + i, texts[i]) for i in range(20)] + [(None, "no id"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = stages.simhash_near_dedup(spark, docs, str(tmp_path))
+        kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept == sorted([(False, i, t) for i, t in enumerate(texts)] + [(True, 0, "no id")] * 2)
+    shuffled = 0
+    plans = [out._jdf.queryExecution().executedPlan().finalPhysicalPlan()]
+    while plans:
+        node = plans.pop()
+        children = node.children()
+        plans += [children.apply(i) for i in range(children.size())]
+        if "QueryStage" in node.getClass().getSimpleName():
+            plans.append(node.plan())
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec" and "text#" in node.output().toString():
+            shuffled += node.metrics().apply("shuffleRecordsWritten").value()
+    assert 0 < shuffled < 300
+
+
 def test_the_index_misses_one_pair_in_ten_million():
     """By formula: pairs of similarity 0.8 that meet in no list, differ in too many first bits, or have too low a tally."""
     differ = math.acos(8 / 9) / math.pi
