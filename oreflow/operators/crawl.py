@@ -207,8 +207,10 @@ def page_scripts(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     out = rows.withColumns({"scripts": F.array_join("_sources", " "), "n_scripts": F.size("_sources"), "n_scripts_accepted": F.size(fits)})
     if fetched is not None:
         known = fetched.select(F.col(fetched.columns[0]).alias("_script")).distinct()
-        each = rows.select(url_col, F.explode(fits).alias("_script")).distinct().join(known, "_script").groupBy(url_col).agg(F.count("*").cast("int").alias("_known"))
-        out = out.join(each, url_col, "left").withColumn("n_scripts_accepted", F.col("n_scripts_accepted") - F.coalesce("_known", F.lit(0))).drop("_known")
+        # a url may have several pages, so it does not tell whose scripts are counted
+        key = F.sha2(F.to_json(F.struct(F.col(url_col).alias("url"), F.col("_sources").alias("sources"))), 256).alias("_key")
+        each = rows.select(key, F.explode(fits).alias("_script")).distinct().join(known, "_script").groupBy("_key").agg(F.count("*").cast("int").alias("_known"))
+        out = out.withColumn("_key", key).join(each, "_key", "left").withColumn("n_scripts_accepted", F.col("n_scripts_accepted") - F.coalesce("_known", F.lit(0))).drop("_known", "_key")
     return out.drop("_sources")
 
 

@@ -164,6 +164,12 @@ def test_page_scripts(spark):
     assert (found["http://n.com/"].n_scripts, found["http://n.com/"].n_scripts_accepted) == (0, 0)
 
 
+def test_page_scripts_of_one_url(spark):
+    pages = spark.createDataFrame([("http://h.com/", '<script src="a.js"></script>'), ("http://h.com/", '<script src="b.js"></script>'), ("http://h.com/", None)], "url string, html string")
+    fetched = spark.createDataFrame([("http://h.com/a.js",)], "url string")
+    assert sorted((r.n_scripts, r.n_scripts_accepted, r.scripts) for r in crawl.page_scripts(pages, fetched=fetched).collect()) == [(0, 0, ""), (1, 0, "http://h.com/a.js"), (1, 1, "http://h.com/b.js")]
+
+
 def test_crawl_tables(spark):
     pages = spark.createDataFrame([("http://h.com/p", '<a href="/x#y"></a><a href="http://o.net/z"></a><a href="mailto:a"></a>'), ("http://n.com/", "none")], "url string, html string")
     got = {r.url: r for r in crawl.page_links(pages).collect()}
