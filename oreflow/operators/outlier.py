@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised, ship
-from .rarity import rarest_function
 
 FEATURES = ["ast_dist", "function_dist", "literal_dist", "literals_not_in_origin", "literals_not_in_control", "n_diff_literals", "rarest_probability"]
 LEAST_ROWS = 15
@@ -31,13 +30,21 @@ def selected(hits: DataFrame, controls: DataFrame, control: str | None = None, f
 
 
 def matrix(hits: DataFrame, probabilities: DataFrame, since: str | None = None, created: str = "created_at") -> DataFrame:
-    """Per xref with functions and without hash match: its numbers and the rarest function's probability."""
+    """Per xref with functions and without hash match: its numbers and the rarest function's probability.
+
+    An xref stands for a script and its control, so rows are grouped by both: where the probabilities are too
+    large to broadcast, the join by control deals the rows and the groups need no second shuffle.
+    """
     rows = hits.where(~F.col("sha256_matched") & (F.size("diff_functions") > 0))
     if since is not None:
         rows = rows.where(F.col(created) >= F.lit(since).cast("timestamp"))
-    first = F.min(F.struct("control_url", "origin_url", "cited_on", *FEATURES[:-1]))
-    found = rows.groupBy("xref").agg(first.alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("diff_functions")))).alias("diff_functions")).select("xref", "x.*", "diff_functions")
-    return found.join(rarest_function(found, probabilities, ["xref"]), "xref", "left")
+    known = probabilities.groupBy("control_url").agg(F.collect_list(F.struct("function_name", "sites_probability")).alias("_known"))
+    least = lambda f: F.array_min(F.transform(F.filter("_known", lambda k: k["function_name"] == f), lambda k: k["sites_probability"]))
+    rare = F.array_min(F.transform("diff_functions", lambda f: F.struct(F.coalesce(least(f), F.lit(1.0)).alias("p"), f.alias("function_name"))))
+    rows = rows.select("xref", "control_url", "origin_url", "cited_on", *FEATURES[:-1], "diff_functions").join(known, "control_url", "left").withColumn("_rare", rare)
+    first = F.min(F.struct("origin_url", "cited_on", *FEATURES[:-1]))
+    found = rows.groupBy("control_url", "xref").agg(first.alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("diff_functions")))).alias("diff_functions"), F.min("_rare").alias("r"))
+    return found.select("xref", "control_url", "x.*", "diff_functions", F.col("r.function_name").alias("rarest_function"), F.col("r.p").alias("rarest_probability"))
 
 
 def _parts(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], object]) -> list:

@@ -254,6 +254,26 @@ def test_search_parameters(spark):
     assert search.by_distance(spark.createDataFrame([(1.0, 1.0, math.inf)], "ast_dist double, function_dist double, literal_dist double")).count() == 1
 
 
+def test_matrix_shuffles_hits_once(spark):
+    names = ["xref", "control_url", "origin_url", "cited_on", "sha256_matched", *outlier.FEATURES[:-1], "diff_functions"]
+    kinds = "xref string, control_url string, origin_url string, cited_on string, sha256_matched boolean, " + ", ".join(f"{c} double" for c in outlier.FEATURES[:-1]) + ", diff_functions array<string>"
+    row = lambda x, c, page, d, fs, same=False: (x, c, "o", page, same, d, 1.0, 2.0, 3.0, 4.0, 5.0, fs)
+    rows = [row("x1", "c1", "p2", 9.0, ["f", "g"]), row("x1", "c1", "p1", 8.0, ["g", "h"]), row("x2", "c2", "p", 1.0, ["g"]), row("x3", "c3", "p", 1.0, ["z"]), row("x4", "c1", "p", 1.0, []), row("x5", "c1", "p", 1.0, ["f"], True)]
+    hits = spark.createDataFrame(rows, kinds)
+    probabilities = spark.createDataFrame([("c1", "f", 0.5), ("c1", "h", 0.25), ("c1", "h", 0.2), ("c1", "z", 0.1), ("c2", "g", 0.5)], "control_url string, function_name string, sites_probability double")
+    assert set(names) == set(hits.columns)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = outlier.matrix(hits, probabilities)
+        got = {r.xref: (r.control_url, r.cited_on, r.ast_dist, r.diff_functions, r.rarest_function, r.rarest_probability) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {"x1": ("c1", "p1", 8.0, ["f", "g", "h"], "h", 0.2), "x2": ("c2", "p", 1.0, ["g"], "g", 0.5), "x3": ("c3", "p", 1.0, ["z"], "z", 1.0)}
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_outliers(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, len(outlier.FEATURES)))
