@@ -159,9 +159,11 @@ def robust_location(table: DataFrame, n: int, seed: int = 3, starts: int = 20) -
 def outliers(rows: DataFrame, contamination: float = 0.1) -> DataFrame:
     """rows with distance and is_outlier: the rows beyond the quantile of robust distances; none of few rows.
 
-    The location and the quantile are those of all distinct rows; every row is scored.
+    The location and the quantile are those of all distinct rows; every row is scored.  Rows are written once,
+    as they are read twice: leave out columns that nothing needs.
     """
     ship(rows.sparkSession)
+    rows = materialised(rows, "outlier-rows")
     clean = [F.coalesce(F.col(c).cast("double"), F.lit(1.0 if c == "rarest_probability" else 0.0)).alias(c) for c in FEATURES]
     distinct = rows.select(clean).distinct().select(F.xxhash64(*FEATURES).alias("hash"), *FEATURES).sortWithinPartitions(*FEATURES)
     table = materialised(distinct, "outliers")

@@ -181,9 +181,13 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier.matrix(hits(spark, sf_dir), _probabilities(spark, sf_dir))
 
 
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir).select("xref", *outlier.FEATURES)
+
+
 @query()
 def q_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlier.outliers(_matrix(spark, sf_dir)).select("xref", "distance", "is_outlier")
+    return outlier.outliers(_numbers(spark, sf_dir)).select("xref", "distance", "is_outlier")
 
 
 # Power iteration on the covariances, then on what the first component leaves of them.
