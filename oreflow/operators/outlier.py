@@ -187,10 +187,12 @@ def outliers(rows: DataFrame, contamination: float = 0.1) -> DataFrame:
 def principal_components(rows: DataFrame, k: int = 2, dropped: int = 5) -> DataFrame:
     """rows with pc1, pc2, ...: scores on the first k components of the features, without the one at place `dropped`.
 
-    Of a component's two directions the one whose largest coefficient is positive is taken.
+    Of a component's two directions the one whose largest coefficient is positive is taken.  Rows are written once,
+    as the fit reads them twice before they are scored: leave out columns that nothing needs.
     """
     from pyspark.ml.feature import PCA, VectorAssembler
 
+    rows = materialised(rows, "component-rows")
     names = [c for n, c in enumerate(FEATURES) if n != dropped]
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
     ready = VectorAssembler(inputCols=names, outputCol="_v").transform(rows.select(*(v.alias(c) for v, c in zip(values, names))))

@@ -206,7 +206,7 @@ p2 AS (SELECT 0 AS k, [1, 2, 3, 4, 5, 6]::DOUBLE[] AS v UNION ALL {_STEP.format(
 s1 AS (SELECT {_SIGNED} AS a FROM v1), s2 AS (SELECT {_SIGNED} AS b FROM p2 WHERE k = 400)
 SELECT xref, round(list_inner_product(x, a), 4) AS pc1, round(list_inner_product(x, b), 4) AS pc2 FROM f, s1, s2""")
 def q_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = outlier.principal_components(_matrix(spark, sf_dir))
+    found = outlier.principal_components(_numbers(spark, sf_dir))
     return found.select("xref", *(F.round(c, 4).alias(c) for c in ("pc1", "pc2")))
 
 
