@@ -174,22 +174,33 @@ SUBFAMILY_PREFIXES = (
 )
 
 
+def _prefix_rule() -> tuple[str, str]:
+    """SUBFAMILY_PREFIXES as one pattern and its replacement: what is left by the first prefix that fits, and by those after it."""
+    groups = []
+    for n, (prefix, short) in enumerate(SUBFAMILY_PREFIXES):
+        for later, other in SUBFAMILY_PREFIXES[n + 1 :]:
+            short = other if short.startswith(later) else short
+        before, _, after = prefix.partition(short)
+        groups.append(f"{before}({short}){after}.*")
+    return rf"(?s)^(?:{'|'.join(groups)})$", "".join(f"${n + 1}" for n in range(len(groups)))
+
+
 def subfamily(url: Column) -> Column:
     """The subfamily that a control's file name stands for; null for a url without a slash behind its first character.
 
     Suffixes of minimised and plain scripts go, runs of punctuation become one hyphen, and a chain of
     fixed rules maps names of many releases to one.  A rule sees what the rule before it made.
     """
-    name = F.regexp_extract(url, r"(?s)([^/]*)$", 1)
+    # each step names the step before once: a second mention would compute all steps again
+    name = F.substring_index(url, "/", -1)
     name = F.regexp_replace(name, r"([.-])min\.js$", "$1")
     name = F.regexp_replace(name, r"\.js$", "")
     name = F.lower(F.regexp_replace(F.regexp_replace(name, r"[-_.]+$", ""), r"[-_.#~/]+", "-"))
     kind = F.when(url.contains("woocommerce-admin"), "woocommerce-admin-").otherwise("woocommerce-")
     name = F.when(url.contains("woocommerce"), F.concat(kind, F.substring(name, 1, 20))).otherwise(name)
     name = F.regexp_replace(name, "-+$", "")
-    name = F.when(name.startswith("kendo-culture"), "kendo-culture").when(name.isin("wp-tinymce", "tinymce"), "tiny-mce").otherwise(name)
+    name = F.regexp_replace(name, r"(?s)^(kendo-culture).*\z", "$1")
+    name = F.regexp_replace(name, r"^(?:wp-)?tinymce\z", "tiny-mce")
     name = F.regexp_replace(name, "-dev$", "")
-    # literal prefixes as one pass: which rules fire depends only on the prefix they leave behind
-    for prefix, short in SUBFAMILY_PREFIXES:
-        name = F.regexp_replace(name, rf"(?s)^{prefix}.*$", short)
+    name = F.regexp_replace(name, *_prefix_rule())
     return F.when(F.instr(url, "/") > 0, F.when(url.rlike(r"(?s)^.+/"), name))

@@ -12,7 +12,7 @@ from ..functions import text, url
 from ..functions import vector as V
 from ..functions.javascript import analysed
 from ..operators import artefact, crawl, maintenance, match, outlier, rarity, report, search
-from ..session import materialised
+from ..session import materialised, spread
 from ..sources import files, topics
 from ..streaming import pipelines
 from .analogue import HITS_SQL, controls, hits, script_tables, table, turns
@@ -417,7 +417,7 @@ def q_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS subfamily, lower(p_type) || '-tracker' AS plain FROM part""")
 def q_subfamily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part")
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"))
     first = F.concat(F.lit("https://cdn.example/lib/1.0/"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(".min.js"))
     second = F.concat(F.lit("https://cdn.example/lib/"), F.col("p_type"), F.lit("__tracker-dev.js"))
     return rows.select("p_partkey", url.subfamily(first).alias("subfamily"), url.subfamily(second).alias("plain"))
@@ -713,7 +713,7 @@ def q_status_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, lower(p_type) || '-' || lower(replace(p_brand, '#', '-')) AS subfamily FROM part")
 def q_subfamily_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = F.concat(F.lit("https://cdn.example/x/"), F.col("p_type"), F.lit("."), F.col("p_brand"), F.lit(".js"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", origin.alias("origin"), F.lit("old").alias("subfamily"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", origin.alias("origin"), F.lit("old").alias("subfamily")))
     return maintenance.with_subfamilies(rows, only_changed=True).select("p_partkey", "subfamily")
 
 

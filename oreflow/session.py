@@ -90,6 +90,11 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all tasks, for much work on each row: a file of few row groups is read by as few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind a result of materialised() that nothing reads any more."""
     delete(df.sparkSession, df._oreflow_path)
