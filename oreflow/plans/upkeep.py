@@ -10,7 +10,7 @@ from ..functions import text, url
 from ..functions import vector as V
 from ..functions.javascript import analysed, unpacked
 from ..operators import artefact, crawl, maintenance, match, outlier, rarity, search
-from ..session import new_path
+from ..session import materialised, new_path, spread
 from ..sources import files, topics
 from ..streaming import pipelines, programs
 from .analogue import HITS_SQL, controls, hits, table
@@ -288,7 +288,9 @@ def q_upload_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog, acceptance, analysis and the three tables of an upload, counted by family."""
     key = F.col("p_partkey")
     code = F.concat(F.lit("go"), key, F.lit("();")).cast("binary")
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("https://cdn.example/"), "p_brand", F.lit("/"), key, F.lit(".js")).alias("origin"), F.col("p_brand").alias("family"), code.alias("code"), (F.col("p_size") * 100).alias("padded"))
+    # written, as the optimiser would move the analysis in front of the dealing
+    rows = materialised(spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")), "parts")
+    rows = rows.select(F.concat(F.lit("https://cdn.example/"), "p_brand", F.lit("/"), key, F.lit(".js")).alias("origin"), F.col("p_brand").alias("family"), code.alias("code"), (F.col("p_size") * 100).alias("padded"))
     # a script's size is what the part's says
     rows = rows.select("origin", "family", F.rpad(F.col("code").cast("string"), F.col("padded"), F.lit(" ")).cast("binary").alias("code"))
     known = artefact.with_hashes(rows).where(F.regexp_extract("origin", r"(\d+)\.js$", 1).cast("int") % 3 == 0)

@@ -257,3 +257,22 @@ def test_packed_scripts_are_analysed_unpacked(spark):
     found = [r.a for r in rows.select(javascript.analysed(F.col("code")).alias("a")).collect()]
     assert found[0].calls_by_count == {"go": 1} == found[2].calls_by_count and found[0].literals_by_count == {"x": 1} and found[1].failed
     assert [r[0] for r in rows.select(javascript.unpacked(F.col("code").cast("string"))).collect()] == ['go("x");', None, "go('x');"]
+
+
+def test_subfamily_computes_a_name_once():
+    """A step that names the step before twice computes all steps twice."""
+    assert str(url.subfamily(F.col("u"))).count("lower(") <= 2
+
+
+def test_part_queries_use_all_tasks(spark):
+    from oreflow.plans import queries
+
+    for name in ("q_subfamily", "q_subfamily_refresh"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_upload_analyses_dealt_rows(spark):
+    from oreflow.plans import queries
+
+    text = queries.QUERIES["q_upload_controls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in text and "part.parquet" not in text  # the deal is written: one that is not has the analysis before it
