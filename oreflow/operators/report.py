@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import suspicious_terms, total_length
+from ..session import materialised
 from .rarity import rarest_function
 
 
@@ -54,18 +55,27 @@ def sites_by_control(hits: DataFrame, controls: DataFrame, threshold: float = 10
 
 
 def control_hits(hits: DataFrame, exclude_hash_matches: bool = False) -> DataFrame:
-    """Per control and script: functions, hits, distances and literals; restrict hits to the controls of interest first."""
+    """Per control and script: functions, hits, distances and literals; restrict hits to the controls of interest first.
+
+    Rows are dealt by group at once: dealt by hit first, as a distinct count would, nearly all cross the network twice.
+    The groups are written before they are sorted, as the sort reads its input twice.
+    """
     rows = hits.where(~F.col("sha256_matched")) if exclude_hash_matches else hits
-    return (
-        rows.groupBy("control_url", "origin_url")
+    keys, extremes = ["control_url", "origin_url"], ["ast_dist", "function_dist", "literal_dist"]
+    largest = ["n_diff_literals", "literals_not_in_control", "literals_not_in_origin"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (
+        rows.select(*keys, "xref", "diff_functions", *extremes, *largest)
+        .repartition(tasks, *keys)
+        .groupBy(*keys)
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("diff_functions")))).alias("diff_functions"),
             F.countDistinct("xref").alias("n_hits"),
-            *_extremes("ast_dist", "function_dist", "literal_dist"),
-            *(F.max(c).alias(f"max_{c}") for c in ("n_diff_literals", "literals_not_in_control", "literals_not_in_origin")),
+            *_extremes(*extremes),
+            *(F.max(c).alias(f"max_{c}") for c in largest),
         )
-        .orderBy("min_ast_dist", "min_function_dist", "control_url", "origin_url")
     )
+    return materialised(found, "control-hits").orderBy("min_ast_dist", "min_function_dist", "control_url", "origin_url")
 
 
 def family_hits(hits: DataFrame, controls: DataFrame, family: str, exclude_hash_matches: bool = False) -> DataFrame:
