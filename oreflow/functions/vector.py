@@ -120,6 +120,19 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), sizes), flat(keys), flat(values).astype(np.float64)
 
 
+def _grouped(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """An order that puts equal (row, key) next to each other: by one mixed number, which sorts much faster than two.
+
+    Should the numbers of different pairs be equal, by both.
+    """
+    mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(mixed)
+    a, b = order[1:], order[:-1]
+    if ((mixed[a] == mixed[b]) & ((row[a] != row[b]) | (key[a] != key[b]))).any():
+        return np.lexsort((key, row))
+    return order
+
+
 def function_distances(origin: Column, control: Column) -> Column:
     """function_distance of hashed maps: all pairs of a batch are compared at once."""
 
@@ -127,7 +140,7 @@ def function_distances(origin: Column, control: Column) -> Column:
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         (row_a, key_a, x), (row_b, key_b, y) = _flat(a), _flat(b)
         row, key, value = np.concatenate([row_a, row_b]), np.concatenate([key_a, key_b]), np.concatenate([x, -y])
-        order = np.lexsort((key, row))
+        order = _grouped(row, key)
         row, key, value = row[order], key[order], value[order]
         # a key of both maps is twice in a row
         again = np.zeros(len(row), bool)

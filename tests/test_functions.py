@@ -276,3 +276,11 @@ def test_upload_analyses_dealt_rows(spark):
 
     text = queries.QUERIES["q_upload_controls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobin" not in text and "part.parquet" not in text  # the deal is written: one that is not has the analysis before it
+
+
+def test_equal_keys_are_neighbours_when_mixed_numbers_are_equal():
+    import numpy as np
+
+    key = -0xBF58476D1CE4E5B9 * pow(0x9E3779B97F4A7C15, -1, 2**64) % 2**64  # (0, 0) and (1, key) are mixed to the same number
+    order = V._grouped(np.array([0, 1, 0, 1]), np.array([0, key, 0, key], np.uint64).view(np.int64))
+    assert sorted(map(tuple, (order % 2).reshape(2, 2))) == [(0, 0), (1, 1)]
